@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from kinegrain.llm import queries_native as native
+from kinegrain.llm import queries_tokens as tokens
 
 
 def queries() -> dict:
     return {
+        "op1_token_shards": tokens.op1_token_shards,
+        "op3_packing": tokens.op3_packing,
         "op8_chat_formatting": native.op8_chat_formatting,
         "op9_url_filters": native.op9_url_filters,
         "op10_sharding": native.op10_sharding,
