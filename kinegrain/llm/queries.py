@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from kinegrain.llm import queries_native as native
+from kinegrain.llm import queries_near as near
 from kinegrain.llm import queries_tokens as tokens
 
 
@@ -10,6 +11,8 @@ def queries() -> dict:
     return {
         "op1_token_shards": tokens.op1_token_shards,
         "op3_packing": tokens.op3_packing,
+        "op4_decontamination": near.op4_decontamination,
+        "op5_ngram_jaccard": near.op5_ngram_jaccard,
         "op8_chat_formatting": native.op8_chat_formatting,
         "op9_url_filters": native.op9_url_filters,
         "op10_sharding": native.op10_sharding,
@@ -18,6 +21,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_decontamination": near.OP4_SQL,
+        "op5_ngram_jaccard": near.OP5_SQL,
         "op8_chat_formatting": native.OP8_SQL,
         "op9_url_filters": native.OP9_SQL,
         "op10_sharding": native.op10_sql(),
