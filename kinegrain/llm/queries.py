@@ -13,6 +13,7 @@ def queries() -> dict:
         "op3_packing": tokens.op3_packing,
         "op4_decontamination": near.op4_decontamination,
         "op5_ngram_jaccard": near.op5_ngram_jaccard,
+        "op7_fingerprints": near.op7_fingerprints,
         "op8_chat_formatting": native.op8_chat_formatting,
         "op9_url_filters": native.op9_url_filters,
         "op10_sharding": native.op10_sharding,
