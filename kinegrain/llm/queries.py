@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from kinegrain.llm import queries_models as models
 from kinegrain.llm import queries_native as native
 from kinegrain.llm import queries_near as near
 from kinegrain.llm import queries_tokens as tokens
@@ -13,6 +14,7 @@ def queries() -> dict:
         "op3_packing": tokens.op3_packing,
         "op4_decontamination": near.op4_decontamination,
         "op5_ngram_jaccard": near.op5_ngram_jaccard,
+        "op6_toxicity": models.op6_toxicity,
         "op7_fingerprints": near.op7_fingerprints,
         "op8_chat_formatting": native.op8_chat_formatting,
         "op9_url_filters": native.op9_url_filters,
