@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from kinegrain.llm import scratch
 
+#: Links up to which one task finishes alone; they are counted first.
+ONE_TASK_LINKS = 2_000_000
+
 
 def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, smallest node of each one's component) of an edge list."""
@@ -47,12 +50,19 @@ def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keep = nodes != root
     nodes, root = nodes[keep], root[keep]
     for k in range(0, len(nodes), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[k: k + 10_000]), pa.array(root[k: k + 10_000])], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[k: k + 10_000]), pa.array(root[k: k + 10_000])], names=["node", "root"])
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of (u, v) bigint links that is not its component's smallest."""
-    links = scratch.keep(edges.where("u <> v").mapInArrow(_stars, "u bigint, v bigint").distinct(), "links")
+    """(node, root) for every node of (u, v) bigint links that is not its component's smallest.
+
+    Links are counted after the first contraction. A few are finished in one
+    task, which holds no more than the count says; any number goes through the
+    distributed rounds.
+    """
+    links = scratch.keep(edges.where("u <> v").mapInArrow(_stars, "node bigint, root bigint").distinct().toDF("u", "v"), "links")
+    if links.count() <= ONE_TASK_LINKS:
+        return scratch.keep(links.coalesce(1).mapInArrow(_stars, "node bigint, root bigint"), "components")
     mark = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))

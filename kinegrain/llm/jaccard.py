@@ -253,7 +253,7 @@ def _resolve(rows: DataFrame, k: int, percent: int, partitions: int) -> DataFram
         for batch in batches:
             keys = zip(*(batch.column(i).to_pylist() for i in range(3)))
             want = batch.column(3).to_pylist()
-            for now, s, (_, grams) in zip(keys, want, document_sets(batch.column(4), k)):
+            for now, s, (_, grams) in zip(keys, want, document_sets(tk.unsqueeze(batch.column(4)), k)):
                 if now != key:
                     yield from close()
                     key, sigs, sets = now, [], []
@@ -286,9 +286,10 @@ def _with_member_texts(docs: DataFrame, members: DataFrame, bits: int) -> DataFr
         table = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
         for batch in batches:
             ids = batch.column(0).fill_null(0).to_numpy().view(np.uint64)
-            yield batch.filter(pa.array(table[sketches.slots_of(tk.mix(ids), bits)]))
+            near = batch.filter(pa.array(table[sketches.slots_of(tk.mix(ids), bits)]))
+            yield pa.RecordBatch.from_arrays([near.column(0), tk.squeeze(near.column(1))], names=["doc_id", "text"])
 
-    near = docs.mapInArrow(member, "doc_id bigint, text string")
+    near = docs.mapInArrow(member, "doc_id bigint, text binary")
     return near.join(members, near.doc_id == members.rep).select("s", "c", "tile", "tiles", "text")
 
 

@@ -57,8 +57,9 @@ atexit.register(clean)
 
 
 def size_in_bytes(df: DataFrame) -> int:
-    """The optimizer's size of a plan: file sizes for a scan, an upper bound otherwise."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's size of a plan, which for a scan is its files' size; 0 where it knows none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str(1 << 62))) >> 8 else 0
 
 
 def partitions_for(df: DataFrame, mb: int = 32) -> int:

@@ -6,6 +6,7 @@ safe to bring the sum to the driver and to send it to every worker.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ class Counter:
         for k in range(0, len(self.table), CHUNK):
             part = self.table[k: k + CHUNK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK]), pa.array([part.tobytes()], pa.binary())], names=["chunk", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
 
 
 def slots_of(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -52,7 +53,7 @@ def gather(rows: DataFrame, bits: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
-                new = np.frombuffer(part.as_buffer(), np.uint8)
+                new = np.frombuffer(zlib.decompress(part.as_buffer()), np.uint8)
                 if k not in sums:
                     sums[k] = np.zeros(len(new), np.int64)
                 sums[k] += new

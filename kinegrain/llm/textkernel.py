@@ -133,3 +133,17 @@ def ragged(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(counts)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - counts), counts)
+
+
+def squeeze(column: pa.Array) -> pa.Array:
+    """Each text as compressed bytes, its size in front; for texts that a shuffle moves."""
+    codec = pa.Codec("zstd", compression_level=3)
+    data = [t.as_buffer() if t.is_valid else pa.py_buffer(b"") for t in column]
+    return pa.array([len(d).to_bytes(8, "little") + codec.compress(d, asbytes=True) for d in data], pa.binary())
+
+
+def unsqueeze(column: pa.Array) -> pa.Array:
+    """The texts that `squeeze` made small."""
+    codec = pa.Codec("zstd")
+    parts = [b.as_py() for b in column]
+    return pa.array([codec.decompress(p[8:], int.from_bytes(p[:8], "little"), asbytes=True) for p in parts], pa.large_binary()).cast(pa.large_string())
