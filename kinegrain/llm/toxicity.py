@@ -26,10 +26,14 @@ SAMPLE_CHARS = 50_000
 FEATURE_BITS = 18
 #: Lengths in bytes of the word beginnings that are features beside the whole word.
 BEGINNINGS = (4, 5, 6)
-#: A form marks tokens when this many toxic texts have it, and this share of all that do.
+#: A form marks tokens when this many toxic texts have it, at least this share of
+#: all toxic texts, and when this share of the texts that have it is toxic.
 LEAST_DOCS = 3
+LEAST_SUPPORT = 0.015
 LEAST_SHARE = 0.85
 THRESHOLD = 0.3
+#: Marginals that count towards a document's sum.
+LEAST_MARGINAL = 0.25
 
 
 @dataclass
@@ -56,8 +60,12 @@ def token_features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.
 
 
 def document_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(1, log(1 + sum of marginals), largest marginal) of every document."""
-    total = np.concatenate(([0.0], np.cumsum(p)))
+    """(1, log(1 + sum of marginals), largest marginal) of every document.
+
+    Marginals under ``LEAST_MARGINAL`` stay out of the sum, so that length alone
+    does not make a text toxic.
+    """
+    total = np.concatenate(([0.0], np.cumsum(np.where(p >= LEAST_MARGINAL, p, 0))))
     mass = total[first[1:]] - total[first[:-1]]
     top = np.zeros(len(first) - 1)
     filled = first[1:] > first[:-1]
@@ -95,7 +103,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
         pair = np.unique(doc * size + features[:, c])
         have = np.bincount(pair % size, minlength=size)
         bad = np.bincount((pair % size)[toxic[pair // size].astype(bool)], minlength=size)
-        mark = (bad >= LEAST_DOCS) & (bad >= LEAST_SHARE * have)
+        mark = (bad >= max(LEAST_DOCS, LEAST_SUPPORT * toxic.sum())) & (bad >= LEAST_SHARE * have)
         marked |= mark[features[:, c]]
     labels = marked & toxic[doc].astype(bool)
     if not labels.any():
@@ -135,29 +143,46 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     calibration gives to no toxic token. Repeated rows stay; other columns are
     ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.weights.tobytes(), model.transition, model.calibration))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw_weights, transition, calibration = sent.value
-        weights = np.frombuffer(raw_weights, np.float32)
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for a, b, part, begins, starts, ends, first, features in token_features(batch.column(1)):
-                emission = weights[features].sum(axis=1, dtype=np.float64) + weights[0]
-                p = crf.marginals(crf.Layout(first), emission, transition)
-                x = document_features(p, first) @ calibration
-                out[a:b] = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-                hit = np.flatnonzero(p >= 0.5)
-                if len(hit):
-                    chars = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
-                    of = np.searchsorted(first, hit, side="right") - 1
-                    for i, d in zip(hit.tolist(), of.tolist()):
-                        base = chars[begins[d]]
-                        spans[a + d].append({"start": int(chars[starts[i]] - base), "end": int(chars[ends[i]] - base), "p": float(p[i])})
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array(spans, span)], names=["doc_id", "score", "spans"])
+            scores, spans = score_texts(sent.value, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(spans, span)], names=["doc_id", "score", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = rows.mapInArrow(run, "doc_id bigint, score double, spans array<struct<start bigint, end bigint, p double>>")
     return scored.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
+
+
+def score_texts(model: Model, column: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
+    """Scores and offending spans of a batch of texts."""
+    out = np.zeros(len(column))
+    spans: list[list[dict]] = [[] for _ in range(len(column))]
+    for a, b, part, begins, starts, ends, first, features in token_features(column):
+        emission = model.weights[features].sum(axis=1, dtype=np.float64) + model.weights[0]
+        p = crf.marginals(crf.Layout(first), emission, model.transition)
+        x = document_features(p, first) @ model.calibration
+        out[a:b] = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        hit = np.flatnonzero(p >= 0.5)
+        if len(hit):
+            chars = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
+            of = np.searchsorted(first, hit, side="right") - 1
+            for i, d in zip(hit.tolist(), of.tolist()):
+                base = chars[begins[d]]
+                spans[a + d].append({"start": int(chars[starts[i]] - base), "end": int(chars[ends[i]] - base), "p": float(p[i])})
+    return out, spans
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score stays under ``threshold``, as they are."""
+    at = docs.columns.index("text")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores, _ = score_texts(sent.value, batch.column(at))
+            yield batch.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
