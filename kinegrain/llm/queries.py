@@ -11,6 +11,7 @@ from kinegrain.llm import queries_tokens as tokens
 def queries() -> dict:
     return {
         "op1_token_shards": tokens.op1_token_shards,
+        "op2_skip_chain_pii": models.op2_skip_chain_pii,
         "op3_packing": tokens.op3_packing,
         "op4_decontamination": near.op4_decontamination,
         "op5_ngram_jaccard": near.op5_ngram_jaccard,
