@@ -100,6 +100,7 @@ def _summaries(docs: DataFrame, k: int, bits: int) -> DataFrame:
         for rows in counter.rows():
             null = pa.nulls(rows.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([null, null, null, *rows.columns], names=["doc_id", "n", "s", "chunk", "counts"])
+        tk.trim()
 
     return docs.mapInArrow(run, "doc_id bigint, n bigint, s bigint, chunk bigint, counts binary")
 
@@ -135,6 +136,7 @@ def _columns(docs: DataFrame, k: int, percent: int, order: np.ndarray, bits: int
                         held, size = [], 0
         if held:
             yield flush(held)
+        tk.trim()
 
     return docs.mapInArrow(run, "h bigint, salt bigint, salted boolean, n bigint, s bigint")
 
@@ -262,6 +264,7 @@ def _resolve(rows: DataFrame, k: int, percent: int, partitions: int) -> DataFram
                     sigs.append(s)
                     sets.append(grams)
         yield from close()
+        tk.trim()
 
     dealt = rows.repartition(partitions, "c", "i", "j").sortWithinPartitions("c", "i", "j", "s")
     return dealt.mapInArrow(run, "c bigint, u bigint, v bigint")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinegrain.llm import scratch
+from kinegrain.llm import textkernel as tk
 from kinegrain.llm.tokenmemo import encoder
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, rank bigint, ids binary"
@@ -46,30 +47,33 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 2048, batc
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
-    tail = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         enc = encoder(tokenizer, False)
-        ranks: dict[int, int] = {}
+        ranks = np.zeros(longest.bit_length(), np.int64)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                sub = batch.slice(a, 256)
-                cols: list[list] = [[] for _ in range(7)]
-                for d, ids in zip(sub.column(0).to_pylist(), enc.encode([t or "" for t in sub.column(1).to_pylist()])):
-                    ids += tail
-                    n, start = len(ids) // 4, 0
-                    for size in piece_lengths(n, longest):
-                        piece = ids[4 * start: 4 * (start + size)]
-                        rank = ranks.get(size, 0)
-                        ranks[size] = rank + 1
-                        for c, v in zip(cols, (d, start, size, zlib.crc32(piece), n, rank, piece)):
-                            c.append(v)
-                        start += size
-                k = len(cols[0])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array([part] * k, pa.int32()), pa.array(cols[5], pa.int64()), pa.array(cols[6], pa.binary())],
+            for at in range(0, batch.num_rows, 1000):
+                sub = batch.slice(at, 1000)
+                ids, first = enc.encode(sub.column(1), end_id)
+                sizes = np.diff(first)
+                lengths = [piece_lengths(n, longest) for n in sizes.tolist()]
+                doc = np.repeat(np.arange(len(sizes)), [len(x) for x in lengths])
+                length = np.array([x for y in lengths for x in y], np.int64)
+                begin = np.cumsum(length) - length
+                bit = np.log2(length).astype(np.int64)
+                rank = np.zeros(len(length), np.int64)
+                for k in np.unique(bit):
+                    own = np.flatnonzero(bit == k)
+                    rank[own] = ranks[k] + np.arange(len(own))
+                    ranks[k] += len(own)
+                raw = memoryview(ids.astype("<u4").tobytes())
+                pieces = [raw[4 * i: 4 * (i + n)] for i, n in zip(begin.tolist(), length.tolist())]
+                yield pa.RecordBatch.from_arrays([
+                    sub.column(0).take(pa.array(doc)), pa.array(begin - first[doc]), pa.array(length), pa.array([zlib.crc32(x) for x in pieces], pa.int64()),
+                    pa.array(sizes[doc]), pa.array(np.full(len(doc), part, np.int32)), pa.array(rank),
+                    pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(np.append(begin, len(ids)).astype(np.int64) * 4), pa.py_buffer(raw)]).cast(pa.binary())],
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank", "ids"])
+        tk.trim()
 
     pieces = scratch.keep(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ of the buffer, and a batch is cut between documents only.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,3 +148,12 @@ def unsqueeze(column: pa.Array) -> pa.Array:
     codec = pa.Codec("zstd")
     parts = [b.as_py() for b in column]
     return pa.array([codec.decompress(p[8:], int.from_bytes(p[:8], "little"), asbytes=True) for p in parts], pa.large_binary()).cast(pa.large_string())
+
+
+def trim() -> None:
+    """Give freed memory back at the end of a task; workers live on and share their machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return

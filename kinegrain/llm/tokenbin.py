@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinegrain.llm import repair, scratch
+from kinegrain.llm import textkernel as tk
 from kinegrain.llm.tokenmemo import encoder
 
 #: Tokens after which a shard is closed; one longer document makes a longer shard.
@@ -48,43 +49,41 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     written table. ``folder`` is a URI that driver and executors share. An
     empty table writes no file.
     """
-    tail = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         enc = encoder(tokenizer, True)
         seq, size = 0, 0
-        doc_ids: list[int] = []
-        null: list[bool] = []
-        pieces: list[bytes] = []
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []  # doc_ids, ids, token counts
 
         def close() -> pa.RecordBatch:
             nonlocal seq, size
-            counts = np.array([len(p) // 4 for p in pieces], np.int64)
-            first = np.concatenate(([0], np.cumsum(counts)))
-            ids = np.frombuffer(b"".join(pieces), "<u4")
-            data = repair.write_shard(np.array(doc_ids, np.int64), np.array(null, bool), ids, first)
-            name = f"{part:08d}-{seq:06d}{SUFFIX}"
-            path = put(folder, name, data)
+            doc_ids = pa.concat_arrays([h[0] for h in held])
+            first = np.concatenate(([0], np.cumsum(np.concatenate([h[2] for h in held]))))
+            null = doc_ids.is_null().to_numpy(zero_copy_only=False)
+            data = repair.write_shard(doc_ids.fill_null(0).to_numpy(), null, np.concatenate([h[1] for h in held]), first)
+            path = put(folder, f"{part:08d}-{seq:06d}{SUFFIX}", data)
             row = pa.RecordBatch.from_pydict({
                 "part": [part], "seq": [seq], "path": [path], "n_docs": [len(doc_ids)], "n_tokens": [int(first[-1])], "n_bytes": [len(data)]})
-            doc_ids.clear(), null.clear(), pieces.clear()
+            held.clear()
             seq, size = seq + 1, 0
             return row
 
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                sub = batch.slice(a, 256)
-                texts = sub.column(1).to_pylist()
-                for d, ids in zip(sub.column(0).to_pylist(), enc.encode([t or "" for t in texts])):
-                    if size and size + len(ids) // 4 + 1 > shard_tokens:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
+            ids, first = enc.encode(batch.column(1), end_id)
+            a, n = 0, batch.num_rows
+            while a < n:
+                b = int(np.searchsorted(first, first[a] + shard_tokens - size, side="right")) - 1
+                if b <= a:
+                    if size:
                         yield close()
-                    doc_ids.append(d or 0)
-                    null.append(d is None)
-                    pieces.append(ids + tail)
-                    size += len(ids) // 4 + 1
-        if pieces:
+                        continue
+                    b = a + 1
+                held.append((batch.column(0).slice(a, b - a), ids[first[a]: first[b]], np.diff(first[a: b + 1])))
+                size += int(first[b] - first[a])
+                a = b
+        if held:
             yield close()
+        tk.trim()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     n = partitions or scratch.partitions_for(docs, 16)
@@ -122,6 +121,7 @@ def read_token_shards(spark: SparkSession, folder: str, manifest: DataFrame) ->
                         pa.array([name] * (b - a)), pa.array(shard.doc_ids[a:b], mask=shard.null[a:b]), pa.array(first[a:b]),
                         pa.array(first[a + 1: b + 1] - first[a:b]), pa.array([bytes(raw[4 * x: 4 * y]) for x, y in zip(first[a:b], first[a + 1: b + 1])], pa.binary())],
                         names=["name", "doc_id", "in_file", "n_tokens", "ids"])
+        tk.trim()
 
     read = files.mapInArrow(run, "name string, doc_id bigint, in_file bigint, n_tokens bigint, ids binary")
     return read.join(starts, "name").select("doc_id", (F.col("file_start") + F.col("in_file")).alias("start"), "n_tokens", "ids")

@@ -150,6 +150,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         for batch in batches:
             scores, spans = score_texts(sent.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(spans, span)], names=["doc_id", "score", "spans"])
+        tk.trim()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = rows.mapInArrow(run, "doc_id bigint, score double, spans array<struct<start bigint, end bigint, p double>>")
@@ -184,5 +185,6 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
         for batch in batches:
             scores, _ = score_texts(sent.value, batch.column(at))
             yield batch.filter(pa.array(scores < threshold))
+        tk.trim()
 
     return docs.mapInArrow(run, docs.schema)

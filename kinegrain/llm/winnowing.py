@@ -142,6 +142,7 @@ def fingerprint_and_edit(docs: DataFrame, k: int = K, window: int = WINDOW, part
                 if len(texts) > 1:
                     yield compare(ids[:-1], texts, k, window)
                     ids, texts = ids[-1:], texts[-1:]
+        tk.trim()
 
     def ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = last = None
