@@ -261,8 +261,13 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def training_sample(docs: DataFrame) -> list[str]:
     """At most ``SAMPLE_DOCS`` distinct texts with a digit or an at sign, by smallest hash."""
     texts = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS))
-    hashed = texts.withColumn("h", F.xxhash64("text")).orderBy("h").limit(2 * SAMPLE_DOCS)
-    return sorted({r.text for r in hashed.select("text").toLocalIterator()}, key=lambda t: hashlib.md5(t.encode("utf-8", "surrogatepass")).digest())[:SAMPLE_DOCS]
+    hashed = texts.withColumn("h", F.xxhash64("text"))
+    # Hashes alone are ranked; the largest one taken then bounds what is read as text.
+    bound = hashed.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    if bound is None:
+        return []
+    taken = hashed.where(F.col("h") <= bound).groupBy("h").agg(F.first("text").alias("text"))
+    return [r.text for r in sorted(taken.collect(), key=lambda r: r.h)]
 
 
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))

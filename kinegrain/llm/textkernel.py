@@ -19,7 +19,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Bytes of text handled at once; a longer document is a batch of its own.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
