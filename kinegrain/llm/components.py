@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinegrain.llm import scratch
+from kinegrain.llm import textkernel as tk
 
 #: Links up to which one task finishes alone; they are counted first.
 ONE_TASK_LINKS = 2_000_000
@@ -51,6 +52,7 @@ def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nodes, root = nodes[keep], root[keep]
     for k in range(0, len(nodes), 10_000):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[k: k + 10_000]), pa.array(root[k: k + 10_000])], names=["node", "root"])
+    tk.trim()
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -155,6 +155,7 @@ def _document_runs(docs: DataFrame, window: int, gram: int, bits: int, table: by
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row, row + m)), batch.column(0), pa.array(counts), pa.array(runs, run_type)], names=["row", "doc_id", "n_words", "runs"])
             row += m
+        tk.trim()
 
     return docs.mapInArrow(run, "row bigint, doc_id bigint, n_words bigint, runs array<struct<at bigint, words string>>")
 
@@ -194,6 +195,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL")
+    scratch.bound_batches(docs)
     bits = sketches.bits_for(scratch.size_in_bytes(items), 4, least=20, most=28)
     windows = scratch.keep(_item_windows(items, window), "windows")
     sizes = sorted(r.length for r in windows.select("length").distinct().collect())  # at most `window` rows

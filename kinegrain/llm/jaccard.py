@@ -182,6 +182,7 @@ def _chain(columns: DataFrame, percent: int, partitions: int) -> DataFrame:
             carry = {c: new[c][-1:] for c in names}
         if carry is not None:
             yield scan({**carry, "start": False}, True)
+        tk.trim()
 
     dealt = columns.repartition(partitions, "h", "salt").sortWithinPartitions("h", "salt", "n", "s")
     return dealt.mapInArrow(run, "u bigint, v bigint, h bigint, again boolean")
@@ -291,6 +292,7 @@ def _with_member_texts(docs: DataFrame, members: DataFrame, bits: int) -> DataFr
             ids = batch.column(0).fill_null(0).to_numpy().view(np.uint64)
             near = batch.filter(pa.array(table[sketches.slots_of(tk.mix(ids), bits)]))
             yield pa.RecordBatch.from_arrays([near.column(0), tk.squeeze(near.column(1))], names=["doc_id", "text"])
+        tk.trim()
 
     near = docs.mapInArrow(member, "doc_id bigint, text binary")
     return near.join(members, near.doc_id == members.rep).select("s", "c", "tile", "tiles", "text")
@@ -309,6 +311,7 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scratch.bound_batches(docs)
     size = scratch.size_in_bytes(docs)
     bits = sketches.bits_for(size, 64, least=20)
     partitions = scratch.partitions_for(docs, 16)
@@ -321,6 +324,8 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     chained = scratch.keep(_chain(_columns(docs, k, percent, order, bits), percent, partitions).distinct(), "chains")
     again = chained.where("again").select("h", F.lit(0).cast("bigint").alias("salt"), F.lit(False).alias("salted"), F.col("v").alias("n"), F.col("u").alias("s"))
     links = chained.where("NOT again").select("u", "v").unionByName(_chain(again, percent, partitions).select("u", "v"))
+    # Distinct also puts an exchange between two Python steps, so a task never holds two workers.
+    links = links.distinct()
     found = connected(links)
     cluster = found.select(F.col("node").alias("s"), F.col("root").alias("c")).unionByName(found.select(F.col("root").alias("s"), F.col("root").alias("c")).distinct())
     of_set = sets.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
@@ -346,7 +351,7 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
         todo = one.join(two, (F.col("c") == F.col("c2")) & (F.col("tile") <= F.col("tile2"))).where(
             "NOT (low = high AND low2 = high2 AND low = low2)").select("c", F.col("tile").alias("i"), F.col("tile2").alias("j"))
         sides = todo.select("c", "i", "j", F.col("i").alias("tile")).unionByName(todo.where("i <> j").select("c", "i", "j", F.col("j").alias("tile")))
-        rest = _resolve(texts.join(sides, ["c", "tile"]).select("c", "i", "j", "s", "text"), k, percent, partitions)
+        rest = scratch.keep(_resolve(texts.join(sides, ["c", "tile"]).select("c", "i", "j", "s", "text"), k, percent, partitions), "rest")
         roots = done.unionByName(connected(partial.unionByName(rest.select("u", "v"))))
     return _finish(sets, classes, roots)
 

@@ -47,6 +47,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 2048, batc
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
+    scratch.bound_batches(docs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         enc = encoder(tokenizer, False)

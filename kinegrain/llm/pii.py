@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
+from kinegrain.llm import scratch
 from kinegrain.llm import textkernel as tk
 
 KINDS = ("email", "ip", "card", "phone")
@@ -296,6 +297,7 @@ def find_pii(docs: DataFrame, model: Model, text: str = "text", out: str = "pii"
     names = [c for c in docs.columns if c != out]
     at = names.index(text)
     docs = docs.select(*names)
+    scratch.bound_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,6 +311,7 @@ def find_pii(docs: DataFrame, model: Model, text: str = "text", out: str = "pii"
                 spans = [(k, a, b, True) for k, a, b in base] + [(k, a, b, False) for k, a, b in added_spans(t, base, field)]
                 found[i] = [{"kind": KINDS[k], "start": a, "end": b, "base": x} for k, a, b, x in sorted(spans)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _SPAN)], names=[*names, out])
+        tk.trim()
 
     schema = StructType([*docs.schema.fields, StructField(out, DataType.fromDDL(SPAN_TYPE))])
     return docs.mapInArrow(run, schema)

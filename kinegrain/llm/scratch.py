@@ -56,6 +56,22 @@ def clean() -> None:
 atexit.register(clean)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; texts vary too much for a bound on rows alone.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Bound the session's Arrow batches by bytes, unless it has a smaller bound already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    try:
+        now = int(conf.get(key).lower().removesuffix("b"))
+    except ValueError:  # written with a unit, so set by someone
+        return
+    if now <= 0 or now > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+
+
 def size_in_bytes(df: DataFrame) -> int:
     """The optimizer's size of a plan, which for a scan is its files' size; 0 where it knows none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

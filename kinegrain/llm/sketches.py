@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from kinegrain.llm import textkernel as tk
+
 CHUNK = 1 << 16
 SCHEMA = "chunk bigint, counts binary"
 
@@ -59,6 +61,7 @@ def gather(rows: DataFrame, bits: int) -> np.ndarray:
                 sums[k] += new
         for k, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total.astype("<u4").tobytes()], pa.binary())], names=["chunk", "counts"])
+        tk.trim()
 
     out = np.zeros(1 << bits, np.uint32)
     chunks = max(1, len(out) // CHUNK)

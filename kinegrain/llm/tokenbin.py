@@ -49,6 +49,8 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     written table. ``folder`` is a URI that driver and executors share. An
     empty table writes no file.
     """
+    scratch.bound_batches(docs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         enc = encoder(tokenizer, True)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinegrain.llm import crf
+from kinegrain.llm import crf, scratch
 from kinegrain.llm import textkernel as tk
 
 #: Bound of the training sample: distinct texts, and characters of one.
@@ -160,6 +160,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     calibration gives to no toxic token. Repeated rows stay; other columns are
     ignored.
     """
+    scratch.bound_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
@@ -196,6 +197,7 @@ def score_texts(model: Model, column: pa.Array) -> tuple[np.ndarray, list[list[d
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score stays under ``threshold``, as they are."""
     at = docs.columns.index("text")
+    scratch.bound_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

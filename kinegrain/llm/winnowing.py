@@ -127,6 +127,7 @@ def fingerprint_and_edit(docs: DataFrame, k: int = K, window: int = WINDOW, part
     partition that has any, which a table of one row per partition supplies.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    scratch.bound_batches(docs)
     n = partitions or scratch.partitions_for(docs, 16)
     order = [F.desc_nulls_last("doc_id"), F.desc("text")]
     dealt = docs.repartitionByRange(n, order[0]).sortWithinPartitions(*order)
