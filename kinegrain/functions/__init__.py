@@ -1 +1 @@
-"""See the package README."""
+"""Column expressions: curves, tone, colour, quaternions, geometry, text and binary fields."""

@@ -1 +1 @@
-"""See the package README."""
+"""Operators over relations: motion tracks, rasters, matching and lookup."""

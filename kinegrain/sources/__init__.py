@@ -1 +1 @@
-"""See the package README."""
+"""Readers and writers of frame, gyro and lens-profile files."""

@@ -1 +1 @@
-"""See the package README."""
+"""Streaming forms of track building."""
