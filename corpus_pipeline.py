@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinegrain.llm import decontaminate, jaccard, packing, pii, scratch, toxicity
+from kinegrain.llm import decontaminate, jaccard, packing, pii, scratch, sketches, toxicity
 from kinegrain.llm.queries_tokens import vocabulary
 from kinegrain.session import table
 
@@ -30,20 +30,27 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows without a doc_id stay. Rows that share a doc_id stay or go together;
     where the whole row is repeated, one stays.
     """
-    found = scratch.keep(jaccard.components(docs), "found")
-    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept")).agg(F.count("*").alias("n"))
-    rows = docs.join(kept, docs.doc_id == kept.kept, "left").where("kept IS NOT NULL OR doc_id IS NULL")
-    if kept.where("n > 1").isEmpty():
-        return rows.select(*docs.columns)
-    once = rows.where("n IS NULL OR n = 1").select(*docs.columns)
-    return once.unionByName(rows.where("n > 1").select(*docs.columns).distinct())
+    scratch.bound_batches(docs)
+    found = scratch.keep(jaccard.components(docs).where("doc_id IS NOT NULL"), "found")
+    size = scratch.size_in_bytes(docs)
+    bits = sketches.bits_for(size, 256, least=18)
+    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    gone = found.select("doc_id").distinct().join(kept, "doc_id", "left_anti")
+    left = sketches.without(docs, "doc_id", gone, bits)
+    twice = kept.where("n > 1").select("doc_id")
+    if twice.isEmpty():
+        return left
+    left = scratch.keep(left, "left")
+    once = left.join(twice, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(left.join(twice, "doc_id", "left_semi").select(*docs.columns).distinct())
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any word in a benchmark window. Rows without a doc_id stay."""
     found = decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark"))
     bad = scratch.keep(found.where("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias("bad")).distinct(), "bad")
-    return docs.join(bad, docs.doc_id == bad.bad, "left_anti")
+    scratch.bound_batches(docs)
+    return sketches.without(docs, "doc_id", bad, sketches.bits_for(scratch.size_in_bytes(docs), 256, least=18))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -277,13 +277,7 @@ def _with_member_texts(docs: DataFrame, members: DataFrame, bits: int) -> DataFr
     A bit table of fixed size, made of the members' ids, keeps the texts of
     other documents out of the shuffle.
     """
-    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = sketches.Counter(bits)
-        for batch in batches:
-            counter.add(tk.mix(batch.column(0).to_numpy().view(np.uint64)))
-        yield from counter.rows()
-
-    seen = sketches.gather(members.select("rep").mapInArrow(mark, sketches.SCHEMA), bits) > 0
+    seen = sketches.member_bits(members.select("rep"), bits)
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(seen).tobytes())
 
     def member(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,8 @@ from kinegrain.llm import scratch
 from kinegrain.llm import textkernel as tk
 from kinegrain.llm.tokenmemo import encoder
 
+#: Rows of 32 bytes that may be sent to every worker.
+BROADCAST_ROWS = 500_000
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, rank bigint, ids binary"
 
 
@@ -84,6 +86,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 2048, batc
     longer = counts.groupBy("length").agg(F.sum("n").alias("n"))
     longer = longer.select("length", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     at = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("in_bucket")).join(longer, "length")
+    at = scratch.keep(at.select("length", "part", "in_bucket", "base"), "buckets")
+    # One small row for each length and partition: beside the tokens' rows only while it is few.
+    at = F.broadcast(at) if at.count() <= BROADCAST_ROWS else at
     numbered = pieces.join(at, ["length", "part"])
     in_bucket = F.col("in_bucket") + F.col("rank")
     return numbered.select(

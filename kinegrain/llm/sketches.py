@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kinegrain.llm import textkernel as tk
 
@@ -74,3 +75,42 @@ def gather(rows: DataFrame, bits: int) -> np.ndarray:
 def bits_for(size_in_bytes: int, each: int, least: int = 16, most: int = 26) -> int:
     """log2 of the slots for about one item in ``each`` bytes of input, within fixed bounds."""
     return int(min(max(int(np.ceil(np.log2(max(size_in_bytes // each, 1)))), least), most))
+
+
+def member_bits(ids: DataFrame, bits: int) -> np.ndarray:
+    """Bits set for the ids of a one-column bigint relation; the table's size is fixed by ``bits``."""
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(bits)
+        for batch in batches:
+            counter.add(tk.mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
+        yield from counter.rows()
+
+    return gather(ids.mapInArrow(mark, SCHEMA), bits) > 0
+
+
+def without(rows: DataFrame, key: str, ids: DataFrame, bits: int = 22) -> DataFrame:
+    """The rows whose bigint ``key`` is not among ``ids`` (one column, no nulls); null keys stay.
+
+    Most rows are cleared by a bit table of fixed size and stay where they are;
+    only those that it cannot clear meet the ids in an exact anti-join.
+    """
+    table = np.packbits(member_bits(ids, bits)).tobytes()
+    sent = rows.sparkSession.sparkContext.broadcast(table)
+    at = rows.columns.index(key)
+
+    def cleared(want: bool):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
+            for batch in batches:
+                column = batch.column(at).cast(pa.int64())
+                null = column.is_null().to_numpy(zero_copy_only=False)
+                hit = known[slots_of(tk.mix(column.fill_null(0).to_numpy().view(np.uint64)), bits)] & ~null
+                yield batch.filter(pa.array(hit != want))
+            tk.trim()
+
+        return run
+
+    name = ids.columns[0]
+    unsure = rows.mapInArrow(cleared(False), rows.schema)
+    left = unsure.join(ids.withColumnRenamed(name, "__gone"), unsure[key] == F.col("__gone"), "left_anti")
+    return rows.mapInArrow(cleared(True), rows.schema).unionByName(left)
