@@ -47,6 +47,11 @@ def _pick(values: np.ndarray, k: Column) -> Column:
     return F.get(F.array(*[F.lit(float(v)) for v in values]), k)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; keeps composed expressions small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _first(conditions: list[Column], last: int, start: int) -> Column:
     """Number of the first condition that holds, counted from ``start``."""
     out = F.when(conditions[0], start)
@@ -63,29 +68,46 @@ def temperature_tint(x: Column, y: Column) -> tuple[Column, Column]:
     is linear in its coordinates, so the search is a chain of comparisons.
     """
     d = 1.5 - x + 6.0 * y
-    u, v = 2.0 * x / d, 3.0 * y / d
     offset = _T[:, 2] * _ALONG[:, 0] - _T[:, 1] * _ALONG[:, 1]
-    k = _first([v * float(_ALONG[i, 0]) - u * float(_ALONG[i, 1]) <= float(offset[i]) for i in range(1, 30)], 30, 1)
-    side = lambda at: v * _pick(_ALONG[:, 0], at) - u * _pick(_ALONG[:, 1], at) - _pick(offset, at)
-    over = F.greatest(-side(k), F.lit(0.0))
-    f = F.when(k == 1, 0.0).otherwise(over / (side(k - 1) + over))
-    mixed = lambda c: _pick(_T[:, c], k - 1) * f + _pick(_T[:, c], k) * (1.0 - f)
-    # Nothing has been passed before the first interval, so its lower direction counts as none.
-    du, dv = (_pick(_ALONG[:, c], k) * (1.0 - f) + F.when(k == 1, 0.0).otherwise(_pick(_ALONG[:, c], k - 1)) * f for c in (0, 1))
-    return 1.0e6 / mixed(0), ((u - mixed(1)) * du + (v - mixed(2)) * dv) / F.sqrt(du * du + dv * dv) * TINT_SCALE
+
+    def search(p: Column) -> Column:
+        u, v = p["u"], p["v"]
+        return _first([v * float(_ALONG[i, 0]) - u * float(_ALONG[i, 1]) <= float(offset[i]) for i in range(1, 30)], 30, 1)
+
+    def solve(p: Column, k: Column) -> Column:
+        u, v = p["u"], p["v"]
+        side = lambda at: v * _pick(_ALONG[:, 0], at) - u * _pick(_ALONG[:, 1], at) - _pick(offset, at)
+        over = F.greatest(-side(k), F.lit(0.0))
+
+        def mix(f: Column) -> Column:
+            mixed = lambda c: _pick(_T[:, c], k - 1) * f + _pick(_T[:, c], k) * (1.0 - f)
+            # Nothing has been passed before the first interval, so its lower direction counts as none.
+            du, dv = (_pick(_ALONG[:, c], k) * (1.0 - f) + F.when(k == 1, 0.0).otherwise(_pick(_ALONG[:, c], k - 1)) * f for c in (0, 1))
+            tint = ((u - mixed(1)) * du + (v - mixed(2)) * dv) / F.sqrt(du * du + dv * dv) * TINT_SCALE
+            return F.struct((1.0e6 / mixed(0)).alias("t"), tint.alias("tint"))
+
+        return let(F.when(k == 1, 0.0).otherwise(over / (side(k - 1) + over)), mix)
+
+    out = let(F.struct((2.0 * x / d).alias("u"), (3.0 * y / d).alias("v")), lambda p: let(search(p), lambda k: solve(p, k)))
+    return out["t"], out["tint"]
 
 
 def chromaticity(temperature: Column, tint: Column) -> tuple[Column, Column]:
     """Inverse of `temperature_tint`."""
-    r, offset = 1.0e6 / temperature, tint / TINT_SCALE
-    k = _first([r < float(_T[i + 1, 0]) for i in range(29)], 29, 0)
-    f = (_pick(_T[:, 0], k + 1) - r) / (_pick(_T[:, 0], k + 1) - _pick(_T[:, 0], k))
-    mixed = lambda a, c: _pick(a[:, c], k) * f + _pick(a[:, c], k + 1) * (1.0 - f)
-    du, dv = mixed(_ALONG, 0), mixed(_ALONG, 1)
-    n = F.sqrt(du * du + dv * dv)
-    u, v = mixed(_T, 1) + du / n * offset, mixed(_T, 2) + dv / n * offset
-    d = u - 4.0 * v + 2.0
-    return 1.5 * u / d, v / d
+    def search(p: Column) -> Column:
+        return _first([p["r"] < float(_T[i + 1, 0]) for i in range(29)], 29, 0)
+
+    def solve(p: Column, k: Column) -> Column:
+        f = (_pick(_T[:, 0], k + 1) - p["r"]) / (_pick(_T[:, 0], k + 1) - _pick(_T[:, 0], k))
+        mixed = lambda a, c: _pick(a[:, c], k) * f + _pick(a[:, c], k + 1) * (1.0 - f)
+        n = F.sqrt(mixed(_ALONG, 0) * mixed(_ALONG, 0) + mixed(_ALONG, 1) * mixed(_ALONG, 1))
+        u, v = (mixed(_T, c + 1) + mixed(_ALONG, c) / n * p["o"] for c in (0, 1))
+        d = u - 4.0 * v + 2.0
+        return F.struct((1.5 * u / d).alias("x"), (v / d).alias("y"))
+
+    start = F.struct((1.0e6 / temperature).alias("r"), (tint / TINT_SCALE).alias("o"))
+    out = let(start, lambda p: let(search(p), lambda k: solve(p, k)))
+    return out["x"], out["y"]
 
 
 def illuminant_kelvin(code: Column) -> Column:
