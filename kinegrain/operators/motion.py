@@ -7,8 +7,6 @@ which a row depends on earlier results run per clip in Arrow groups.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
