@@ -103,12 +103,12 @@ def format_windows(conversations: DataFrame, budget: int = 1024, history: int =
             F.when(target, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
     return gathered.select(
-        "conv_id", F.expr("p[size(p) - 1].begin").alias("last_begin"),
+        "conv_id",
         F.expr("filter(p, x -> NOT x.repeated)[0].begin").alias("window_start"), F.col("part").alias("window_part"),
         F.expr("size(filter(p, x -> x.repeated))").alias("n_repeated"), F.size("p").alias("n_turns"),
         F.expr("aggregate(p, 0L, (a, x) -> a + x.tokens)").alias("n_tokens"),
         F.concat_ws("", F.transform("p", lambda x: F.concat(x["head"], x["body"], F.lit(tail)))).alias("formatted"),
-        F.aggregate("p", start, step, lambda acc: acc["spans"]).alias("loss")).drop("last_begin")
+        F.aggregate("p", start, step, lambda acc: acc["spans"]).alias("loss"))
 
 
 def read_back(windows: DataFrame) -> DataFrame:

@@ -313,7 +313,7 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     counts = sketches.gather(summary.where("chunk IS NOT NULL").select("chunk", "counts"), bits)
     order = np.minimum(np.rint(np.log2(counts + 1.0) * STEPS), 255).astype(np.uint8)
     sets = summary.where("chunk IS NULL").select("doc_id", "n", "s")
-    classes = sets.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("rep"))
+    classes = sets.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
 
     chained = scratch.keep(_chain(_columns(docs, k, percent, order, bits), percent, partitions).distinct(), "chains")
     again = chained.where("again").select("h", F.lit(0).cast("bigint").alias("salt"), F.lit(False).alias("salted"), F.col("v").alias("n"), F.col("u").alias("s"))
@@ -322,8 +322,7 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     links = links.distinct()
     found = connected(links)
     cluster = found.select(F.col("node").alias("s"), F.col("root").alias("c")).unionByName(found.select(F.col("root").alias("s"), F.col("root").alias("c")).distinct())
-    of_set = sets.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    cluster = cluster.join(of_set, "s").where("rep IS NOT NULL")
+    cluster = cluster.join(classes, "s").where("rep IS NOT NULL")
     tiles = cluster.groupBy("c").agg(F.greatest(F.ceil(F.count("*") / TILE_CLASSES), F.ceil(F.sum("n") / TILE_GRAMS)).cast("bigint").alias("tiles"))
     members = scratch.keep(cluster.join(tiles, "c").select("rep", "s", "c", F.pmod(F.xxhash64("s"), F.col("tiles")).alias("tile"), "tiles"), "members")
     texts = scratch.keep(_with_member_texts(docs, members, bits), "texts")
