@@ -67,6 +67,8 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             row = pa.RecordBatch.from_pydict({
                 "part": [part], "seq": [seq], "path": [path], "n_docs": [len(doc_ids)], "n_tokens": [int(first[-1])], "n_bytes": [len(data)]})
             held.clear()
+            del data, doc_ids, first, null
+            tk.trim()
             seq, size = seq + 1, 0
             return row
 
@@ -117,13 +119,14 @@ def read_token_shards(spark: SparkSession, folder: str, manifest: DataFrame) ->
                 shard = repair.Shard(content.as_py())
                 first = shard.first
                 raw = memoryview(shard.ids().astype("<u4").tobytes())
-                for a in range(0, len(shard.doc_ids), 1000):
-                    b = min(a + 1000, len(shard.doc_ids))
+                for a in range(0, len(shard.doc_ids), 256):
+                    b = min(a + 256, len(shard.doc_ids))
                     yield pa.RecordBatch.from_arrays([
                         pa.array([name] * (b - a)), pa.array(shard.doc_ids[a:b], mask=shard.null[a:b]), pa.array(first[a:b]),
                         pa.array(first[a + 1: b + 1] - first[a:b]), pa.array([bytes(raw[4 * x: 4 * y]) for x, y in zip(first[a:b], first[a + 1: b + 1])], pa.binary())],
                         names=["name", "doc_id", "in_file", "n_tokens", "ids"])
-        tk.trim()
+                del shard, raw
+                tk.trim()
 
     read = files.mapInArrow(run, "name string, doc_id bigint, in_file bigint, n_tokens bigint, ids binary")
     return read.join(starts, "name").select("doc_id", (F.col("file_start") + F.col("in_file")).alias("start"), "n_tokens", "ids")
