@@ -67,8 +67,6 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             row = pa.RecordBatch.from_pydict({
                 "part": [part], "seq": [seq], "path": [path], "n_docs": [len(doc_ids)], "n_tokens": [int(first[-1])], "n_bytes": [len(data)]})
             held.clear()
-            del data, doc_ids, first, null
-            tk.trim()
             seq, size = seq + 1, 0
             return row
 
@@ -126,7 +124,7 @@ def read_token_shards(spark: SparkSession, folder: str, manifest: DataFrame) ->
                         pa.array(first[a + 1: b + 1] - first[a:b]), pa.array([bytes(raw[4 * x: 4 * y]) for x, y in zip(first[a:b], first[a + 1: b + 1])], pa.binary())],
                         names=["name", "doc_id", "in_file", "n_tokens", "ids"])
                 del shard, raw
-                tk.trim()
+        tk.trim()
 
     read = files.mapInArrow(run, "name string, doc_id bigint, in_file bigint, n_tokens bigint, ids binary")
     return read.join(starts, "name").select("doc_id", (F.col("file_start") + F.col("in_file")).alias("start"), "n_tokens", "ids")
