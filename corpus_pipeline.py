@@ -27,11 +27,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of every component.
 
-    Rows without a doc_id stay. Rows that share a doc_id stay or go together;
-    where the whole row is repeated, one stays.
+    Documents link at a similarity of 0.8 of their 5-word shingles. Rows without
+    a doc_id stay. Rows that share a doc_id stay or go together; where the whole
+    row is repeated, one stays.
     """
     scratch.bound_batches(docs)
-    found = scratch.keep(jaccard.components(docs).where("doc_id IS NOT NULL"), "found")
+    found = scratch.keep(jaccard.components(docs, k=5, percent=80).where("doc_id IS NOT NULL"), "found")
     size = scratch.size_in_bytes(docs)
     bits = sketches.bits_for(size, 256, least=18)
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))

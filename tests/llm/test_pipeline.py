@@ -57,3 +57,13 @@ def test_repeated_rows(spark, tmp_path):
     assert sorted((r.doc_id for r in left), key=str) == [0, 1, 2, None, None]
     assert toxicity.drop_toxic(doubled, toxicity.train([], __import__("numpy").zeros(0, int))).count() == 8
     assert pii.redact(doubled, pii.default_model()).count() == 8
+
+
+def test_near_copies_link_at_five_words_and_80_percent(spark, tmp_path):
+    """Appended passages: 80 of 98 and 80 of 103 shingles of 5 words in common, so 0.82 links and 0.78 does not."""
+    path = f"file://{tmp_path}"
+    docs = write_tables(spark, path).limit(0)
+    text = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    rows = [(1, text("a", 84)), (2, text("a", 84) + " " + text("b", 18)), (3, text("c", 84)), (4, text("c", 84) + " " + text("d", 23))]
+    more = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], docs.schema)
+    assert sorted(r.doc_id for r in pipeline.drop_near_copies(spark, more, path).collect()) == [1, 3, 4]
