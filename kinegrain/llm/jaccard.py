@@ -188,8 +188,8 @@ def _chain(columns: DataFrame, percent: int, partitions: int) -> DataFrame:
     return dealt.mapInArrow(run, "u bigint, v bigint, h bigint, again boolean")
 
 
-def link_roots(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Position of the root of each set's component under the threshold, by blocked products.
+def link_pairs(sets: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs of sets that reach the threshold, each once, by blocked products.
 
     Rows are sorted by size, so the partners a size allows are a band. Columns
     of the incidence matrix that occur once cannot add to an overlap.
@@ -206,8 +206,6 @@ def link_roots(sets: list[np.ndarray], percent: int) -> np.ndarray:
     by_column = np.argsort(column, kind="stable")
     row, column = row[by_column], column[by_column]
     total = int(shared.sum())
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
     step = 256
     for a in range(0, m, step):
         b = min(a + step, m)
@@ -224,9 +222,13 @@ def link_roots(sets: list[np.ndarray], percent: int) -> np.ndarray:
         both = np.rint(overlap).astype(np.int64)
         x, y = np.nonzero(100 * both >= percent * (sizes[a:b, None] + sizes[None, a:reach] - both))
         ahead = x < y
-        left.append(order[x[ahead] + a])
-        right.append(order[y[ahead] + a])
-    root = np.arange(m)
+        yield order[x[ahead] + a], order[y[ahead] + a]
+
+
+def link_roots(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Position of the root of each set's component under the threshold."""
+    root = np.arange(len(sets))
+    left, right = zip(*link_pairs(sets, percent))
     u, v = np.concatenate(left), np.concatenate(right)
     if len(u):
         nodes, least = local_components(u, v)
@@ -271,6 +273,48 @@ def _resolve(rows: DataFrame, k: int, percent: int, partitions: int) -> DataFram
     return dealt.mapInArrow(run, "c bigint, u bigint, v bigint")
 
 
+def _degrees(rows: DataFrame, k: int, percent: int, partitions: int) -> DataFrame:
+    """(s, links): over all tasks of (c, i, j, tile, s, w, text), the weights ``w`` of the classes each class links with.
+
+    There is a task for every pair of a cluster's tiles and one for each tile
+    with itself; a pair of classes counts in one task only.
+    """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sigs, sets, tiles, weights = None, [], [], [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(sets) < 2:
+                return
+            tile, weight, links = np.array(tiles), np.array(weights, np.int64), np.zeros(len(sets), np.int64)
+            for x, y in link_pairs(sets, percent):
+                if key[1] != key[2]:
+                    across = tile[x] != tile[y]
+                    x, y = x[across], y[across]
+                np.add.at(links, x, weight[y])
+                np.add.at(links, y, weight[x])
+            at = np.flatnonzero(links)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(sigs, np.int64)[at]), pa.array(links[at])], names=["s", "links"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(i).to_pylist() for i in range(3)))
+            rest = zip(*(batch.column(i).to_pylist() for i in range(3, 6)))
+            for now, (tile, s, w), (_, grams) in zip(keys, rest, document_sets(tk.unsqueeze(batch.column(6)), k)):
+                if now != key:
+                    yield from close()
+                    key, sigs, sets, tiles, weights = now, [], [], [], []
+                if len(grams) and signature(grams) == s and (not sigs or sigs[-1] != s):
+                    sigs.append(s)
+                    sets.append(grams)
+                    tiles.append(tile)
+                    weights.append(w)
+        yield from close()
+        tk.trim()
+
+    dealt = rows.repartition(partitions, "c", "i", "j").sortWithinPartitions("c", "i", "j", "s")
+    return dealt.mapInArrow(run, "s bigint, links bigint").groupBy("s").agg(F.sum("links").alias("links"))
+
+
 def _with_member_texts(docs: DataFrame, members: DataFrame, bits: int) -> DataFrame:
     """(s, c, tile, tiles, text) of ``members`` (rep, s, c, tile, tiles).
 
@@ -292,7 +336,7 @@ def _with_member_texts(docs: DataFrame, members: DataFrame, bits: int) -> DataFr
     return near.join(members, near.doc_id == members.rep).select("s", "c", "tile", "tiles", "text")
 
 
-def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+def components(docs: DataFrame, k: int = 4, percent: int = 85, with_links: bool = False) -> DataFrame:
     """Every row's doc_id with n_shingles and component_id.
 
     Two documents link when 100 * |A & B| >= percent * |A | B| for their sets
@@ -302,7 +346,9 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     documents. A set that occurs under null doc_ids only is not searched and its
     rows' component_id is null; beside a doc_id, null rows share its component.
     Other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows. ``with_links`` adds n_links, the other
+    rows with a doc_id that a row links with, copies included; for this all tiles
+    are multiplied. It is null where component_id is.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch.bound_batches(docs)
@@ -313,7 +359,7 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     counts = sketches.gather(summary.where("chunk IS NOT NULL").select("chunk", "counts"), bits)
     order = np.minimum(np.rint(np.log2(counts + 1.0) * STEPS), 255).astype(np.uint8)
     sets = summary.where("chunk IS NULL").select("doc_id", "n", "s")
-    classes = sets.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    classes = sets.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("doc_id").alias("w"))
 
     chained = scratch.keep(_chain(_columns(docs, k, percent, order, bits), percent, partitions).distinct(), "chains")
     again = chained.where("again").select("h", F.lit(0).cast("bigint").alias("salt"), F.lit(False).alias("salted"), F.col("v").alias("n"), F.col("u").alias("s"))
@@ -346,13 +392,23 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
         sides = todo.select("c", "i", "j", F.col("i").alias("tile")).unionByName(todo.where("i <> j").select("c", "i", "j", F.col("j").alias("tile")))
         rest = scratch.keep(_resolve(texts.join(sides, ["c", "tile"]).select("c", "i", "j", "s", "text"), k, percent, partitions), "rest")
         roots = done.unionByName(connected(partial.unionByName(rest.select("u", "v"))))
-    return _finish(sets, classes, roots)
+    if not with_links:
+        return _finish(sets, classes, roots)
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1))
+    every = texts.join(classes.select("s", "w"), "s").withColumn("o", other).select("c", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "s", "w", "text")
+    return _finish(sets, classes, roots, scratch.keep(_degrees(every, k, percent, partitions), "degrees"))
 
 
-def _finish(sets: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Name each component by its smallest doc_id."""
+def _finish(sets: DataFrame, classes: DataFrame, roots: DataFrame, degrees: DataFrame | None = None) -> DataFrame:
+    """Name each component by its smallest doc_id; with ``degrees`` also count each row's links."""
     rooted = classes.join(roots, classes.s == roots.node, "left").select("s", "rep", F.coalesce("root", "s").alias("root"))
     named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     label = rooted.join(named, "root").select(F.col("s").alias("ls"), "component_id")
     out = sets.join(label, sets.s == F.col("ls"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
+    if degrees is not None:
+        # Of the rows of its own class a row with a doc_id is one itself.
+        own = classes.where("rep IS NOT NULL").join(degrees, "s", "left").select(F.col("s").alias("os"), (F.col("w") + F.coalesce("links", F.lit(0))).alias("reach"))
+        out = out.join(own, out.s == F.col("os"), "left")
+        columns.append(F.when(F.col("n") == 0, 0).otherwise(F.col("reach") - F.col("doc_id").isNotNull().cast("bigint")).cast("bigint").alias("n_links"))
+    return out.select(*columns)

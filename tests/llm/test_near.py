@@ -76,6 +76,25 @@ def test_components(spark, monkeypatch, hot, tile):
     assert sorted(got, key=repr) == brute_components(rows)
 
 
+def brute_links(rows):
+    sets = []
+    for _, t in rows:
+        w = words_of(t)
+        sets.append({tuple(w[i: i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set()))
+    named = [j for j, (d, _) in enumerate(rows) if d is not None]
+    links = lambda i: sum(j != i and bool(sets[i]) and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) for j in named)
+    return sorted(((d, len(sets[i]), links(i)) for i, (d, _) in enumerate(rows)), key=repr)
+
+
+@pytest.mark.parametrize("tile", [1024, 4])
+def test_links_of_documents(spark, monkeypatch, tile):
+    monkeypatch.setattr(jaccard, "TILE_CLASSES", tile)
+    rows = corpus(3)
+    got = jaccard.components(frame(spark, rows), with_links=True).collect()
+    assert sorted(((g.doc_id, g.n_shingles, g.n_links) for g in got), key=repr) == brute_links(rows)
+    assert sorted(((g.doc_id, g.n_shingles, g.component_id) for g in got), key=repr) == brute_components(rows)
+
+
 def test_components_of_nothing(spark):
     assert jaccard.components(frame(spark, [])).count() == 0
     assert jaccard.components(frame(spark, [(1, None)])).collect()[0][:] == (1, 0, 1)
