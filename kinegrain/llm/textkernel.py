@@ -9,13 +9,14 @@ of the buffer, and a batch is cut between documents only.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Odd multiplier of the polynomial prefix hash and its inverse modulo 2**64.
+#: Odd multiplier of the rolling hash of k-grams and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Bytes of text handled at once; a longer document is a batch of its own.
@@ -32,7 +33,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=U64) * U64(BASE))
+#: Bytes from which a span is digested as a whole.
+LONG_SPAN = 128
+#: By number of bytes, the bits of a little-endian word that they take.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -110,11 +114,29 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tupl
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; equal bytes have equal hashes anywhere."""
-    n = len(raw)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(_BYTE_VALUES[raw] * powers(BASE, n), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(BASE_INV, n + 1)[starts] + (ends - starts).astype(U64))
+    """A 64-bit hash of each byte span; equal bytes have equal hashes anywhere.
+
+    Spans are mixed eight bytes at a time, every step a bijection of what came
+    before; those of over ``LONG_SPAN`` bytes get a BLAKE2b digest. No span is
+    told from another by a sum of powers, so repetitive bytes do not collide by
+    construction.
+    """
+    size = ends - starts
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    out = mix(size.astype(U64) * U64(BASE) + U64(1))
+    at = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    done = 0
+    while len(at):
+        rest = size[at] - done
+        block = eight[starts[at] + done] & _MASKS[np.minimum(rest, 8)]
+        out[at] = mix(out[at] ^ (block + U64(BASE)))
+        at = at[rest > 8]
+        done += 8
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i]: ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -157,3 +179,13 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         return
+
+
+def keep_pages() -> None:
+    """Let the allocator reuse arrays of up to 32 MB within a task instead of asking for fresh pages each time."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        return

@@ -4,8 +4,10 @@ A text is cut before single spaces that stand between other characters. Such a
 cut is a boundary of the tokenizers' own pre-tokenization, so the ids of the
 chunks, joined, are the ids of the text; where a space meets other white space
 there is no cut and the chunk is longer. Chunks are looked up by a 64-bit hash
-of their bytes in a table of bounded size, a whole batch at a time, and the
-chunks that are new are encoded together by the tokenizers library.
+of their bytes in a table of bounded size, a whole batch at a time, and every
+hit is compared with the stored bytes. The chunks that are new are encoded
+together by the tokenizers library; long ones, and any whose hash another chunk
+has taken, are encoded anew each time and never stored.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ TABLE_BITS = 21
 PROBES = 16
 #: Characters of new chunks encoded in one call.
 JOIN_CHARS = 50_000
+#: Longest chunk in bytes that is stored, and ids stored, before the table starts afresh.
+LONGEST = 64
+POOL_IDS = 1 << 23
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
@@ -103,10 +108,14 @@ class Encoder:
 
     def _clear(self) -> None:
         self.keys = np.zeros(1 << TABLE_BITS, np.uint64)
-        self.at = np.zeros(1 << TABLE_BITS, np.int64)
-        self.size = np.zeros(1 << TABLE_BITS, np.int32)
+        self.at = np.zeros(1 << TABLE_BITS, np.int32)
+        self.size = np.zeros(1 << TABLE_BITS, np.uint16)
+        # A chunk's bytes: where they lie in a pool of eight-byte words, and how many there are.
+        self.text_at = np.zeros(1 << TABLE_BITS, np.int32)
+        self.text_size = np.zeros(1 << TABLE_BITS, np.uint8)
+        self.words = np.zeros(1 << 16, np.uint64)
         self.pool = np.zeros(1 << 20, np.uint32)
-        self.used = self.filled = 0
+        self.used = self.words_used = self.filled = 0
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -126,13 +135,34 @@ class Encoder:
             open_ = open_[~hit & (self.keys[at] != 0)]
         return out
 
-    def _insert(self, hashes: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+    def _same(self, slot: np.ndarray, eight: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether each slot holds exactly the chunk's bytes."""
+        out = self.text_size[slot] == size
+        at = np.flatnonzero(out)
+        done = 0
+        while len(at):
+            rest = size[at] - done
+            out[at] = (eight[starts[at] + done] & tk._MASKS[np.minimum(rest, 8)]) == self.words[self.text_at[slot[at]] + (done >> 3)]
+            at = at[(rest > 8) & out[at]]
+            done += 8
+        return out
+
+    def _insert(self, hashes: np.ndarray, counts: np.ndarray, ids: np.ndarray, eight: np.ndarray, starts: np.ndarray, size: np.ndarray) -> None:
         mask = (1 << TABLE_BITS) - 1
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros(len(self.pool), np.uint32)))
         self.pool[self.used: self.used + len(ids)] = ids
         at = self.used + np.cumsum(counts) - counts
         self.used += len(ids)
+        wide = -(-size // 8)
+        total = int(wide.sum())
+        while self.words_used + total > len(self.words):
+            self.words = np.concatenate((self.words, np.zeros(len(self.words), np.uint64)))
+        word_at = self.words_used + np.cumsum(wide) - wide
+        inside = tk.ragged(np.zeros(len(wide), np.int64), wide)
+        rest = np.repeat(size, wide) - 8 * inside
+        self.words[self.words_used: self.words_used + total] = eight[np.repeat(starts, wide) + 8 * inside] & tk._MASKS[np.minimum(rest, 8)]
+        self.words_used += total
         home = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
         left = np.arange(len(hashes))
         for probe in range(PROBES):
@@ -140,13 +170,19 @@ class Encoder:
             free = self.keys[slot] == 0
             self.keys[slot[free]] = hashes[left[free]]
             won = free & (self.keys[slot] == hashes[left])
-            self.at[slot[won]], self.size[slot[won]] = at[left[won]], counts[left[won]]
+            into, of = slot[won], left[won]
+            self.at[into], self.size[into] = at[of], counts[of]
+            self.text_at[into], self.text_size[into] = word_at[of], size[of]
             self.filled += int(won.sum())
             left = left[~won]
 
     def _encode_new(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """New chunks in some order, the ids of each, joined, and their counts."""
         size = ends - starts
+        at = tk.ragged(starts, size)
+        raw, letters = raw[at], letters[at]
+        ends = np.cumsum(size)
+        starts = ends - size
         count = lambda flag: np.concatenate(([0], np.cumsum(flag)))
         inside = lambda c: c[ends] - c[starts]
         spaces, blanks, zeros = inside(count(raw == 0x20)), inside(count(_BLANK[raw])), inside(count(raw == 0))
@@ -218,31 +254,43 @@ class Encoder:
         letters = latin_letters(raw)
         starts = chunk_starts(raw, offsets, letters)
         ends = np.append(starts[1:], len(raw))
+        length = ends - starts
+        padded = np.zeros(len(raw) + 8, np.uint8)
+        padded[: len(raw)] = raw
+        eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
         hashes = tk.span_hashes(raw, starts, ends) | np.uint64(1)
+        short = length <= LONGEST
         slot = self._find(hashes)
-        new, first = np.unique(hashes[slot < 0], return_index=True)
-        ids = counts = np.zeros(0, np.int64)
+        new, index = np.unique(hashes[(slot < 0) & short], return_index=True)
         if len(new):
-            if self.filled + len(new) > 1 << (TABLE_BITS - 1):
+            if self.filled + len(new) > 1 << (TABLE_BITS - 1) or self.used > POOL_IDS:
                 self._clear()
-                new, index = np.unique(hashes, return_index=True)
+                index = np.flatnonzero(short)[np.unique(hashes[short], return_index=True)[1]]
             else:
-                index = np.flatnonzero(slot < 0)[first]
+                index = np.flatnonzero((slot < 0) & short)[index]
             order, ids, counts = self._encode_new(raw, starts[index], ends[index], letters)
-            new = new[order]
-            self._insert(new, counts, ids)
+            index = index[order]
+            self._insert(hashes[index], counts, ids, eight, starts[index], length[index])
             slot = self._find(hashes)
-        known = slot >= 0
+        known = (slot >= 0) & short
+        known[known] = self._same(slot[known], eight, starts[known], length[known])
         size = np.zeros(len(hashes), np.int64)
         size[known] = self.size[slot[known]]
         at = np.zeros(len(hashes), np.int64)
         at[known] = self.at[slot[known]]
-        if not known.all():
-            # The few that found no slot near theirs were still encoded, at the pool's end.
-            by_hash = np.argsort(new)
-            lost = by_hash[np.searchsorted(new[by_hash], hashes[~known])]
-            size[~known] = counts[lost]
-            at[~known] = self.used - len(ids) + (np.cumsum(counts) - counts)[lost]
+        pool = self.pool
+        other = np.flatnonzero(~known)
+        if len(other):
+            # Long chunks, and the few that found no slot or another chunk's hash in theirs.
+            data = raw.tobytes()
+            texts = [data[i:j] for i, j in zip(starts[other].tolist(), ends[other].tolist())]
+            number = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+            encoded = self._ids([t.decode() for t in number])
+            counts = np.array([len(x) for x in encoded])
+            lost = np.array([number[t] for t in texts])
+            size[other] = counts[lost]
+            at[other] = self.used + (np.cumsum(counts) - counts)[lost]
+            pool = np.concatenate((pool[: self.used], *(np.array(x, np.uint32) for x in encoded)))
         docs = len(offsets) - 1
         of_doc = np.searchsorted(starts, offsets[:-1])
         upto = np.concatenate(([0], np.cumsum(size)))
@@ -253,7 +301,7 @@ class Encoder:
         body = np.ones(len(out), bool)
         body[closing] = False
         out[closing] = end_id
-        out[body] = self.pool[tk.ragged(at, size)]
+        out[body] = pool[tk.ragged(at, size)]
         return out, per_doc + 1
 
 
@@ -264,5 +312,6 @@ def encoder(path: str, spaced: bool) -> Encoder:
     """The worker's encoder for a vocabulary file."""
     key = (path, spaced)
     if key not in _encoders:
+        tk.keep_pages()
         _encoders[key] = Encoder(path, spaced)
     return _encoders[key]
