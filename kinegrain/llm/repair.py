@@ -1,7 +1,7 @@
 """Re-Pair grammar compression of one shard of token ids.
 
 Frequent pairs of neighbouring symbols are replaced by new symbols, round by
-round, until no pair is frequent enough. A rule never spans two documents, so
+round, until no pair occurs ``LEAST_COUNT`` times. A rule never spans two documents, so
 each document is a run of symbols of its own and can be decoded alone; the
 stored expansion lengths tell where inside the ids a symbol lands.
 
@@ -22,11 +22,9 @@ import numpy as np
 MAGIC = b"KGR1"
 #: A pair must occur this often in a shard to become a rule.
 LEAST_COUNT = 12
-#: Pairs of at least this share of the round's most frequent pair are replaced together.
-ROUND_SHARE = 0.12
-MAX_ROUNDS = 8
-_HASH_BITS = 20
-_MULT = np.uint64(0x9E3779B97F4A7C15)
+#: Pairs of at least this share of the round's most frequent pair are replaced together; rarer ones wait for a later round.
+ROUND_SHARE = 0.05
+_NONE = np.iinfo(np.int32).max
 
 
 def build(ids: np.ndarray, first: np.ndarray, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
@@ -34,69 +32,68 @@ def build(ids: np.ndarray, first: np.ndarray, least: int = LEAST_COUNT) -> tuple
 
     Gives (symbols, first symbol of each document with one end, rule left
     sides, rule right sides, id of the first rule).
+
+    Only ``at``, the places whose pair may still be frequent, is looked at: all
+    of them first, then those of pairs that were frequent and those beside a
+    new symbol, since any other pair only becomes rarer. Every round replaces
+    at least the most frequent pair, so the loop ends, and it ends when no pair
+    occurs ``least`` times.
     """
     base = int(ids.max()) + 1 if len(ids) else 0
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)  # the last symbol of its document
-    ends = first[1:][first[1:] > first[:-1]]
-    last[ends - 1] = True
+    last[first[1:][first[1:] > first[:-1]] - 1] = True
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     made = 0
-    for _ in range(MAX_ROUNDS):
-        n = len(seq) - 1
-        if n < 1:
-            break
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        slot = ((key * _MULT) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
-        open_ = ~last[:-1]
-        # Counts of slots bound the counts of pairs from above, so most pairs drop out unsorted.
-        bound = np.bincount(slot[open_], minlength=1 << _HASH_BITS)
-        at = np.flatnonzero(open_ & (bound[slot] >= least))
+    at = np.flatnonzero(~last)
+    ranks = np.full(len(seq) + 2, _NONE, np.int32)  # of the pair at each place, one further right
+    while len(at) >= least:
+        at, count = _frequent(seq, at, base + made, least)
         if not len(at):
             break
-        pairs = np.sort(key[at])
-        edge = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1], [True])))
-        count = np.diff(edge)
-        most = int(count.max())
-        if most < least:
-            break
-        chosen = count >= max(least, int(most * ROUND_SHARE))
-        keys, count = pairs[edge[:-1]][chosen], count[chosen]
         order = np.argsort(-count, kind="stable")
-        keys = keys[order]
-        # One pair for each slot; others wait for a later round.
-        key_slot = ((keys * _MULT) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
-        rank_of = np.full(1 << _HASH_BITS, -1, np.int32)
-        rank_of[key_slot[::-1]] = np.arange(len(keys), dtype=np.int32)[::-1]
-        rank = rank_of[slot[at]]
-        hit = rank >= 0
-        hit[hit] = keys[rank[hit]] == key[at[hit]]
-        at, rank = at[hit], rank[hit]
-        # Of overlapping pairs the more frequent one goes first, of equal ones every second from the left.
-        whole = np.full(n + 2, np.iinfo(np.int32).max, np.int32)
-        whole[at + 1] = rank
-        take = (rank <= whole[at]) & (rank <= whole[at + 2])
-        at, rank = at[take], rank[take]
-        opens = np.concatenate(([True], np.diff(at) > 1))
-        run_start = at[np.maximum.accumulate(np.where(opens, np.arange(len(at)), 0))]
-        even = (at - run_start) % 2 == 0
-        at, rank = at[even], rank[even]
-        uses = np.bincount(rank, minlength=len(keys))
-        good = uses >= 2
-        if not good.any():
-            break
-        number = np.cumsum(good) - 1
-        sel = good[rank]
-        at, rank = at[sel], rank[sel]
-        left.append((keys[good] >> np.uint64(32)).astype(np.uint32))
-        right.append((keys[good] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        seq[at] = (base + made + number[rank]).astype(np.uint32)
-        made += int(good.sum())
-        last[at] = last[at + 1]
+        chosen = int(np.searchsorted(-count[order], -max(least, int(count[order[0]] * ROUND_SHARE)), side="right"))
+        rank_of = np.full(len(count), _NONE, np.int32)
+        rank_of[order[:chosen]] = np.arange(chosen, dtype=np.int32)
+        now = np.repeat(rank_of < chosen, count)
+        place, rank = at[now], np.repeat(rank_of[rank_of < chosen], count[rank_of < chosen])
+        # Of overlapping pairs the more frequent one goes first.
+        ranks[place + 1] = rank
+        take = (rank <= ranks[place]) & (rank <= ranks[place + 2])
+        ranks[place + 1] = _NONE
+        place, rank = place[take], rank[take]
+        # A pair of equal symbols may overlap itself: of such a run every second one goes, from the left.
+        head = at[(np.cumsum(count) - count)[order[:chosen]]]
+        head_left, head_right = seq[head], seq[head + 1]
+        twin = np.flatnonzero((head_left == head_right)[rank])
+        if len(twin):
+            x, y = place[twin], rank[twin]
+            opens = np.concatenate(([True], (x[1:] != x[:-1] + 1) | (y[1:] != y[:-1])))
+            step = np.arange(len(x))
+            keep = np.ones(len(place), bool)
+            keep[twin[(step - np.maximum.accumulate(np.where(opens, step, 0))) % 2 == 1]] = False
+            place, rank = place[keep], rank[keep]
+        good = np.bincount(rank, minlength=chosen) >= max(least // 2, 1)
+        number = (base + made + np.cumsum(good) - 1).astype(np.uint32)
+        used = good[rank]
+        place, rank = place[used], rank[used]
+        left.append(head_left[good])
+        right.append(head_right[good])
         stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
+        stay[place + 1] = False
+        seq[place] = number[rank]
+        last[place] = last[place + 1]
+        made += int(good.sum())
+        live = np.zeros(len(seq) + 1, bool)  # the spare end takes what is left of place 0
+        live[at] = True
+        live[place] = True
+        # The pair before a new symbol; what stands there may itself have just lost its right side.
+        before = place - 1
+        before[~stay[before]] -= 1
+        live[before] = True
         seq, last = seq[stay], last[stay]
+        at = np.flatnonzero(live[:-1][stay] & ~last)
     # Documents without ids have no symbol; the others end where `last` says.
     closing = np.flatnonzero(last) + 1
     begins = np.zeros(len(first), np.int64)
@@ -107,6 +104,23 @@ def build(ids: np.ndarray, first: np.ndarray, least: int = LEAST_COUNT) -> tuple
     return seq, begins, cat(left), cat(right), base
 
 
+def _frequent(seq: np.ndarray, at: np.ndarray, symbols: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places by pair, from the left in each; count of each pair) for pairs at ``at`` that occur ``least`` times."""
+    wide, long = symbols.bit_length(), len(seq).bit_length()
+    pair = (seq[at].astype(np.uint64) << np.uint64(wide)) | seq[at + 1]
+    if 2 * wide + long <= 64:
+        both = np.sort((pair << np.uint64(long)) | at.astype(np.uint64))
+        pair = both >> np.uint64(long)
+        at = (both & np.uint64((1 << long) - 1)).astype(np.int64)
+    else:
+        order = np.argsort(pair, kind="stable")
+        pair, at = pair[order], at[order]
+    edge = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1], [True])))
+    count = np.diff(edge)
+    frequent = count >= least
+    return at[np.repeat(frequent, count)], count[frequent]
+
+
 def expansion_lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
     """Ids that each rule stands for. Rules refer to earlier rules only."""
     out = np.zeros(len(left), np.int64)
@@ -138,21 +152,23 @@ def rule_levels(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, base: int, lengths: np.ndarray) -> np.ndarray:
-    """The ids of a run of symbols."""
-    symbols = symbols.astype(np.uint32)
-    while True:
-        rule = np.flatnonzero(symbols >= base)
-        if not len(rule) or not len(left):
-            return symbols
-        size = np.ones(len(symbols), np.int64)
-        size[rule] = 2
-        to = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.uint32)
-        out[to] = symbols
-        k = symbols[rule].astype(np.int64) - base
-        out[to[rule]] = left[k]
-        out[to[rule] + 1] = right[k]
-        symbols = out
+    """The ids of a run of symbols.
+
+    A rule's place in the ids is known from the lengths, so each step splits
+    the rules that are left into their sides and writes what is an id.
+    """
+    size = _size(symbols, lengths, base)
+    out = np.empty(int(size.sum()), np.uint32)
+    place = np.cumsum(size) - size
+    while len(symbols):
+        rule = symbols >= base if len(left) else np.zeros(len(symbols), bool)
+        done = ~rule
+        out[place[done]] = symbols[done]
+        k, place = symbols[rule].astype(np.int64) - base, place[rule]
+        one, two = left[k], right[k]
+        place = np.concatenate((place, place + _size(one, lengths, base)))
+        symbols = np.concatenate((one, two))
+    return out
 
 
 def write_shard(doc_ids: np.ndarray, null: np.ndarray, ids: np.ndarray, first: np.ndarray) -> bytes:
