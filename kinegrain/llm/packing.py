@@ -4,7 +4,9 @@ A document of n tokens is cut into pieces whose lengths are powers of two:
 whole pieces of the longest length first, then the binary digits of the rest.
 Pieces of one length form a bucket, and each piece is a sequence of its own,
 so no sequence crosses documents and none needs padding; a batch is drawn from
-one bucket, with as many sequences as its length allows.
+one bucket, with as many sequences as its length allows. A sequence's number
+is made of its bucket, its task and its place there, so it is known where the
+piece is made and nothing is moved or counted twice.
 """
 
 from __future__ import annotations
@@ -15,16 +17,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinegrain.llm import scratch
 from kinegrain.llm import textkernel as tk
 from kinegrain.llm.tokenmemo import encoder
 
-#: Rows of 32 bytes that may be sent to every worker.
-BROADCAST_ROWS = 500_000
-SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, rank bigint, ids binary"
+SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, batch_id bigint, ids binary"
+#: Bits of a sequence id under the bucket, and under the task: 2**24 tasks, 2**32 sequences of one length in each.
+BUCKET_SHIFT, TASK_SHIFT = 56, 32
 
 
 def piece_lengths(n: int, longest: int) -> list[int]:
@@ -37,15 +39,14 @@ def piece_lengths(n: int, longest: int) -> list[int]:
 def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 2048, batch_tokens: int = 1 << 16) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, batch_id, ids.
 
-    ``ids`` are little-endian unsigned 32-bit integers. Sequences are numbered
-    without gaps, by length from longest to shortest, so a bucket is a range of
-    sequence ids and ``batch_id`` (bucket's share of ``batch_tokens``) a part of
-    it. A null or empty text has the end id alone, hence one piece of length 1.
-    Repeated rows and null doc_ids are documents like others; other columns are
-    ignored. An empty table gives no rows. ``longest`` must be a power of two.
-
-    Tokens are written once, where they are made; numbering then moves only
-    one count for each partition and length.
+    ``ids`` are little-endian unsigned 32-bit integers. ``sequence_id`` is
+    unique; ids of longer sequences are smaller, so a bucket is a range of them,
+    with gaps between the tasks' parts. ``batch_id`` numbers alike the batches
+    of at most ``batch_tokens`` (one sequence at least) of a task's part of a
+    bucket. A null or empty text has the end id alone, hence one piece of length
+    1. Repeated rows and null doc_ids are documents like others; other columns
+    are ignored. An empty table gives no rows. ``longest`` must be a power of
+    two. Nothing is shuffled, written between or broadcast.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -64,33 +65,20 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 2048, batc
                 doc = np.repeat(np.arange(len(sizes)), [len(x) for x in lengths])
                 length = np.array([x for y in lengths for x in y], np.int64)
                 begin = np.cumsum(length) - length
-                bit = np.log2(length).astype(np.int64)
+                bucket = longest.bit_length() - 1 - np.log2(length).astype(np.int64)
                 rank = np.zeros(len(length), np.int64)
-                for k in np.unique(bit):
-                    own = np.flatnonzero(bit == k)
+                for k in np.unique(bucket):
+                    own = np.flatnonzero(bucket == k)
                     rank[own] = ranks[k] + np.arange(len(own))
                     ranks[k] += len(own)
+                high = (bucket << BUCKET_SHIFT) | (part << TASK_SHIFT)
                 raw = memoryview(ids.astype("<u4").tobytes())
-                pieces = [raw[4 * i: 4 * (i + n)] for i, n in zip(begin.tolist(), length.tolist())]
+                crc = [zlib.crc32(raw[4 * i: 4 * (i + n)]) for i, n in zip(begin.tolist(), length.tolist())]
                 yield pa.RecordBatch.from_arrays([
-                    sub.column(0).take(pa.array(doc)), pa.array(begin - first[doc]), pa.array(length), pa.array([zlib.crc32(x) for x in pieces], pa.int64()),
-                    pa.array(sizes[doc]), pa.array(np.full(len(doc), part, np.int32)), pa.array(rank),
+                    sub.column(0).take(pa.array(doc)), pa.array(begin - first[doc]), pa.array(length), pa.array(crc, pa.int64()), pa.array(sizes[doc]),
+                    pa.array(high | rank), pa.array(np.zeros(len(doc), np.int64)), pa.array(high | (rank // np.maximum(batch_tokens // length, 1))),
                     pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(np.append(begin, len(ids)).astype(np.int64) * 4), pa.py_buffer(raw)]).cast(pa.binary())],
-                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank", "ids"])
+                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "batch_id", "ids"])
         tk.trim()
 
-    pieces = scratch.keep(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA), "pieces")
-    counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
-    # At most one row for each length and partition of the writer.
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    longer = counts.groupBy("length").agg(F.sum("n").alias("n"))
-    longer = longer.select("length", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    at = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("in_bucket")).join(longer, "length")
-    at = scratch.keep(at.select("length", "part", "in_bucket", "base"), "buckets")
-    # One small row for each length and partition: beside the tokens' rows only while it is few.
-    at = F.broadcast(at) if at.count() <= BROADCAST_ROWS else at
-    numbered = pieces.join(at, ["length", "part"])
-    in_bucket = F.col("in_bucket") + F.col("rank")
-    return numbered.select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + in_bucket).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"),
-        F.floor(in_bucket * F.col("length") / batch_tokens).alias("batch_id"), "ids")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
