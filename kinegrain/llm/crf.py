@@ -108,16 +108,16 @@ def marginals(layout: Layout, emission: np.ndarray, transition: np.ndarray, pair
     return p
 
 
-def fit(first: np.ndarray, features: np.ndarray, labels: np.ndarray, size: int, weights: np.ndarray, rounds: int = 40, rate: float = 0.25, decay: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+def fit(first: np.ndarray, features: np.ndarray, labels: np.ndarray, size: int, weights: np.ndarray, rounds: int = 40, rate: float = 0.25, decay: float = 0.02, start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Maximise the likelihood of ``labels``; gives (feature weights, transition).
 
     ``features`` has a row of feature numbers for each token, of which ``size``
     exist; number 0 is on for no token's own account but serves as the bias.
-    ``weights`` says how much a sequence's tokens count.
+    ``weights`` says how much a sequence's tokens count; ``start`` is a result to go on from.
     """
     layout = Layout(first)
     seen = np.bincount(features.ravel(), minlength=size)
-    w, transition = np.zeros(size), np.array([[0.0, -3.0], [0.0, -1.0]])
+    w, transition = (x.copy() for x in start) if start else (np.zeros(size), np.array([[0.0, -3.0], [0.0, -1.0]]))
     m_w, v_w, m_t, v_t = np.zeros(size), np.zeros(size), np.zeros((2, 2)), np.zeros((2, 2))
     y = labels.astype(np.int64)
     before = np.concatenate(([0], y[:-1]))

@@ -1,10 +1,12 @@
 """Toxicity by a linear-chain conditional random field.
 
-Labels mark documents. Word forms and word beginnings that toxic training
-documents have and others lack label the tokens; a chain over the tokens is
-trained on them, so a token is judged by its own forms and by its neighbours.
-Forward-backward marginals give offending spans, and their sums a document's
-score, calibrated on the training documents.
+Labels mark documents, not words. Words and word beginnings that occur in toxic
+training documents significantly more often than in others give the tokens of
+toxic documents their first labels. A chain over the tokens is trained on them,
+so a token is judged by its own forms, also ones that had no label, and by its
+neighbours; then the chain's own marginals relabel the toxic documents, and it
+is trained again. Forward-backward marginals give offending spans, and their
+sums a document's score, calibrated on the training documents.
 """
 
 from __future__ import annotations
@@ -19,20 +21,33 @@ from pyspark.sql import functions as F
 
 from kinegrain.llm import crf, scratch
 from kinegrain.llm import textkernel as tk
+from kinegrain.llm.sampling import stretches
 
-#: Bound of the training sample: distinct texts, and characters of one.
+#: Bound of the training sample: distinct texts, and characters of one. A longer
+#: text trains by words from all of it, in stretches spread evenly (`stretches`).
 SAMPLE_DOCS = 4000
-SAMPLE_CHARS = 50_000
+SAMPLE_CHARS = 8_000
 FEATURE_BITS = 18
 #: Tokens of training texts that are calibrated at once.
 SLICE_TOKENS = 200_000
 #: Lengths in bytes of the word beginnings that are features beside the whole word.
-BEGINNINGS = (4, 5, 6)
-#: A form marks tokens when this many toxic texts have it, at least this share of
-#: all toxic texts, and when this share of the texts that have it is toxic.
-LEAST_DOCS = 3
+BEGINNINGS = (4, 5, 6, 7, 8)
+#: A form marks tokens when this many toxic texts have it, and this share of all of
+#: them, when it is this many times as frequent among the words of toxic texts as
+#: among others', and when twice the log likelihood ratio of the two rates is at
+#: least this. A text adds a form at most so often, and of near copies one counts.
+LEAST_DOCS = 2
 LEAST_SUPPORT = 0.015
-LEAST_SHARE = 0.85
+LEAST_RATIO = 6.0
+LEAST_EVIDENCE = 15.0
+MOST_PER_TEXT = 5
+#: Words the chain is fitted on: all toxic texts of the sample, then others up to this bound.
+FIT_WORDS = 400_000
+#: Steps of the first fit, and after the toxic texts are relabelled by the marginals that reach the bound.
+FIT_STEPS = (40, 12)
+RELABEL_MARGINAL = 0.5
+#: Minimum hashes of a toxic training text, and the share of them that makes two texts near copies.
+SKETCH, COPY_SHARE = 64, 0.4
 THRESHOLD = 0.3
 #: Marginals that count towards a document's sum.
 LEAST_MARGINAL = 0.25
@@ -42,7 +57,8 @@ LEAST_MARGINAL = 0.25
 class Model:
     weights: np.ndarray  # float32, by feature number
     transition: np.ndarray
-    calibration: np.ndarray  # of (1, log(1 + expected toxic tokens), largest marginal)
+    calibration: np.ndarray  # of `document_features`
+    evidence: bool = True  # False: no form is known to mark anything, and the score says nothing
 
 
 def token_features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -62,18 +78,19 @@ def token_features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.
 
 
 def document_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(1, log(1 + sum of marginals), largest marginal) of every document.
+    """(1, log(1 + m), largest marginal, log(1 + 100 m / words)) of every document, m its sum of marginals.
 
     Marginals under ``LEAST_MARGINAL`` stay out of the sum, so that length alone
     does not make a text toxic.
     """
     total = np.concatenate(([0.0], np.cumsum(np.where(p >= LEAST_MARGINAL, p, 0))))
-    mass = total[first[1:]] - total[first[:-1]]
+    mass = np.maximum(total[first[1:]] - total[first[:-1]], 0)
+    size = np.maximum(np.diff(first), 1)
     top = np.zeros(len(first) - 1)
     filled = first[1:] > first[:-1]
     if filled.any():
         top[filled] = np.maximum.reduceat(p, first[:-1][filled])
-    return np.stack((np.ones(len(top)), np.log1p(np.maximum(mass, 0)), top), axis=1)
+    return np.stack((np.ones(len(top)), np.log1p(mass), top, np.log1p(100 * mass / size)), axis=1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -86,11 +103,60 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
+def marking_forms(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Feature numbers that toxic texts have significantly more often, as flags."""
+    size = 1 << FEATURE_BITS
+    counts, docs = np.zeros((2, size)), np.zeros(size, np.int64)
+    for c in range(features.shape[1]):
+        # Beginnings of different lengths never share a number but by chance, so columns add up.
+        pair, n = np.unique(doc * size + features[:, c], return_counts=True)
+        bad = toxic[pair // size].astype(bool)
+        form = pair % size
+        n = np.minimum(n, MOST_PER_TEXT)
+        counts[1] += np.bincount(form[bad], n[bad], minlength=size)
+        counts[0] += np.bincount(form[~bad], n[~bad], minlength=size)
+        docs += np.bincount(form[bad], minlength=size)
+    words = np.bincount(toxic[doc], minlength=2).astype(float)
+    total = counts.sum(axis=0)
+    rate = (counts + 0.5) / np.maximum(words, 1)[:, None]
+    expected = total * (words / words.sum())[:, None]
+    part = np.where(counts > 0, counts * np.log(np.maximum(counts, 1e-9) / np.maximum(expected, 1e-9)), 0)
+    return (docs >= max(LEAST_DOCS, LEAST_SUPPORT * toxic.sum())) & (rate[1] >= LEAST_RATIO * rate[0]) & (2 * part.sum(axis=0) >= LEAST_EVIDENCE)
+
+
+def originals(words: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Flags of texts, without toxic ones that are near copies of an earlier toxic one.
+
+    Copies of one toxic text share all its rare words, which would make these
+    look like words of toxic texts in general.
+    """
+    out = np.ones(len(toxic), bool)
+    bad = np.flatnonzero(toxic)
+    own = np.flatnonzero(toxic[doc].astype(bool))
+    seen = np.isin(bad, doc[own])
+    first = np.searchsorted(doc[own], bad[seen])
+    sketch = np.full((len(bad), SKETCH), np.arange(len(bad))[:, None] + (1 << 40), np.uint64)
+    base = words[own].astype(np.uint64)
+    for k in range(SKETCH):
+        hashed = tk.mix(base + np.uint64((k + 1) * tk.BASE % (1 << 64))) >> np.uint64(24)
+        if len(first):
+            sketch[seen, k] = np.minimum.reduceat(hashed, first)
+    for i in range(1, len(bad)):
+        leaders = np.flatnonzero(out[bad[:i]])
+        out[bad[i]] = not ((sketch[leaders] == sketch[i]).mean(axis=1) >= COPY_SHARE).any()
+    return out
+
+
 def train(texts: list[str], toxic: np.ndarray) -> Model:
-    """Fit on distinct texts with 0/1 labels. Without both labels the score is their smoothed share."""
+    """Fit on distinct texts with 0/1 labels.
+
+    Without both labels, or without any form that marks toxic texts, there is
+    no evidence: every score is then the labels' smoothed share, and
+    `drop_toxic` drops nothing.
+    """
     size = 1 << FEATURE_BITS
     share = (toxic.sum() + 0.5) / (len(toxic) + 1.0) if len(toxic) else 0.0
-    flat = Model(np.zeros(size, np.float32), np.array([[0.0, -3.0], [0.0, -1.0]]), np.array([np.log(share / (1 - share)) if share else -30.0, 0, 0]))
+    flat = Model(np.zeros(size, np.float32), np.array([[0.0, -3.0], [0.0, -1.0]]), np.array([np.log(share / (1 - share)) if share else -30.0, 0, 0, 0]), False)
     if not len(toxic) or toxic.all() or not toxic.any():
         return flat
     firsts, feats = [np.zeros(1, np.int64)], []
@@ -99,33 +165,32 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
         firsts.append(first[1:] + firsts[-1][-1])
     features, first = np.concatenate(feats), np.concatenate(firsts)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    marked = np.zeros(len(features), bool)
-    for c in range(features.shape[1]):
-        # Documents, not tokens, are counted.
-        pair = np.unique(doc * size + features[:, c])
-        have = np.bincount(pair % size, minlength=size)
-        bad = np.bincount((pair % size)[toxic[pair // size].astype(bool)], minlength=size)
-        mark = (bad >= max(LEAST_DOCS, LEAST_SUPPORT * toxic.sum())) & (bad >= LEAST_SHARE * have)
-        marked |= mark[features[:, c]]
-    labels = marked & toxic[doc].astype(bool)
+    if not len(doc):
+        return flat
+    bad = toxic[doc].astype(bool)
+    single = originals(features[:, 0], doc, toxic)[doc]
+    labels = marking_forms(features[single], doc[single], toxic)[features].any(axis=1) & bad
     if not labels.any():
         return flat
-    # The chain is fitted on all texts that hold a marked token and on four times as many others.
-    per_doc = np.bincount(doc[labels], minlength=len(texts)) > 0
-    others = np.flatnonzero(~per_doc)
-    chosen = np.sort(np.concatenate((np.flatnonzero(per_doc), others[: 4 * int(per_doc.sum())])))
-    sizes = np.diff(first)[chosen]
-    at = tk.ragged(first[:-1][chosen], sizes)
-    part_first = np.concatenate(([0], np.cumsum(sizes)))
-    weights, transition = crf.fit(part_first, features[at], labels[at], size, np.ones(len(at)))
-    # Calibration is on all texts, a few at a time.
-    rows = []
-    for a, b in tk.slices(first, SLICE_TOKENS):
-        i, j = first[a], first[b]
-        p = crf.marginals(crf.Layout(first[a: b + 1] - i), weights[features[i:j]].sum(axis=1) + weights[0], transition)
-        rows.append(document_features(p, first[a: b + 1] - i))
-    calibration = logistic(np.concatenate(rows), toxic.astype(float))
-    del features, doc, marked, labels, at
+    sizes = np.diff(first)
+    others = np.flatnonzero(toxic == 0)
+    room = max(FIT_WORDS - int(sizes[toxic == 1].sum()), FIT_WORDS // 2)
+    fitted = np.sort(np.concatenate((np.flatnonzero(toxic), others[np.cumsum(sizes[others]) <= room])))
+    at = tk.ragged(first[:-1][fitted], sizes[fitted])
+    part_first, part = np.concatenate(([0], np.cumsum(sizes[fitted]))), features[at]
+    start = p = None
+    for steps in FIT_STEPS:
+        if p is not None:
+            labels = bad & (p >= RELABEL_MARGINAL)
+            if not labels.any():
+                break
+        start = weights, transition = crf.fit(part_first, part, labels[at], size, np.ones(len(at)), rounds=steps, start=start)
+        # All texts of the sample are judged, a few at a time.
+        p = np.concatenate([
+            crf.marginals(crf.Layout(first[a: b + 1] - first[a]), weights[features[first[a]: first[b]]].sum(axis=1) + weights[0], transition)
+            for a, b in tk.slices(first, SLICE_TOKENS)])
+    calibration = logistic(document_features(p, first), toxic.astype(float))
+    del features, doc, labels, feats, part, at, bad, p
     tk.trim()
     return Model(weights.astype(np.float32), transition, calibration)
 
@@ -139,16 +204,19 @@ def training_sample(docs: DataFrame, labels: DataFrame, held_out: int = 2, docs_
     """Texts and labels of at most ``docs_bound`` labelled documents outside the held-out fold.
 
     The sample is the labels with the smallest hashes of their doc_id, so it
-    spreads over all of them. Of equal texts one counts; a text's label is the
-    largest it has. Null labels, null and over-long texts do not train.
+    spreads over all of them; ties are settled by doc_id and label. Of equal
+    texts one counts; a text's label is the largest it has. Null labels, null
+    ids and null texts do not train. A text of over ``SAMPLE_CHARS`` characters
+    trains by `stretches` of it.
     """
     usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(fold(F.col("doc_id")) != held_out).select(
         F.col("doc_id").cast("bigint").alias("l_id"), F.col("toxic").cast("int").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("l_id"), "l_id", "toxic").limit(docs_bound)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
-    texts = texts.where(F.length("text") <= SAMPLE_CHARS).groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("l_id").alias("l_id"))
-    rows = texts.orderBy(F.xxhash64("l_id"), "l_id").limit(docs_bound).select("text", "toxic").toArrow()
-    return rows.column(0).to_pylist(), rows.column(1).to_numpy().astype(np.int64)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    texts = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select(stretches(F.col("text"), SAMPLE_CHARS).alias("text"), "toxic", "l_id")
+    texts = texts.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("l_id").alias("l_id"))
+    rows = texts.orderBy(F.xxhash64("l_id"), "l_id", "text").limit(docs_bound).select("text", "toxic").toArrow()
+    return rows.column(0).to_pylist(), (rows.column(1).to_numpy() > 0).astype(np.int64)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -166,7 +234,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, spans = score_texts(sent.value, batch.column(1))
+            scores, spans, _ = score_texts(sent.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(spans, span)], names=["doc_id", "score", "spans"])
         tk.trim()
 
@@ -175,14 +243,16 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return scored.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
 
 
-def score_texts(model: Model, column: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
-    """Scores and offending spans of a batch of texts."""
-    out = np.zeros(len(column))
+def score_texts(model: Model, column: pa.Array) -> tuple[np.ndarray, list[list[dict]], np.ndarray]:
+    """Scores, offending spans and largest marginals of a batch of texts."""
+    out, most = np.zeros(len(column)), np.zeros(len(column))
     spans: list[list[dict]] = [[] for _ in range(len(column))]
     for a, b, part, begins, starts, ends, first, features in token_features(column):
         emission = model.weights[features].sum(axis=1, dtype=np.float64) + model.weights[0]
         p = crf.marginals(crf.Layout(first), emission, model.transition)
-        x = document_features(p, first) @ model.calibration
+        facts = document_features(p, first)
+        most[a:b] = facts[:, 2]
+        x = facts @ model.calibration
         out[a:b] = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
         hit = np.flatnonzero(p >= 0.5)
         if len(hit):
@@ -191,19 +261,26 @@ def score_texts(model: Model, column: pa.Array) -> tuple[np.ndarray, list[list[d
             for i, d in zip(hit.tolist(), of.tolist()):
                 base = chars[begins[d]]
                 spans[a + d].append({"start": int(chars[starts[i]] - base), "end": int(chars[ends[i]] - base), "p": float(p[i])})
-    return out, spans
+    return out, spans, most
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose score stays under ``threshold``, as they are."""
+    """The rows of ``docs`` whose score stays under ``threshold``, as they are.
+
+    A row goes on evidence only: one whose text is null, or has no word that is
+    toxic with a marginal of at least ``LEAST_MARGINAL``, stays whatever the
+    labels' share; with a model without evidence all rows stay.
+    """
+    if not model.evidence:
+        return docs
     at = docs.columns.index("text")
     scratch.bound_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, _ = score_texts(sent.value, batch.column(at))
-            yield batch.filter(pa.array(scores < threshold))
+            scores, _, top = score_texts(sent.value, batch.column(at))
+            yield batch.filter(pa.array((scores < threshold) | (top < LEAST_MARGINAL)))
         tk.trim()
 
     return docs.mapInArrow(run, docs.schema)
