@@ -1,6 +1,9 @@
 """The random fields: exact inference, held-out accuracy, patterns and added spans."""
 
+import itertools
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -39,15 +42,56 @@ def test_forward_backward(sizes, seed):
     assert np.isclose(expected.sum(), first[-1]) and np.isclose(expected[:, 1].sum(), q.sum())
 
 
-def test_held_out_toxicity(spark, sf_dir):
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_held_out_toxicity(spark, sf_dir, sf):
     from kinegrain.llm.queries_models import op6_toxicity
 
-    d = sf_dir.replace("sf0.001", "sf0.01")
-    got = {r.doc_id: r for r in op6_toxicity(spark, d).collect()}
+    d = sf_dir.replace("sf0.001", sf)
+    got = {r.doc_id: r for r in op6_toxicity(spark, d).drop("spans").collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     held = [(got[k], y) for k, y in labels.items() if zlib.crc32(str(k).encode()) % 4 == 2]
     assert all(r.held_out for r, _ in held) and all(0 <= r.score <= 1 for r in got.values())
-    assert sum(r.predicted == y for r, y in held) >= 0.9 * len(held)
+    bad, good = [r.predicted for r, y in held if y], [r.predicted for r, y in held if not y]
+    assert sum(bad) >= 0.9 * len(bad) and sum(good) <= 0.02 * len(good)
+
+
+def test_training_sample(spark):
+    """Equal hashes' ties, null parts, repeated labels and long texts; the held-out fold never trains."""
+    long_text = " ".join(f"w{i}" for i in range(30_000))
+    docs = [(i, f"text {i // 2}", "x") for i in range(40)] + [(50, None, "x"), (None, "no id", "x"), (51, long_text, "x"), (3, "text 1", "x")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, toxic string")
+    marks = [(i, i % 3 == 0) for i in range(40)] + [(50, 1), (51, 1), (None, 1), (5, None), (3, 0), (3, 0), (99, 1)]
+    labels = spark.createDataFrame([(i, None if t is None else int(t)) for i, t in marks], "doc_id bigint, toxic int")
+    texts, toxic = toxicity.training_sample(frame, labels)
+    assert len(set(texts)) == len(texts)
+    want = {}
+    for i, t in marks:
+        if i is not None and t is not None and zlib.crc32(str(i).encode()) % 4 != 2 and i < 50:
+            want[f"text {i // 2}"] = max(want.get(f"text {i // 2}", 0), int(t))
+    got = dict(zip(texts, toxic.tolist()))
+    (stretched,) = [t for t in got if len(t) > 1000] or [""]
+    got.pop(stretched, None)
+    assert got == want
+    words = stretched.split()
+    assert not words or ({"w100", "w29900"} <= set(words) and set(words) <= set(long_text.split()) and len(stretched) <= toxicity.SAMPLE_CHARS + 10)
+    assert toxicity.training_sample(frame, labels) [0] == texts
+    few, _ = toxicity.training_sample(frame, labels, docs_bound=5)
+    assert 1 <= len(few) <= 5 and set(few) <= set(texts)
+
+
+def test_nothing_goes_without_evidence(spark):
+    """One-class labels, labels no form explains, and texts without words."""
+    rows = [(1, ""), (2, None), (3, "hello nice"), (None, "hello"), (4, "..."), (3, "hello nice")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    none_marked = toxicity.train(["a b", "c d", "e f"], np.array([1, 0, 1]))
+    assert not none_marked.evidence
+    for model in (toxicity.train(["x"], np.array([1])), none_marked, toxicity.train([], np.zeros(0, int)), toxicity.train(["", " "], np.array([1, 0]))):
+        assert toxicity.drop_toxic(frame, model).count() == len(rows)
+    texts = [f"some calm words {i} here" for i in range(4)] + [f"calm {i} you vile toad go" for i in range(12)]
+    model = toxicity.train(texts, np.array([0] * 4 + [1] * 12))
+    assert model.evidence
+    kept = toxicity.drop_toxic(spark.createDataFrame(rows + [(9, "you vile toad")], "doc_id bigint, text string"), model).collect()
+    assert sorted(map(str, (r.doc_id for r in kept))) == sorted(map(str, (d for d, _ in rows)))
 
 
 def test_toxic_spans_and_edges(spark):
@@ -95,23 +139,116 @@ def test_patterns_stay_linear(text):
     pii.mentions(text, base)
 
 
-def test_skip_edges_reach_distant_mentions():
-    text = "call +1 (234) 555-6789 now. " + "word " * 400 + "again 234.555.6789 thanks"
-    base = pii.base_spans(text)
-    added = pii.added_spans(text, base, pii.default_model())
-    assert [text[a:b] for _, a, b in added] == ["234.555.6789"] and added[0][0] == 3
-    model = pii.train(["number 1234567 of 7654321 lines"] * 20 + [text])
-    assert pii.added_spans(text, base, model) == added
-    assert pii.added_spans("number 1234567 of lines", [], model) == []
+def test_long_digit_groups():
+    """Numbers beyond what Python turns into an int; leading zeros."""
+    text = "0" * 5000 + ".1.2.3 " + "1" * 5000 + ".1.2.3 000.0.00.255 0256.1.1.1"
+    zeros = "0" * 5000 + ".1.2.3"
+    assert [text[a:b] for k, a, b in pii.base_spans(text) if k == 1] == [zeros, "000.0.00.255"]
+    assert pii.added_spans([text], [pii.base_spans(text)], pii.default_model())[0] == []
+
+
+def exact_marginals(model, scores, known, joined, node, hub, near):
+    """All labellings of nodes and hubs, counted."""
+    m, n = scores.shape
+    hubs = int(hub.max()) + 1 if len(hub) else 0
+    out, total = np.zeros((m, n)), 0.0
+    for y in itertools.product(range(n), repeat=m + hubs):
+        if any(known[i] and y[i] != known[i] for i in range(m)):
+            continue
+        w = sum(scores[i, y[i]] for i in range(m)) + sum(model.chain[y[i - 1], y[i]] for i in range(1, m) if joined[i])
+        w += sum((min(pii.SKIP_NEAR, model.skip) if s else model.skip) for i, h, s in zip(node, hub, near) if y[i] == y[m + h])
+        w = np.exp(w)
+        total += w
+        for i in range(m):
+            out[i, y[i]] += w
+    return out / total
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_marginals_against_all_labellings(seed):
+    """Exact without a loop; near the truth with one."""
+    r = np.random.default_rng(seed)
+    model = pii.Model(np.zeros((1, 3)), r.normal(size=(3, 3)), 1.5)
+    scores = r.normal(size=(4, 3))
+    known = np.array([0, 2, 0, 0])
+    none = np.zeros(0, np.int64)
+    tree = [(np.array([False, True, False, True]), np.array([0, 2]), np.array([0, 0]), np.array([False, True])), (np.array([False, True, True, True]), none, none, none.astype(bool))]
+    for joined, node, hub, near in tree:
+        assert np.allclose(pii.infer(model, scores, known, joined, node, hub, near, 200), exact_marginals(model, scores, known, joined, node, hub, near), atol=1e-3)
+    loop = (np.array([False, False, True, True]), np.array([0, 2, 3, 1]), np.array([0, 0, 0, 0]), np.zeros(4, bool))
+    p, q = pii.infer(model, scores, known, *loop, 200), exact_marginals(model, scores, known, *loop)
+    assert np.abs(p - q).max() < 0.15 and (p.argmax(axis=1) == q.argmax(axis=1))[q.max(axis=1) > 0.6].all()
+
+
+def added(text, model):
+    found, = pii.added_spans([text], [pii.base_spans(text)], model)
+    return [(pii.NAMES[k + 1], text[a:b]) for k, a, b in found]
+
+
+FILL = "lorem ipsum dolor " * 60
+SEEDS = [f"word{i} call +1 ({200 + i}) 555-{1000 + 7 * i} today or write a.{i}@mail{i % 7}.example.com soon, host 10.{i}.3.{i + 1} up" for i in range(60)]
+SEEDS += [f"order {1000000 + 37 * i} of 24{i:02d} lines, version 3.0.{i} and page 12-{i}" for i in range(60)]
+SEEDS += [f"setting token = \"{i * 7919 + 1:032x}a{i:03x}\" kept in file {i}" for i in range(40)]
+
+
+@pytest.fixture(scope="module")
+def field():
+    return pii.train(SEEDS)
+
+
+@pytest.mark.parametrize("text,want", [
+    ("call +1 (234) 555-6789 now. " + FILL + "again 234.555.6789 thanks", [("phone", "234.555.6789")]),
+    ("+49 1512 3456789 or " + FILL + " 01512 3456789", [("phone", "01512 3456789")]),
+    ("mail bob.x@site.org. " + FILL + " Bob.X(at)site.org", [("email", "Bob.X(at)site.org")]),
+    ("card 4111111111111111 ok " + FILL + " card 4111111111111112", [("card", "4111111111111112")]),
+    ("plain 1234567 of 7654321 lines", []),
+    ("card 4111111111111111 ok " + FILL + " order 9807915762804490", []),
+    ("a 4111111111111112 without any card", []),
+    ("setting token = \"5f3ac1d2e4b5968778695a4b3c2d1e0f5f3a\" " + FILL + " see 5f3ac1d2e4b5968778695a4b3c2d1e0f5f3a", [("secret", "5f3ac1d2e4b5968778695a4b3c2d1e0f5f3a")] * 2),
+    ("", []), ("@", []), ("1" * 30, [])])
+def test_similar_mentions_share_a_label(field, text, want):
+    assert added(text, field) == want
+    # One document's field does not depend on those solved with it.
+    other = "x 1234567 y +1 (234) 555-6789 " + FILL
+    both = pii.added_spans([other, text], [pii.base_spans(other), pii.base_spans(text)], field)
+    assert [(pii.NAMES[k + 1], text[a:b]) for k, a, b in both[1]] == want
+
+
+def test_planted_mentions(field):
+    """Precision and recall over documents with one base span and one loose repeat, or a decoy."""
+    r = random.Random(2)
+    right = wrong = planted = 0
+    for i in range(200):
+        n = f"{r.randrange(200, 999)} 555 {r.randrange(1000, 9999)}".split()
+        a = "+1 (%s) %s-%s" % tuple(n)
+        loose = r.choice([".".join(n), "-".join(n), "".join(n), "0" + "".join(n)])
+        decoy = str(r.randrange(10**9, 10**10))
+        text = f"{FILL[:r.randrange(200)]} tel {a} {FILL[:r.randrange(900)]} {loose if i % 2 else decoy} end"
+        found = added(text, field)
+        planted += i % 2
+        right += i % 2 and found == [("phone", loose)]
+        wrong += len(found) - (i % 2 and found == [("phone", loose)])
+    assert right >= 0.95 * planted and wrong <= 2
+
+
+@pytest.mark.parametrize("text", [" ".join(str(10**9 + 7919 * i) for i in range(20_000)) + " +1 234 555 6789", "a@ " * 50_000 + "b@c.de", "x" * 100_000 + " (at) y", "(at) " * 50_000 + "1", "1234567 " * 30_000 + "+1 234 555 6789"])
+def test_field_stays_linear(field, text):
+    began = time.time()
+    pii.added_spans([text], [pii.base_spans(text)], field)
+    assert time.time() - began < 30
 
 
 def test_find_and_redact(spark):
-    rows = [(1, "mail bob@x.org, ip 10.0.0.1"), (2, None), (3, ""), (3, "é +1 234 555 6789 é"), (None, "none 12")]
+    rows = [(1, "mail bob@x.org, ip 10.0.0.1"), (2, None), (3, ""), (3, "é +1 234 555 6789 é"), (None, "none 12"), (3, "é +1 234 555 6789 é")]
     frame = spark.createDataFrame([(d, t, "p", 3) for d, t in rows], "doc_id bigint, text string, pii string, n_chars bigint")
     model = pii.train(pii.training_sample(frame))
     got = pii.find_pii(frame, model).collect()
-    assert [[(s.kind, s.start, s.end) for s in r.pii] for r in got] == [[("email", 5, 14), ("ip", 19, 27)], [], [], [("phone", 2, 17)], []]
+    phone = [("phone", 2, 17)]
+    assert [[(s.kind, s.start, s.end) for s in r.pii] for r in got] == [[("email", 5, 14), ("ip", 19, 27)], [], [], phone, [], phone]
     clean = pii.redact(frame, model).collect()
-    assert [r.text for r in clean] == ["mail [EMAIL], ip [IP]", None, "", "é [PHONE] é", "none 12"]
-    assert [r.n_chars for r in clean] == [21, 3, 0, 11, 7] and clean[0].pii == "p"
+    assert [r.text for r in clean] == ["mail [EMAIL], ip [IP]", None, "", "é [PHONE] é", "none 12", "é [PHONE] é"]
+    assert [r.n_chars for r in clean] == [21, 3, 0, 11, 7, 11] and clean[0].pii == "p"
     assert pii.find_pii(frame.limit(0), model).count() == 0
+    many = "a@b.co " * 40_000
+    one = pii.redact(spark.createDataFrame([(many,)], "text string"), model).first().text
+    assert one == "[EMAIL] " * 40_000
