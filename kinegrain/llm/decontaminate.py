@@ -103,12 +103,12 @@ def _document_runs(docs: DataFrame, window: int, gram: int, bits: int, table: by
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
+        known = sketches.Bits(sent.value, bits)
         row = TaskContext.get().partitionId() << 40
         run_type = pa.list_(pa.struct([("at", pa.int64()), ("words", pa.string())]))
 
         def has(hashes: np.ndarray, length: int) -> np.ndarray:
-            return known[sketches.slots_of(_salted(hashes, length), bits)]
+            return known.has(_salted(hashes, length))
 
         for batch in batches:
             counts = np.zeros(batch.num_rows, np.int64)
@@ -188,18 +188,18 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     ASCII, A-Z lowered. A window is ``window`` consecutive words of an item; an
     item of fewer words, but not none, is one window. A document's word is hit
     when it lies in an occurrence of a window. ``hits`` lists the matched runs:
-    first word, words hit, text; null without any. A null text has no words; null and repeated item_ids
-    count as one item by their text form (null items are ignored). Repeated
-    rows stay. An empty benchmark hits nothing; an empty table gives no rows.
+    first word, words hit, text; null without any. A null text has no words.
+    Repeated item_ids are one item by their text form; an item with a null id
+    hits like others and is not listed. Repeated rows stay. An empty benchmark hits nothing; an empty table gives no rows.
     Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     scratch.bound_batches(docs)
-    bits = sketches.bits_for(scratch.size_in_bytes(items), 4, least=20, most=28)
+    bits = sketches.bits_for(scratch.size_in_bytes(items), 4, least=20)
     windows = scratch.keep(_item_windows(items, window), "windows")
     sizes = sorted(r.length for r in windows.select("length").distinct().collect())  # at most `window` rows
-    table = np.packbits(sketches.gather(_item_prints(items, window, gram, bits), bits) > 0).tobytes()
+    table = sketches.gather_bits(_item_prints(items, window, gram, bits), bits)
     found = scratch.keep(_document_runs(docs, window, gram, bits, table, [x for x in sizes if x < window]), "runs")
     held = found.select("row", F.posexplode("runs").alias("k", "r")).select("row", "k", F.col("r.at").alias("at"), F.col("r.words").alias("run"))
     hit = _run_windows(held.select("run").distinct(), sizes)

@@ -7,17 +7,20 @@ matrix with its transpose. Only blocks that can hold a link are multiplied:
 2. N-grams are ordered from rare to frequent. Two sets that reach the
    threshold share an n-gram among the first ``n - ceil(t n) + 1`` of either,
    so only these columns can bring documents together. Frequencies are counted
-   over all documents in a table of fixed size; the order may be rough, the
-   argument holds for any order.
-3. Within a column, classes sorted by size are chained as long as neighbours'
-   sizes allow the threshold. Chained classes form clusters, and no link
-   leaves a cluster.
+   over all documents in a table of fixed size, in which frequent n-grams stand
+   out; the order may be rough, the argument holds for any order.
+3. A column of at most ``SMALL_COLUMN`` classes gives its pairs, and a pair
+   stays only if the sizes allow the threshold and so does the overlap that
+   both sets' counts by hash range bound. In a larger column classes sorted by
+   size are chained as long as neighbours' sizes allow the threshold. What is
+   linked so forms clusters, and no link leaves a cluster.
 4. A cluster's classes meet in one task, or, when there are many, in tiles.
    There the product is accumulated block by block, pairs whose sizes rule a
    link out are left aside, and what links is merged. Of a large cluster only
    tiles that are not yet in one component are multiplied further.
 
-No pair ever becomes a row: a task returns each class with its root.
+Rows grow with the columns, never with the pairs of a group: a small column has
+a bounded number of pairs, and a task returns each class with its root.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +38,19 @@ from kinegrain.llm import textkernel as tk
 from kinegrain.llm.components import connected, local_components
 
 #: Classes, and n-grams, of a tile.
-TILE_CLASSES = 1024
-TILE_GRAMS = 2_000_000
+TILE_CLASSES = 256
+TILE_GRAMS = 1_000_000
+#: Classes of a column up to which its pairs are looked at one by one.
+SMALL_COLUMN = 6
+#: log2 of the slots of the frequency table, whatever the size of the input.
+TABLE_BITS = 22
+#: (n-grams up to which it serves, hash ranges) of the counts that bound an overlap.
+RANGES = ((1 << 10, 64), (1 << 13, 256), (1 << 62, 1024))
 #: Expected rows of a column from which it is dealt over several tasks.
 HOT_ROWS = 1 << 15
 #: Cells of a dense block of the product.
 BLOCK_CELLS = 4_000_000
-#: Eighths of a doubling that the frequency order tells apart.
+#: Parts of a doubling that the frequency order tells apart.
 STEPS = 6
 
 
@@ -77,15 +87,32 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def range_counts(grams: np.ndarray) -> bytes:
+    """How many n-grams lie in each of equal ranges of hashes; a byte each, or four where that is not enough."""
+    ranges = next(r for most, r in RANGES if len(grams) <= most)
+    counts = np.bincount((grams >> np.uint64(64 - (ranges.bit_length() - 1))).astype(np.int64), minlength=ranges)
+    return b"\1" + counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b"\4" + counts.astype("<u4").tobytes()
+
+
+def most_overlap(a: bytes, b: bytes) -> int:
+    """The largest overlap two sets with these counts can have."""
+    x, y = (np.frombuffer(c, np.uint8 if c[0] == 1 else "<u4", offset=1).astype(np.int64) for c in (a, b))
+    ranges = min(len(x), len(y))
+    return int(np.minimum(x.reshape(ranges, -1).sum(axis=1), y.reshape(ranges, -1).sum(axis=1)).sum())
+
+
 def _summaries(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    """A row per document (doc_id, n, s), and each task's n-gram counts as chunks."""
+    """A row per document (doc_id, t, n, s, ranges), and each task's n-gram counts as chunks."""
+    names = ["doc_id", "t", "n", "s", "ranges", "chunk", "counts"]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = sketches.Counter(bits)
         for batch in batches:
-            n, s, pending, held = [], [], [], 0
+            n, s, ranges, pending, held = [], [], [], [], 0
             for _, grams in document_sets(batch.column(1), k):
                 n.append(len(grams))
                 s.append(signature(grams) if len(grams) else None)
+                ranges.append(range_counts(grams) if len(grams) else None)
                 pending.append(grams)
                 held += len(grams)
                 if held > 1_000_000:
@@ -95,14 +122,14 @@ def _summaries(docs: DataFrame, k: int, bits: int) -> DataFrame:
                 counter.add(np.concatenate(pending))
             m = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())],
-                names=["doc_id", "n", "s", "chunk", "counts"])
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(ranges, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())],
+                names=names)
         for rows in counter.rows():
             null = pa.nulls(rows.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([null, null, null, *rows.columns], names=["doc_id", "n", "s", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([null, null, null, null, pa.nulls(rows.num_rows, pa.binary()), *rows.columns], names=names)
         tk.trim()
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, s bigint, chunk bigint, counts binary")
+    return docs.mapInArrow(run, "doc_id bigint, t bigint, n bigint, s bigint, ranges binary, chunk bigint, counts binary")
 
 
 def _columns(docs: DataFrame, k: int, percent: int, order: np.ndarray, bits: int) -> DataFrame:
@@ -141,51 +168,103 @@ def _columns(docs: DataFrame, k: int, percent: int, order: np.ndarray, bits: int
     return docs.mapInArrow(run, "h bigint, salt bigint, salted boolean, n bigint, s bigint")
 
 
-def _chain(columns: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """Links (u, v) between neighbours by size in a column; ``h`` is set on rows for a second pass.
+def _chain(columns: DataFrame, percent: int, partitions: int, pairs: bool) -> DataFrame:
+    """Links (u, v) between classes of a column; ``h`` is set on rows for a second pass.
 
-    A column dealt over several tasks gives, for every class of sizes, its
-    first and last row. Chained again without the dealing, these connect what
-    the parts have separately connected.
+    With ``pairs`` a small column gives all its pairs whose sizes fit, to be
+    tested (``test``); other links are between neighbours by size and stand. A
+    column dealt over several tasks gives, for every class of sizes, its first
+    and last row. Chained again without the dealing, these connect what the
+    parts have separately connected.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "salt", "salted", "n", "s"]
-        carry = None
         width = np.log(100 / (percent + 1)) if percent < 99 else np.log(1.005)
 
-        def scan(x: dict, final: bool) -> pa.RecordBatch:
+        def scan(x: dict, begun: bool, ended: bool) -> pa.RecordBatch:
+            """Whole columns, but that the first may have begun before and the last may go on."""
+            rows = len(x["h"])
             same = (x["h"][1:] == x["h"][:-1]) & (x["salt"][1:] == x["salt"][:-1])
-            link = same & (x["n"][:-1] * 100 >= percent * x["n"][1:]) & (x["s"][1:] != x["s"][:-1])
-            at = np.flatnonzero(link)
+            number = np.concatenate(([0], np.cumsum(~same)))
+            size = np.bincount(number)
+            if begun:
+                size[0] += SMALL_COLUMN
+            if not ended:
+                size[-1] += SMALL_COLUMN
+            small = (size <= SMALL_COLUMN)[number] & ~x["salted"] if pairs else np.zeros(rows, bool)
+            us, vs, tests = [], [], []
+            for step in range(1, SMALL_COLUMN if small.any() else 2):
+                fits = (number[step:] == number[:-step]) & (x["n"][:-step] * 100 >= percent * x["n"][step:]) & (x["s"][step:] != x["s"][:-step])
+                at = np.flatnonzero(fits if step == 1 else fits & small[step:])
+                us.append(x["s"][at])
+                vs.append(x["s"][at + step])
+                tests.append(small[at])
             size_class = np.floor(np.log(x["n"]) / width)
             cut = ~same | (size_class[1:] != size_class[:-1])
-            edge = np.zeros(len(x["h"]), bool)
+            edge = np.zeros(rows, bool)
             edge[1:] |= cut
             edge[:-1] |= cut
-            edge[0] |= x["start"]
-            edge[-1] |= final
+            edge[0] |= not begun
+            edge[-1] |= ended
             rep = np.flatnonzero(edge & x["salted"])
-            u = np.concatenate((x["s"][at], x["s"][rep]))
-            v = np.concatenate((x["s"][at + 1], x["n"][rep]))
-            h = np.concatenate((np.zeros(len(at), np.int64), x["h"][rep]))
-            again = np.concatenate((np.zeros(len(at), bool), np.ones(len(rep), bool)))
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(h), pa.array(again)], names=["u", "v", "h", "again"])
-
+            u, v, test = np.concatenate((*us, x["s"][rep])), np.concatenate((*vs, x["n"][rep])), np.concatenate((*tests, np.zeros(len(rep), bool)))
+            links = len(u) - len(rep)
+            # One order of a pair's sides, so that equal pairs meet; by hash, so that no class is always on one side.
+            low, high = np.minimum(u[:links], v[:links]), np.maximum(u[:links], v[:links])
+            turn = (tk.mix((low ^ high).view(np.uint64)) & np.uint64(1)).astype(bool)
+            u[:links], v[:links] = np.where(turn, high, low), np.where(turn, low, high)
+            h = np.concatenate((np.zeros(links, np.int64), x["h"][rep]))
+            again = np.arange(len(u)) >= links
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(h), pa.array(again), pa.array(test)], names=["u", "v", "h", "again", "test"])
+
+        held, begun = None, False
         for batch in batches:
             if not batch.num_rows:
                 continue
             new = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
-            if carry is not None:
-                new = {c: np.concatenate((carry[c], new[c])) for c in names}
-            new["start"] = carry is None
-            yield scan(new, False)
-            carry = {c: new[c][-1:] for c in names}
-        if carry is not None:
-            yield scan({**carry, "start": False}, True)
+            if held is not None:
+                new = {c: np.concatenate((held[c], new[c])) for c in names}
+            # The last column waits for the next batch, but for one that is large already.
+            changes = np.flatnonzero((new["h"][1:] != new["h"][:-1]) | (new["salt"][1:] != new["salt"][:-1]))
+            last = int(changes[-1]) + 1 if len(changes) else 0
+            if len(new["h"]) - last > SMALL_COLUMN or begun and not last:
+                yield scan(new, begun, False)
+                held, begun = {c: new[c][-1:] for c in names}, True
+            else:
+                if last:
+                    yield scan({c: new[c][:last] for c in names}, begun, True)
+                held, begun = {c: new[c][last:] for c in names}, begun and not last
+        if held is not None:
+            yield scan(held, begun, True)
         tk.trim()
 
     dealt = columns.repartition(partitions, "h", "salt").sortWithinPartitions("h", "salt", "n", "s")
-    return dealt.mapInArrow(run, "u bigint, v bigint, h bigint, again boolean")
+    return dealt.mapInArrow(run, "u bigint, v bigint, h bigint, again boolean, test boolean")
+
+
+def _tested(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that their sets' counts by hash range allow to reach the threshold."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, n, m = (batch.column(i).to_numpy() for i in range(4))
+            need = -(-percent * (n + m) // (100 + percent))  # of 100 o >= percent (n + m - o)
+            x, y = batch.column(4), batch.column(5)
+            short = pc.and_(*(pc.equal(pc.binary_length(c), RANGES[0][1] + 1) for c in (x, y))).to_numpy(zero_copy_only=False)
+            most = np.zeros(len(u), np.int64)
+            if short.any():
+                rows = pa.array(short)
+                a, b = (np.frombuffer(b"".join(c.filter(rows).to_pylist()), np.uint8).reshape(-1, RANGES[0][1] + 1)[:, 1:] for c in (x, y))
+                most[short] = np.minimum(a, b).sum(axis=1)
+            for i in np.flatnonzero(~short).tolist():
+                most[i] = most_overlap(x[i].as_py(), y[i].as_py())
+            keep = most >= need
+            yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], names=["u", "v"])
+        tk.trim()
+
+    one = classes.select(F.col("s").alias("u"), F.col("n").alias("n_u"), F.col("ranges").alias("r_u"))
+    two = classes.select(F.col("s").alias("v"), F.col("n").alias("n_v"), F.col("ranges").alias("r_v"))
+    both = pairs.join(one, "u").join(two, "v").select("u", "v", "n_u", "n_v", "r_u", "r_v")
+    return both.mapInArrow(run, "u bigint, v bigint")
 
 
 def link_pairs(sets: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -316,24 +395,27 @@ def _degrees(rows: DataFrame, k: int, percent: int, partitions: int) -> DataFram
 
 
 def _with_member_texts(docs: DataFrame, members: DataFrame, bits: int) -> DataFrame:
-    """(s, c, tile, tiles, text) of ``members`` (rep, s, c, tile, tiles).
+    """(s, c, tile, tiles, text) of ``members`` (rep, t, s, c, tile, tiles).
 
     A bit table of fixed size, made of the members' ids, keeps the texts of
-    other documents out of the shuffle.
+    other documents out of the shuffle. A class without any doc_id is found by
+    its text's hash ``t``, of which equal texts leave one before they move.
     """
-    seen = sketches.member_bits(members.select("rep"), bits)
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(seen).tobytes())
+    seen = sketches.member_bits(members.select(F.coalesce("rep", "t").alias("rep")), bits)
+    sent = docs.sparkSession.sparkContext.broadcast(seen)
 
     def member(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
+        table = sketches.Bits(sent.value, bits)
         for batch in batches:
-            ids = batch.column(0).fill_null(0).to_numpy().view(np.uint64)
-            near = batch.filter(pa.array(table[sketches.slots_of(tk.mix(ids), bits)]))
-            yield pa.RecordBatch.from_arrays([near.column(0), tk.squeeze(near.column(1))], names=["doc_id", "text"])
+            ids = pc.coalesce(batch.column(0), batch.column(2)).fill_null(0).to_numpy().view(np.uint64)
+            near = batch.filter(pa.array(table.has(tk.mix(ids))))
+            yield pa.RecordBatch.from_arrays([near.column(0), near.column(2), tk.squeeze(near.column(1))], names=["doc_id", "t", "text"])
         tk.trim()
 
-    near = docs.mapInArrow(member, "doc_id bigint, text binary")
-    return near.join(members, near.doc_id == members.rep).select("s", "c", "tile", "tiles", "text")
+    near = docs.mapInArrow(member, "doc_id bigint, t bigint, text binary")
+    named = near.where("doc_id IS NOT NULL").join(members.where("rep IS NOT NULL").drop("t"), F.col("doc_id") == F.col("rep")).select("s", "c", "tile", "tiles", "text")
+    unnamed = near.where("doc_id IS NULL").groupBy("t").agg(F.min("text").alias("text"))
+    return named.unionByName(unnamed.join(members.where("rep IS NULL").drop("rep"), "t").select("s", "c", "tile", "tiles", "text"))
 
 
 def components(docs: DataFrame, k: int = 4, percent: int = 85, with_links: bool = False) -> DataFrame:
@@ -343,34 +425,39 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, with_links: bool
     of k-word shingles; component_id is the smallest doc_id that links reach.
     A null text, or one without words, has no set and links with nothing.
     Repeated rows stay; rows that share a doc_id but not a text are separate
-    documents. A set that occurs under null doc_ids only is not searched and its
-    rows' component_id is null; beside a doc_id, null rows share its component.
-    Other columns are
-    ignored; an empty table gives no rows. ``with_links`` adds n_links, the other
-    rows with a doc_id that a row links with, copies included; for this all tiles
-    are multiplied. It is null where component_id is.
+    documents. Documents without a doc_id link like others and carry links on;
+    their rows get their component's smallest doc_id, or null if it has none.
+    Other columns are ignored; an empty table gives no rows. ``with_links`` adds
+    n_links, the other rows with a doc_id that a row links with, copies
+    included; for this all tiles are multiplied.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("t", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
     scratch.bound_batches(docs)
-    size = scratch.size_in_bytes(docs)
-    bits = sketches.bits_for(size, 64, least=20)
+    bits = TABLE_BITS
     partitions = scratch.partitions_for(docs, 16)
     summary = scratch.keep(_summaries(docs, k, bits), "summary")
     counts = sketches.gather(summary.where("chunk IS NOT NULL").select("chunk", "counts"), bits)
-    order = np.minimum(np.rint(np.log2(counts + 1.0) * STEPS), 255).astype(np.uint8)
+    order = np.minimum(np.rint(np.log2(counts.astype(np.float32) + 1) * STEPS), 255).astype(np.uint8)
     sets = summary.where("chunk IS NULL").select("doc_id", "n", "s")
-    classes = sets.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("doc_id").alias("w"))
+    classes = summary.where("chunk IS NULL AND n > 0").groupBy("s").agg(
+        F.min("doc_id").alias("rep"), F.min("t").alias("t"), F.max("n").alias("n"), F.count("doc_id").alias("w"))
+    ranges = summary.where("chunk IS NULL AND n > 0").select("s", "n", "ranges")
 
-    chained = scratch.keep(_chain(_columns(docs, k, percent, order, bits), percent, partitions).distinct(), "chains")
+    chained = scratch.keep(_chain(_columns(docs, k, percent, order, bits), percent, partitions, True).distinct(), "chains")
     again = chained.where("again").select("h", F.lit(0).cast("bigint").alias("salt"), F.lit(False).alias("salted"), F.col("v").alias("n"), F.col("u").alias("s"))
-    links = chained.where("NOT again").select("u", "v").unionByName(_chain(again, percent, partitions).select("u", "v"))
+    pairs = chained.where("test").select("u", "v")
+    wanted = pairs.select(F.col("u").alias("s")).unionByName(pairs.select(F.col("v").alias("s"))).distinct()
+    # Equal sets have equal counts, so copies of a class are one row before they move.
+    tested = scratch.keep(_tested(pairs, ranges.join(wanted, "s", "left_semi").distinct(), percent), "tested")
+    links = chained.where("NOT again AND NOT test").select("u", "v").unionByName(_chain(again, percent, partitions, False).select("u", "v")).unionByName(tested)
     # Distinct also puts an exchange between two Python steps, so a task never holds two workers.
     links = links.distinct()
     found = connected(links)
     cluster = found.select(F.col("node").alias("s"), F.col("root").alias("c")).unionByName(found.select(F.col("root").alias("s"), F.col("root").alias("c")).distinct())
-    cluster = cluster.join(classes, "s").where("rep IS NOT NULL")
+    cluster = cluster.join(classes, "s")
     tiles = cluster.groupBy("c").agg(F.greatest(F.ceil(F.count("*") / TILE_CLASSES), F.ceil(F.sum("n") / TILE_GRAMS)).cast("bigint").alias("tiles"))
-    members = scratch.keep(cluster.join(tiles, "c").select("rep", "s", "c", F.pmod(F.xxhash64("s"), F.col("tiles")).alias("tile"), "tiles"), "members")
+    members = scratch.keep(cluster.join(tiles, "c").select("rep", "t", "s", "c", F.pmod(F.xxhash64("s"), F.col("tiles")).alias("tile"), "tiles"), "members")
     texts = scratch.keep(_with_member_texts(docs, members, bits), "texts")
 
     # First every tile against the first one; a cluster of one tile is then done.
@@ -408,7 +495,7 @@ def _finish(sets: DataFrame, classes: DataFrame, roots: DataFrame, degrees: Data
     columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
     if degrees is not None:
         # Of the rows of its own class a row with a doc_id is one itself.
-        own = classes.where("rep IS NOT NULL").join(degrees, "s", "left").select(F.col("s").alias("os"), (F.col("w") + F.coalesce("links", F.lit(0))).alias("reach"))
+        own = classes.join(degrees, "s", "left").select(F.col("s").alias("os"), (F.col("w") + F.coalesce("links", F.lit(0))).alias("reach"))
         out = out.join(own, out.s == F.col("os"), "left")
         columns.append(F.when(F.col("n") == 0, 0).otherwise(F.col("reach") - F.col("doc_id").isNotNull().cast("bigint")).cast("bigint").alias("n_links"))
     return out.select(*columns)

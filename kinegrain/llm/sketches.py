@@ -42,15 +42,27 @@ class Counter:
                 yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
 
 
+class Bits:
+    """Look-ups in a packed bit table, which stays packed."""
+
+    def __init__(self, data: bytes, bits: int) -> None:
+        self.data, self.bits = np.frombuffer(data, np.uint8), bits
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        slot = slots_of(hashes, self.bits)
+        return (self.data[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def slots_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def gather(rows: DataFrame, bits: int) -> np.ndarray:
-    """The slot-wise sum of all tasks' tables, as 64-bit counts.
+def _sums(rows: DataFrame, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first slot, sums) of every chunk that any task has counted in.
 
     Tasks' rows are added up where a chunk is dealt to, one at a time, so a
-    worker holds the chunks of its partition and no more.
+    worker holds the chunks of its partition and no more; the driver sees one
+    chunk at a time.
     """
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -61,50 +73,64 @@ def gather(rows: DataFrame, bits: int) -> np.ndarray:
                     sums[k] = np.zeros(len(new), np.int64)
                 sums[k] += new
         for k, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total.astype("<u4").tobytes()], pa.binary())], names=["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())], names=["chunk", "counts"])
         tk.trim()
 
-    out = np.zeros(1 << bits, np.uint32)
-    chunks = max(1, len(out) // CHUNK)
-    size = min(len(out), CHUNK)
+    chunks, size = max(1, (1 << bits) // CHUNK), min(1 << bits, CHUNK)
     for r in rows.repartition(min(chunks, 64), "chunk").mapInArrow(add, SCHEMA).toLocalIterator():
-        out[r.chunk * size: (r.chunk + 1) * size] = np.frombuffer(r.counts, "<u4")
+        yield r.chunk * size, np.frombuffer(r.counts, "<u4")
+
+
+def gather(rows: DataFrame, bits: int) -> np.ndarray:
+    """The slot-wise sum of all tasks' tables: ``4 << bits`` bytes."""
+    out = np.zeros(1 << bits, np.uint32)
+    for at, part in _sums(rows, bits):
+        out[at: at + len(part)] = part
     return out
 
 
+def gather_bits(rows: DataFrame, bits: int) -> bytes:
+    """Which slots any task has counted in, packed: ``1 << bits - 3`` bytes."""
+    out = np.zeros(max(1 << bits >> 3, 1), np.uint8)
+    for at, part in _sums(rows, bits):
+        out[at >> 3: at + len(part) >> 3] = np.packbits(part > 0)
+    return out.tobytes()
+
+
 def bits_for(size_in_bytes: int, each: int, least: int = 16, most: int = 26) -> int:
     """log2 of the slots for about one item in ``each`` bytes of input, within fixed bounds."""
     return int(min(max(int(np.ceil(np.log2(max(size_in_bytes // each, 1)))), least), most))
 
 
-def member_bits(ids: DataFrame, bits: int) -> np.ndarray:
-    """Bits set for the ids of a one-column bigint relation; the table's size is fixed by ``bits``."""
+def member_bits(ids: DataFrame, bits: int) -> bytes:
+    """Packed bits set for the ids of a one-column bigint relation; the table's size is fixed by ``bits``."""
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(bits)
         for batch in batches:
             counter.add(tk.mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
         yield from counter.rows()
 
-    return gather(ids.mapInArrow(mark, SCHEMA), bits) > 0
+    return gather_bits(ids.mapInArrow(mark, SCHEMA), bits)
 
 
 def without(rows: DataFrame, key: str, ids: DataFrame, bits: int = 22) -> DataFrame:
     """The rows whose bigint ``key`` is not among ``ids`` (one column, no nulls); null keys stay.
 
     Most rows are cleared by a bit table of fixed size and stay where they are;
-    only those that it cannot clear meet the ids in an exact anti-join.
+    only those that it cannot clear meet the ids in an exact anti-join, for
+    which the rows are read a second time.
     """
-    table = np.packbits(member_bits(ids, bits)).tobytes()
+    table = member_bits(ids, bits)
     sent = rows.sparkSession.sparkContext.broadcast(table)
     at = rows.columns.index(key)
 
     def cleared(want: bool):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
+            known = Bits(sent.value, bits)
             for batch in batches:
                 column = batch.column(at).cast(pa.int64())
                 null = column.is_null().to_numpy(zero_copy_only=False)
-                hit = known[slots_of(tk.mix(column.fill_null(0).to_numpy().view(np.uint64)), bits)] & ~null
+                hit = known.has(tk.mix(column.fill_null(0).to_numpy().view(np.uint64))) & ~null
                 yield batch.filter(pa.array(hit != want))
             tk.trim()
 

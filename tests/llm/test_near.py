@@ -95,6 +95,55 @@ def test_links_of_documents(spark, monkeypatch, tile):
     assert sorted(((g.doc_id, g.n_shingles, g.component_id) for g in got), key=repr) == brute_components(rows)
 
 
+def test_documents_without_an_id_carry_links(spark):
+    """5 and 9 are linked by a document between them that has no id; two rows without ids have each other only."""
+    words = [f"v{i}" for i in range(120)]
+    middle = words[:100] + ["x1"]
+    rows = [(9, " ".join(words[:92] + words[:0])), (None, " ".join(words[:100])), (5, " ".join(words[:108])), (None, " ".join(f"u{i}" for i in range(40))), (None, " ".join(f"u{i}" for i in range(41)))]
+    rows += [(None, " ".join(words[:100]))] * 3 + [(7, " ".join(middle[50:]))]
+    got = [tuple(r) for r in jaccard.components(frame(spark, rows)).collect()]
+    assert sorted(got, key=repr) == brute_components(rows)
+    assert {c for d, _, c in got if d in (5, 9)} == {5}
+
+
+def test_repetitive_words_stay_apart(spark):
+    """Words whose sums of powers are equal modulo 2**64."""
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word + " x y z"), (2, other + " x y z"), (3, word + "\nX y z")]
+    assert sorted(tuple(r) for r in jaccard.components(frame(spark, rows)).collect()) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 3000), st.integers(0, 3000), st.integers(0, 3000), st.integers(0, 99))
+def test_counts_bound_the_overlap(a, b, both, seed):
+    r = np.random.default_rng(seed)
+    pool = np.unique(r.integers(0, 1 << 63, a + b + both, dtype=np.uint64) * np.uint64(2))
+    r.shuffle(pool)
+    x, y = pool[: a + both], np.concatenate((pool[a: a + both], pool[a + both:]))
+    bound = jaccard.most_overlap(jaccard.range_counts(x), jaccard.range_counts(y))
+    assert len(np.intersect1d(x, y)) <= bound <= min(len(x), len(y))
+    same = np.arange(1 << 10, dtype=np.uint64)  # all in one range
+    assert jaccard.most_overlap(jaccard.range_counts(same), jaccard.range_counts(same[:300])) == 300
+
+
+@pytest.mark.parametrize("small", [1, 3, 6])
+def test_components_by_column_size(spark, monkeypatch, small):
+    monkeypatch.setattr(jaccard, "SMALL_COLUMN", small)
+    rows = corpus(11)
+    got = [tuple(r) for r in jaccard.components(frame(spark, rows)).collect()]
+    assert sorted(got, key=repr) == brute_components(rows)
+
+
+def test_items_without_an_id_hit(spark):
+    text = " ".join(WORDS[:12])
+    bench = spark.createDataFrame([(None, text), (None, "..."), (4, " ".join(WORDS[20:31]))], "item_id bigint, text string")
+    got = decontaminate.find_overlaps(frame(spark, [(1, text), (2, "calm " + " ".join(WORDS[20:31]))]), bench).collect()
+    assert sorted((g.doc_id, g.n_hit, g["items"]) for g in got) == [(1, 12, []), (2, 11, ["4"])]
+
+
 def test_components_of_nothing(spark):
     assert jaccard.components(frame(spark, [])).count() == 0
     assert jaccard.components(frame(spark, [(1, None)])).collect()[0][:] == (1, 0, 1)
