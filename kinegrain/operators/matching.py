@@ -32,17 +32,22 @@ def is_aperture(w: Column) -> Column:
 def best_names(wanted: DataFrame, offered: DataFrame, least: float = 0.5, top: int = 16) -> DataFrame:
     """The best offered names for each wanted one: w_id, o_id, score, rank.
 
-    Names meet on their words, so only pairs that share one are scored; every
-    aperture of the wanted name must occur. Ties keep the offered order.
+    A score needs a common focal length, and every aperture of the wanted name
+    must occur, so names meet on a focal length and one aperture (an empty one
+    for wanted names without any); all such pairs are scored. Of several common
+    focal lengths the first one brings the pair together. Ties keep the offered
+    order.
     """
+    focal = lambda c: F.filter(F.array_distinct(c), lambda w: w.contains("mm"))
     w = wanted.select("w_id", words(F.col("name")).alias("want"))
+    w = w.select("w_id", "want", F.coalesce(F.array_min(F.filter("want", is_aperture)), F.lit("")).alias("aperture"), F.explode(focal(F.col("want"))).alias("focal"))
     o = offered.select("o_id", words(F.col("name")).alias("have"))
-    wx = w.select("w_id", F.explode(F.array_distinct("want")).alias("word"))
-    ox = o.select("o_id", F.explode(F.array_distinct("have")).alias("word"))
-    pairs = wx.join(ox, "word").select("w_id", "o_id").distinct()
-    scored = pairs.join(w, "w_id").join(o, "o_id")
+    o = o.select("o_id", "have", F.explode(focal(F.col("have"))).alias("focal"))
+    o = o.select("o_id", "have", "focal", F.explode(F.array_append(F.array_distinct(F.filter("have", is_aperture)), F.lit(""))).alias("aperture"))
+    scored = w.join(o, ["focal", "aperture"])
+    scored = scored.where(F.col("focal") == F.array_min(F.array_intersect(focal(F.col("want")), focal(F.col("have")))))
     scored = scored.where(F.forall("want", lambda x: ~is_aperture(x) | F.array_contains("have", x)))
-    scored = scored.withColumn("score", name_score(F.col("want"), F.col("have"))).where(F.col("score") >= least)
+    scored = scored.withColumn("score", name_score(F.col("want"), F.col("have"))).where(F.col("score") >= least).select("w_id", "o_id", "score")
     rank = F.row_number().over(Window.partitionBy("w_id").orderBy(F.desc("score"), "o_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("w_id", "o_id", "score", "rank")
 
@@ -52,18 +57,48 @@ def apart(a: Column, b: Column, weight: float) -> Column:
     return F.coalesce(F.when((a > 0) & (b > 0), F.abs(F.log(a / b)) * weight), F.lit(0.0))
 
 
+#: Width of a bucket of focal lengths, in logarithms, and the bucket of points without one.
+FOCAL_STEP = 0.1
+NO_FOCAL = -(1 << 40)
+
+
 def nearest_point(clips: DataFrame, points: DataFrame, vignette: bool, key: str = "clip") -> DataFrame:
     """The calibration point nearest in focal length, aperture (for a vignette) and distance.
 
-    ``points`` is a lens's short list and is broadcast by Spark's own size
-    check; the least cost wins, of equal ones the first ``point``.
+    The least cost wins, of equal ones the first ``point``. Clips first meet
+    the points of their own and the next buckets of focal length; the best cost
+    there bounds how far away in focal length a better point can lie, and only
+    clips whose bound reaches further meet the buckets out to it. Unknown focal
+    lengths cost nothing: such points are met by every clip, such a clip meets
+    every point. ``key`` is unique among the clips.
     """
     cost = apart(F.col("p_focal"), F.col("focal"), 8.0)
     if vignette:
         cost = cost + apart(F.col("p_aperture"), F.col("aperture"), 2.0)
     cost = cost + apart(F.least(F.col("p_distance"), F.lit(100.0)), F.least(F.col("distance"), F.lit(100.0)), 0.5)
-    both = clips.crossJoin(points).withColumn("cost", cost)
-    return both.groupBy(key).agg(F.min_by("point", F.struct("cost", "point")).alias("point"), F.min("cost").alias("cost"))
+    bucket = lambda log: F.floor(log / FOCAL_STEP).cast("bigint")
+    log = lambda c: F.when(F.col(c) > 0, F.log(c))
+    p = points.withColumn("bucket", F.coalesce(bucket(log("p_focal")), F.lit(NO_FOCAL)))
+    span = p.where(F.col("bucket") != NO_FOCAL).agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"))
+    c = clips.withColumn("log", log("focal")).crossJoin(F.broadcast(span))  # one row
+
+    def meet(some: DataFrame, first: Column, last: Column) -> DataFrame:
+        first, last = F.greatest(first, F.col("low")), F.least(last, F.col("high"))
+        # Unknown focal lengths are nulls, which `greatest` and `least` leave out.
+        reach = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+        met = some.withColumn("bucket", F.explode(F.array_append(F.coalesce(reach, F.array().cast("array<bigint>")), F.lit(NO_FOCAL))))
+        best = F.min(F.struct(cost.alias("cost"), "point")).alias("b")
+        return met.join(p, "bucket").groupBy(key).agg(best).select(key, F.col("b.point").alias("point"), F.col("b.cost").alias("cost"))
+
+    own = bucket(F.col("log"))
+    near = meet(c, own - 1, own + 1)
+    bound = c.join(near.select(F.col(key).alias("__key"), F.col("cost").alias("__cost")), F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+    # Everything within one step of the focal length has been met.
+    further = bound.where(F.col("log").isNotNull() & (F.col("__cost").isNull() | (F.col("__cost") > 8 * FOCAL_STEP)))
+    out_to = F.col("__cost") / 8 + 1e-9
+    far = meet(further, bucket(F.col("log") - out_to), bucket(F.col("log") + out_to))
+    both = near.unionByName(far).groupBy(key).agg(F.min(F.struct("cost", "point")).alias("b"))
+    return both.select(key, F.col("b.point").alias("point"), F.col("b.cost").alias("cost"))
 
 
 def longest_stem(names: DataFrame, stems: DataFrame) -> DataFrame:

@@ -38,9 +38,7 @@ def _names(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
 
 
 def lens_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = _names(spark, sf_dir, "w_id").where("w_id % 4 = 1")
-    offered = _names(spark, sf_dir, "o_id").where("o_id % 4 = 3")
-    found = mt.best_names(wanted, offered)
+    found = mt.best_names(_names(spark, sf_dir, "w_id"), _names(spark, sf_dir, "o_id"))
     return found.select("w_id", "o_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -63,7 +61,7 @@ def source_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 def longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = parts(spark, sf_dir)
     names = p.select(F.col("p_partkey").alias("id"), F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_size").cast("string")).alias("name"))
-    stems = p.where("p_partkey % 3 = 0").select(F.substring_index(F.replace("p_name", F.lit(" "), F.lit("_")), "_", 1).alias("stem"), F.col("p_partkey").alias("ordinal"))
+    stems = p.select(F.substring_index(F.replace("p_name", F.lit(" "), F.lit("_")), "_", 1).alias("stem"), F.col("p_partkey").alias("ordinal"))
     stems = stems.groupBy("stem").agg(F.max("ordinal").alias("ordinal"))
     return mt.longest_stem(names, stems)
 
@@ -93,7 +91,7 @@ def sequence_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sequence_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered files of each clip in order, with the gap before each."""
-    s = sequence_names(spark, sf_dir).where("number BETWEEN 1 AND 100000000")
+    s = sequence_names(spark, sf_dir).where("number IS NOT NULL")
     w = Window.partitionBy("prefix").orderBy("number", "page_id")
     return s.select("page_id", F.row_number().over(w).alias("place"), (F.col("number") - F.lag("number").over(w)).alias("step"))
 
@@ -226,7 +224,8 @@ p AS (SELECT s_suppkey AS point, (s_suppkey % 50 * 3 + 14)::DOUBLE AS pf, CASE W
 k AS (SELECT clip, point, 8 * abs(ln(pf / f)) + coalesce(2 * abs(ln(pa / a)), 0) + 0.5 * abs(ln(least(pd, 100) / least(d, 100))) AS cost FROM c, p)
 SELECT clip, point, round(cost, 6) AS cost FROM k QUALIFY row_number() OVER (PARTITION BY clip ORDER BY cost, point) = 1""",
     "lens_name_match": f"""WITH n AS (SELECT p_partkey AS id, {_WORDS.format('(' + _NAME + ')')} AS w FROM part),
-p AS (SELECT a.id AS w_id, b.id AS o_id, a.w AS want, b.w AS have FROM n a JOIN n b ON a.id % 4 = 1 AND b.id % 4 = 3 AND len(list_intersect(a.w, b.w)) > 0),
+f AS (SELECT id, w, unnest(list_filter(list_distinct(w), lambda x: contains(x, 'mm'))) AS mm FROM n),
+p AS (SELECT a.id AS w_id, b.id AS o_id, any_value(a.w) AS want, any_value(b.w) AS have FROM f a JOIN f b ON a.mm = b.mm GROUP BY a.id, b.id),
 s AS (SELECT w_id, o_id, len(list_filter(want, lambda x: list_contains(have, x))) / sqrt(len(want) * len(have)) AS score FROM p
   WHERE len(list_filter(want, lambda x: {_APERTURE.format('x')} AND NOT list_contains(have, x))) = 0 AND len(list_filter(have, lambda x: contains(x, 'mm') AND list_contains(want, x))) > 0)
 SELECT w_id, o_id, round(score, 6) AS score, row_number() OVER (PARTITION BY w_id ORDER BY score DESC, o_id) AS rank FROM s WHERE score >= 0.5
@@ -236,13 +235,13 @@ SELECT p_partkey, array_to_string(w, '|') AS words, len(list_filter(w, lambda x:
     "source_priority": """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'file' WHEN p_size / 25 > 1.01 THEN 'frame' WHEN s_acctbal IS NOT NULL THEN 'installed' ELSE 'none' END AS kind,
 round(CASE WHEN p_partkey % 3 = 0 THEN p_retailprice WHEN p_size / 25 > 1.01 THEN p_size ELSE s_acctbal END, 4) AS value FROM part LEFT JOIN supplier ON p_partkey = s_suppkey""",
     "longest_prefix": """WITH n AS (SELECT p_partkey AS id, replace(p_name, ' ', '_') || '_' || p_size AS name FROM part),
-t AS (SELECT DISTINCT split_part(replace(p_name, ' ', '_'), '_', 1) AS stem FROM part WHERE p_partkey % 3 = 0)
+t AS (SELECT DISTINCT split_part(replace(p_name, ' ', '_'), '_', 1) AS stem FROM part)
 SELECT id, name, arg_max(stem, length(stem)) AS stem FROM n LEFT JOIN t ON name = stem OR starts_with(name, stem || '_') GROUP BY id, name""",
     "sensor_window": f"WITH {_WINDOW} SELECT p_partkey, w[1]::BIGINT AS w, w[2]::BIGINT AS h, w[3] AS rule FROM w",
     "aspect_name": """WITH p AS (SELECT p_partkey, (p_size * 40 + 640) / (p_partkey % 30 * 36 + 480)::DOUBLE AS r FROM part)
 SELECT p_partkey, CASE """ + " ".join(f"WHEN abs(r / {v!r}::DOUBLE - 1) < 0.006 THEN '{n}'" for n, v in mt.RATIOS) + " ELSE printf('%.2f:1', r) END AS ratio FROM p",
     "sequence_names": f"WITH {_SEQ} SELECT page_id, prefix, number, digits, suffix, prefix || CASE WHEN length((number + 1)::VARCHAR) >= digits THEN (number + 1)::VARCHAR ELSE lpad((number + 1)::VARCHAR, digits::INTEGER, '0') END || suffix AS following FROM o",
-    "sequence_listing": f"WITH {_SEQ} SELECT page_id, row_number() OVER w AS place, number - lag(number) OVER w AS step FROM o WHERE number BETWEEN 1 AND 100000000 WINDOW w AS (PARTITION BY prefix ORDER BY number, page_id)",
+    "sequence_listing": f"WITH {_SEQ} SELECT page_id, row_number() OVER w AS place, number - lag(number) OVER w AS step FROM o WHERE number IS NOT NULL WINDOW w AS (PARTITION BY prefix ORDER BY number, page_id)",
     "xml_attributes": """SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS links,
 coalesce(regexp_extract_all(html, 'href="([^"]*)"', 1)[1], '') AS first, len(regexp_extract_all(html, '<[a-z]+')) AS tags FROM pages""",
     "binary_header": f"""WITH d AS (SELECT doc_id, hex(encode(text)) AS h FROM documents),
