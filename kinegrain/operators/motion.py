@@ -64,6 +64,31 @@ def upper_median(value: Column, keep: Column | None = None) -> Column:
     return F.get(values, (F.size(values) / 2).cast("int"))
 
 
+def values_at_ranks(rows: DataFrame, key: str, value: str, ranks: dict[str, Column], steps: int = 1024) -> DataFrame:
+    """Exact order statistics for groups of any size: key and a column for each rank, counted from 0.
+
+    A rank is an expression of ``n``, the group's number of values; one beyond
+    it gives null. Equal values are counted together before they move. Counts
+    of ``steps`` equal slices of a group's values find the slice that holds a
+    rank, and only that slice is sorted. Null values and keys do not count.
+    """
+    counted = rows.where(F.col(value).isNotNull() & F.col(key).isNotNull()).groupBy(key, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    whole = counted.groupBy(key).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.sum("__c").alias("n"))
+    share = F.when(F.col("__high") > F.col("__low"), (F.col("__v") - F.col("__low")) / (F.col("__high") - F.col("__low"))).otherwise(0.0)
+    sliced = counted.join(whole, key).withColumn("__s", F.coalesce(F.least(F.floor(share * steps), F.lit(steps - 1)), F.lit(0)))
+    slices = sliced.groupBy(key, "n", "__s").agg(F.sum("__c").alias("__in"))
+    before = F.sum("__in").over(Window.partitionBy(key).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), r.cast("bigint").alias("r")) for name, r in ranks.items()]))
+    slices = slices.withColumn("__before", F.coalesce(before, F.lit(0))).withColumn("__want", wanted)
+    hit = slices.where((F.col("__want.r") >= F.col("__before")) & (F.col("__want.r") < F.col("__before") + F.col("__in"))).select(
+        key, "__s", F.col("__want.name").alias("__name"), (F.col("__want.r") - F.col("__before")).alias("__r"))
+    upto = F.sum("__c").over(Window.partitionBy(key, "__name").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    inside = sliced.select(key, "__s", "__v", "__c").join(hit, [key, "__s"]).withColumn("__upto", upto)
+    found = inside.where(F.col("__upto") > F.col("__r")).groupBy(key, "__name").agg(F.min("__v").alias("__v"))
+    values = found.groupBy(key).agg(*[F.max(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in ranks])
+    return whole.select(key).join(values, key, "left")
+
+
 def steps(marks: DataFrame, key: str, frame: str, mark: str, valid: str) -> DataFrame:
     """Difference of successive valid marks per frame between them; null for the first."""
     w = Window.partitionBy(key).orderBy(frame)

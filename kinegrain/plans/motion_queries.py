@@ -51,16 +51,16 @@ def envelope_min_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def envelope_max_need(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Largest need nearby inside a range of samples, the ends' values outside; share: smallest, then mean."""
-    s = streams(spark, sf_dir)
+    """Largest need nearby inside the middle three fifths of a stream, the ends' values outside; share: smallest, then mean."""
+    s = streams(spark, sf_dir).withColumn("edge", F.floor(F.count("*").over(Window.partitionBy("user_id")) / 5))
     w = Window.partitionBy("user_id").orderBy("i")
-    inside = s.where("i BETWEEN 2 AND 9")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    inside = s.withColumn("most", F.max("i").over(whole)).where("i BETWEEN edge AND most - edge")
     near = w.rowsBetween(-REACH, REACH)
     need = inside.withColumn("top", F.greatest(F.lit(1.0), F.max(F.col("value") / 50).over(near))).withColumn("low", F.min(F.least(F.lit(1.0), F.col("value") / 50)).over(near))
     need = need.withColumn("share", F.avg("low").over(near)).select("event_id", "top", "share")
     every = s.join(need, "event_id", "left")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    filled = F.coalesce("top", F.when(F.col("i") < 2, F.first("top", True).over(whole)).otherwise(F.last("top", True).over(whole)))
+    filled = F.coalesce("top", F.when(F.col("i") < F.col("edge"), F.first("top", True).over(whole)).otherwise(F.last("top", True).over(whole)))
     return every.select("event_id", F.round(filled, 6).alias("top"), F.round("share", 6).alias("share"))
 
 
@@ -180,10 +180,11 @@ def quaternion_integrate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.array_sort(F.collect_list("value"))
-    out = streams(spark, sf_dir).groupBy("event_type").agg(v.alias("v"), F.count_if(F.col("value") > 90).alias("late"))
-    n = F.size("v")
-    return out.select("event_type", F.get("v", F.floor(n / 2).cast("int")).alias("median"), F.get("v", F.floor(n * 95 / 100).cast("int")).alias("p95"), F.array_max("v").alias("top"), "late")
+    s = streams(spark, sf_dir)
+    n = F.col("n")
+    ranked = m.values_at_ranks(s, "event_type", "value", {"median": F.floor(n / 2), "p95": F.floor(n * 95 / 100)})
+    rest = s.groupBy("event_type").agg(F.max("value").alias("top"), F.count_if(F.col("value") > 90).alias("late"))
+    return ranked.join(rest, "event_type").select("event_type", "median", "p95", "top", "late")
 
 
 def rate_median(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +192,8 @@ def rate_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("event_type").orderBy("hour")
     b = b.withColumn("dt", F.col("elapsed") - F.lag("elapsed").over(w))
     good = (F.col("lost") == 0) & (F.col("dt") > 0)
-    return b.groupBy("event_type").agg(F.round(m.upper_median(F.col("n") * 1e6 / F.when(good, F.col("dt")), good), 9).alias("rate"))
+    rates = b.where(good).select("event_type", (F.col("n") * 1e6 / F.col("dt")).alias("v"))
+    return m.values_at_ranks(rates, "event_type", "v", {"rate": F.floor(F.col("n") / 2)}).select("event_type", F.round("rate", 9).alias("rate"))
 
 
 def zoom_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,10 +254,12 @@ f AS (SELECT *, coalesce(last_value(l IGNORE NULLS) OVER (PARTITION BY user_id O
   first_value(l IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS low FROM l)
 SELECT event_id, round(low, 6) AS low, round(avg(low) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS env FROM f""",
     "envelope_max_need": f"""WITH {EVENTS},
-r AS (SELECT a.user_id, a.i, greatest(1, max(b.value / 50)) AS top, min(least(1, b.value / 50)) AS low FROM e a JOIN e b ON a.user_id = b.user_id AND abs(a.i - b.i) <= 3 AND b.i BETWEEN 2 AND 9 WHERE a.i BETWEEN 2 AND 9 GROUP BY ALL),
+z AS (SELECT user_id, count(*) // 5 AS edge, count(*) - 1 - count(*) // 5 AS last FROM e GROUP BY user_id),
+v AS (SELECT e.* FROM e JOIN z ON z.user_id = e.user_id AND i BETWEEN edge AND last),
+r AS (SELECT a.user_id, a.i, greatest(1, max(b.value / 50)) AS top, min(least(1, b.value / 50)) AS low FROM v a JOIN v b ON a.user_id = b.user_id AND abs(a.i - b.i) <= 3 GROUP BY ALL),
 q AS (SELECT a.user_id, a.i, any_value(a.top) AS top, avg(b.low) AS share FROM r a JOIN r b ON a.user_id = b.user_id AND abs(a.i - b.i) <= 3 GROUP BY ALL)
-SELECT e.event_id, round(coalesce(q.top, CASE WHEN e.i < 2 THEN (SELECT arg_min(top, i) FROM q z WHERE z.user_id = e.user_id) ELSE (SELECT arg_max(top, i) FROM q z WHERE z.user_id = e.user_id) END), 6) AS top, round(q.share, 6) AS share
-FROM e LEFT JOIN q ON q.user_id = e.user_id AND q.i = e.i""",
+SELECT e.event_id, round(coalesce(q.top, CASE WHEN e.i < z.edge THEN (SELECT arg_min(top, i) FROM q y WHERE y.user_id = e.user_id) ELSE (SELECT arg_max(top, i) FROM q y WHERE y.user_id = e.user_id) END), 6) AS top, round(q.share, 6) AS share
+FROM e JOIN z ON z.user_id = e.user_id LEFT JOIN q ON q.user_id = e.user_id AND q.i = e.i""",
     "upper_median_steps": f"""WITH {EVENTS},
 s AS (SELECT user_id, (t - lag(t) OVER w) / (i - lag(i) OVER w) AS step FROM e WHERE {_OK} WINDOW w AS (PARTITION BY user_id ORDER BY i))
 SELECT user_id, round(list_sort(list(step) FILTER (step IS NOT NULL))[CAST(count(step) // 2 + 1 AS INTEGER)], 6) AS step, count(*) FILTER (step > 86400) AS late FROM s GROUP BY user_id""",
