@@ -18,6 +18,8 @@ from kinegrain.operators.motion import product, rolling, unit
 
 #: Largest automatic zoom.
 CEILING = 4.0
+#: Frames smoothed together.
+BLOCK = 64
 #: Border points on each side of the picture.
 PER_SIDE = 8
 
@@ -93,12 +95,16 @@ def smooth_path(t: np.ndarray, q: np.ndarray, sigma: float, first: int, last: in
             continue
         lo = 0 if k == 1 and past_start else a
         hi = n - 1 if k == 1 and past_end else b
-        left = np.searchsorted(t, t[a: b + 1] - 3 * sigma, side="left")
-        right = np.searchsorted(t, t[a: b + 1] + 3 * sigma, side="right")
-        for i, x, y in zip(range(a, b + 1), np.maximum(left, lo), np.minimum(right, hi + 1)):
-            near = q[x:y]
-            w = np.exp(-0.5 * ((t[x:y] - t[i]) / sigma) ** 2) * np.where(near @ q[i] < 0, -1.0, 1.0)
-            out[i] = w @ near
+        left = np.maximum(np.searchsorted(t, t[a: b + 1] - 3 * sigma, side="left"), lo)
+        right = np.minimum(np.searchsorted(t, t[a: b + 1] + 3 * sigma, side="right"), hi + 1)
+        for i in range(a, b + 1, BLOCK):
+            j = min(i + BLOCK, b + 1)
+            x, y = left[i - a], right[j - 1 - a]
+            at = np.arange(x, y)
+            w = np.exp(-0.5 * ((t[x:y] - t[i:j, None]) / sigma) ** 2)
+            w *= np.where(q[i:j] @ q[x:y].T < 0, -1.0, 1.0)
+            w *= (at >= left[i - a: j - a, None]) & (at < right[i - a: j - a, None])
+            out[i:j] = w @ q[x:y]
     return unit(out)
 
 
@@ -148,13 +154,22 @@ class Clip:
     def need(self, i: np.ndarray, rs: np.ndarray, virtual: np.ndarray, limit: float, halvings: int) -> tuple[np.ndarray, np.ndarray]:
         """(smallest zoom that hides the borders, whether even ``limit`` does not) of frames."""
         rot = self.rotations(i, rs, virtual)
-        low, high = np.ones(len(i)), np.full(len(i), limit)
-        easy, over = self.fits(rot, low), ~self.fits(rot, high)
-        for _ in range(halvings):
-            mid = 0.5 * (low + high)
-            good = self.fits(rot, mid)
-            high, low = np.where(good, mid, high), np.where(good, low, mid)
-        return np.where(easy, 1.0, np.where(over, limit, high)), over & ~easy
+        zoom, over = np.ones(len(i)), np.zeros(len(i), bool)
+        # Only frames whose borders show at all, and can be hidden, are searched.
+        todo = np.flatnonzero(~self.fits(rot, zoom))
+        if len(todo):
+            hidden = self.fits(rot[todo], np.full(len(todo), limit))
+            over[todo], zoom[todo] = ~hidden, limit
+            todo = todo[hidden]
+        if len(todo):
+            rot = rot[todo]
+            low, high = np.ones(len(todo)), np.full(len(todo), limit)
+            for _ in range(halvings):
+                mid = 0.5 * (low + high)
+                good = self.fits(rot, mid)
+                high, low = np.where(good, mid, high), np.where(good, low, mid)
+            zoom[todo] = high
+        return zoom, over
 
     def share(self, i: np.ndarray, good, halvings: int = 10, top: float | np.ndarray = 1.0) -> np.ndarray:
         """Largest share up to ``top`` for which ``good(frames, share)`` holds, by halving."""
@@ -168,6 +183,9 @@ class Clip:
     def choose_path(self, limit: float) -> tuple[np.ndarray, bool, bool]:
         """The smoothing at the ends of the range that needs the least zoom, the first of equals."""
         s, best = self.s, None
+        if self.first == 0 and self.last == self.n - 1:
+            # The range has no ends inside the clip, so there is nothing to choose.
+            return smooth_path(self.t, self.actual, s.smoothness, self.first, self.last), False, False
         inside = np.flatnonzero(self.valid & (np.arange(self.n) >= self.first) & (np.arange(self.n) <= self.last))
         for end in (False, True):
             for start in (False, True):
