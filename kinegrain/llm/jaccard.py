@@ -30,7 +30,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinegrain.llm import scratch, sketches
@@ -418,7 +418,12 @@ def _with_member_texts(docs: DataFrame, members: DataFrame, bits: int) -> DataFr
     return named.unionByName(unnamed.join(members.where("rep IS NULL").drop("rep"), "t").select("s", "c", "tile", "tiles", "text"))
 
 
-def components(docs: DataFrame, k: int = 4, percent: int = 85, with_links: bool = False) -> DataFrame:
+def text_hash(text: Column) -> Column:
+    """64 bits of a text, by which rows without a doc_id are told apart."""
+    return F.xxhash64(text.cast("string"))
+
+
+def components(docs: DataFrame, k: int = 4, percent: int = 85, with_links: bool = False, with_hash: bool = False) -> DataFrame:
     """Every row's doc_id with n_shingles and component_id.
 
     Two documents link when 100 * |A & B| >= percent * |A | B| for their sets
@@ -429,17 +434,18 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, with_links: bool
     their rows get their component's smallest doc_id, or null if it has none.
     Other columns are ignored; an empty table gives no rows. ``with_links`` adds
     n_links, the other rows with a doc_id that a row links with, copies
-    included; for this all tiles are multiplied.
+    included; for this all tiles are multiplied. ``with_hash`` adds
+    ``text_hash``, the `text_hash` of rows without a doc_id, null elsewhere.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("t", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    docs = docs.withColumn("t", F.when(F.col("doc_id").isNull(), text_hash(F.col("text"))))
     scratch.bound_batches(docs)
     bits = TABLE_BITS
     partitions = scratch.partitions_for(docs, 16)
     summary = scratch.keep(_summaries(docs, k, bits), "summary")
     counts = sketches.gather(summary.where("chunk IS NOT NULL").select("chunk", "counts"), bits)
     order = np.minimum(np.rint(np.log2(counts.astype(np.float32) + 1) * STEPS), 255).astype(np.uint8)
-    sets = summary.where("chunk IS NULL").select("doc_id", "n", "s")
+    sets = summary.where("chunk IS NULL").select("doc_id", F.col("t").alias("text_hash"), "n", "s")
     classes = summary.where("chunk IS NULL AND n > 0").groupBy("s").agg(
         F.min("doc_id").alias("rep"), F.min("t").alias("t"), F.max("n").alias("n"), F.count("doc_id").alias("w"))
     ranges = summary.where("chunk IS NULL AND n > 0").select("s", "n", "ranges")
@@ -480,19 +486,19 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, with_links: bool
         rest = scratch.keep(_resolve(texts.join(sides, ["c", "tile"]).select("c", "i", "j", "s", "text"), k, percent, partitions), "rest")
         roots = done.unionByName(connected(partial.unionByName(rest.select("u", "v"))))
     if not with_links:
-        return _finish(sets, classes, roots)
+        return _finish(sets, classes, roots, None, with_hash)
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1))
     every = texts.join(classes.select("s", "w"), "s").withColumn("o", other).select("c", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "s", "w", "text")
-    return _finish(sets, classes, roots, scratch.keep(_degrees(every, k, percent, partitions), "degrees"))
+    return _finish(sets, classes, roots, scratch.keep(_degrees(every, k, percent, partitions), "degrees"), with_hash)
 
 
-def _finish(sets: DataFrame, classes: DataFrame, roots: DataFrame, degrees: DataFrame | None = None) -> DataFrame:
+def _finish(sets: DataFrame, classes: DataFrame, roots: DataFrame, degrees: DataFrame | None, with_hash: bool) -> DataFrame:
     """Name each component by its smallest doc_id; with ``degrees`` also count each row's links."""
     rooted = classes.join(roots, classes.s == roots.node, "left").select("s", "rep", F.coalesce("root", "s").alias("root"))
     named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     label = rooted.join(named, "root").select(F.col("s").alias("ls"), "component_id")
     out = sets.join(label, sets.s == F.col("ls"), "left")
-    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *(["text_hash"] if with_hash else [])]
     if degrees is not None:
         # Of the rows of its own class a row with a doc_id is one itself.
         own = classes.join(degrees, "s", "left").select(F.col("s").alias("os"), (F.col("w") + F.coalesce("links", F.lit(0))).alias("reach"))

@@ -67,3 +67,28 @@ def test_near_copies_link_at_five_words_and_80_percent(spark, tmp_path):
     rows = [(1, text("a", 84)), (2, text("a", 84) + " " + text("b", 18)), (3, text("c", 84)), (4, text("c", 84) + " " + text("d", 23))]
     more = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], docs.schema)
     assert sorted(r.doc_id for r in pipeline.drop_near_copies(spark, more, path).collect()) == [1, 3, 4]
+
+
+def test_decisions_reach_rows_without_an_id(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    docs = write_tables(spark, path).limit(0)
+    text = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    rows = [(1, text("a", 84)), (None, text("a", 85)), (None, text("q", 40)), (None, text("q", 41)), (None, None), (None, ""), (None, "x " + BENCH), (6, "y " + BENCH), (6, text("r", 30))]
+    more = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], docs.schema)
+    key = lambda x: repr(tuple(x))
+    near = pipeline.drop_near_copies(spark, more, path).collect()
+    # The two texts around the passage share 8 of 10 shingles, so the one without an id goes.
+    assert sorted(((r.doc_id, r.text) for r in near), key=key) == sorted([r for r in rows if r not in (rows[1], rows[6])], key=key)
+    left = pipeline.drop_contaminated(spark, more, path).collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=key) == sorted([r for r in rows if BENCH not in (r[1] or "")], key=key)
+
+
+def test_pipeline_with_labels_of_one_class(spark, tmp_path):
+    """All documents marked toxic, one of thousands of zeros before dots: nothing goes for toxicity, nothing breaks."""
+    path = f"file://{tmp_path}"
+    rows = [(i, f"plain text number {i} " + " ".join(f"k{i}x{j}" for j in range(9))) for i in range(6)] + [(7, "0" * 5000 + ".1.2.3 end"), (8, None), (9, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(d, 1, 1) for d, _ in rows], "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(0, BENCH)], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    assert {r.doc_id for r in pipeline.run(spark, path).collect()} == {d for d, _ in rows}
