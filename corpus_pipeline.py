@@ -27,17 +27,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of every component.
 
-    Documents link at a similarity of 0.8 of their 5-word shingles. Rows without
-    a doc_id stay. Rows that share a doc_id stay or go together; where the whole
-    row is repeated, one stays.
+    Documents link at a similarity of 0.8 of their 5-word shingles. A row
+    without a doc_id goes when its component has a document with one; among
+    themselves such rows stay. Rows that share a doc_id stay or go together;
+    where the whole row is repeated, one stays.
     """
     scratch.bound_batches(docs)
-    found = scratch.keep(jaccard.components(docs, k=5, percent=80).where("doc_id IS NOT NULL"), "found")
-    size = scratch.size_in_bytes(docs)
-    bits = sketches.bits_for(size, 256, least=18)
+    found = scratch.keep(jaccard.components(docs, k=5, percent=80, with_hash=True), "found")
+    unnamed = found.where("doc_id IS NULL AND component_id IS NOT NULL").select("text_hash").distinct()
+    found = found.where("doc_id IS NOT NULL")
+    bits = sketches.bits_for(scratch.size_in_bytes(docs), 256, least=18)
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     gone = found.select("doc_id").distinct().join(kept, "doc_id", "left_anti")
     left = sketches.without(docs, "doc_id", gone, bits)
+    if not unnamed.isEmpty():
+        key = jaccard.text_hash(F.col("text"))
+        left = left.where("doc_id IS NOT NULL").unionByName(left.where("doc_id IS NULL").join(unnamed, key == F.col("text_hash"), "left_anti"))
     twice = kept.where("n > 1").select("doc_id")
     if twice.isEmpty():
         return left
@@ -47,11 +52,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any word in a benchmark window. Rows without a doc_id stay."""
-    found = decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark"))
-    bad = scratch.keep(found.where("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias("bad")).distinct(), "bad")
+    """Documents without any word in a benchmark window.
+
+    That follows from the text alone, so the decision goes back by a 64-bit
+    hash of the text: it reaches rows without a doc_id, and of rows that share
+    one only those with the passage.
+    """
     scratch.bound_batches(docs)
-    return sketches.without(docs, "doc_id", bad, sketches.bits_for(scratch.size_in_bytes(docs), 256, least=18))
+    keyed = docs.withColumn("__text", F.when(F.col("text").isNotNull(), jaccard.text_hash(F.col("text"))))
+    found = decontaminate.find_overlaps(keyed.select(F.col("__text").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    bad = scratch.keep(found.where("contaminated").select(F.col("doc_id").alias("bad")).distinct(), "bad")
+    left = sketches.without(keyed, "__text", bad, sketches.bits_for(scratch.size_in_bytes(docs), 256, least=18))
+    return left.select(*docs.columns)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
