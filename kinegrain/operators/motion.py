@@ -307,5 +307,6 @@ def integrate_streams(samples: DataFrame, key: str, order: str, axes: list[str],
         q = integrate(np.stack([group.column(a).to_numpy()[at] for a in axes], axis=1), dt)
         return pa.table({key: group.column(key), order: pa.array(group.column(order).to_numpy()[at]), **{n: pa.array(np.ascontiguousarray(q[:, k])) for k, n in enumerate("wxyz")}})
 
-    rows = samples.select(F.col(key).cast("bigint"), F.col(order).cast("bigint"), *[F.col(a).cast("double") for a in axes])
-    return rows.groupBy(key).applyInArrow(run, f"{key} bigint, {order} bigint, w double, x double, y double, z double")
+    rows = samples.select(key, F.col(order).cast("bigint"), *[F.col(a).cast("double") for a in axes])
+    kind = samples.schema[key].dataType.simpleString()
+    return rows.groupBy(key).applyInArrow(run, f"{key} {kind}, {order} bigint, w double, x double, y double, z double")

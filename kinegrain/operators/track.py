@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +76,36 @@ def marks(table: DataFrame, rates: DataFrame, fps: float) -> DataFrame:
     rows = table.join(rates.select("clip", "rate_hz"), "clip").withColumn("mark", F.col("n") / F.col("rate_hz"))
     fitted = motion.regular_marks(rows.withColumn("key", F.xxhash64("clip")), "key", "frame", "mark", "valid", fps)
     return rows.withColumn("key", F.xxhash64("clip")).join(fitted, ["key", "frame"]).select("clip", "frame", F.col("fitted").alias("mark"), "valid", "lost", "late")
+
+
+def turns(samples: DataFrame, rates: DataFrame, lsb_per_dps: float, axis: tuple[int, int, int]) -> DataFrame:
+    """(clip, i, x, y, z): radians the camera turns in one sample's time, about its own axes.
+
+    ``axis`` says which recorded axis, negated or not, is pan, tilt and roll;
+    aiming right is a turn about +y, aiming down one about -x, roll about +z.
+    """
+    if sorted(abs(a) for a in axis) != [1, 2, 3]:
+        raise ValueError("axis must name each of 1, 2, 3 once")
+    pan, tilt, roll = (F.col("xyz"[abs(a) - 1]) * (-1.0 if a < 0 else 1.0) for a in axis)
+    scale = F.lit(math.pi / 180 / lsb_per_dps) / F.col("rate_hz")
+    rows = samples.join(rates.select("clip", "rate_hz"), "clip")
+    return rows.select("clip", "i", (-tilt * scale).alias("x"), (pan * scale).alias("y"), (roll * scale).alias("z"))
+
+
+def assemble(blocks: DataFrame, files: DataFrame, fps: float, lsb_per_dps: float, axis: tuple[int, int, int]) -> tuple[DataFrame, DataFrame]:
+    """A clip's blocks to (orientations (clip, i, w, x, y, z), frames (clip, frame, mark, valid, lost, late)).
+
+    Clips without a plausible rate, with fewer than two samples, or whose frame
+    table falls or points beyond the samples give no rows in either.
+    """
+    timed = timed_blocks(blocks)
+    rates = clip_rates(timed)
+    table = frame_table(timed, files, fps)
+    every = samples(timed)
+    before = F.lag("n").over(Window.partitionBy("clip").orderBy("frame"))
+    falls = table.withColumn("falls", F.col("n") < F.coalesce(before, F.lit(0))).groupBy("clip").agg(F.max("falls").alias("falls"), F.max("n").alias("last"))
+    total = every.groupBy("clip").agg(F.count("*").alias("total"))
+    good = falls.join(total, "clip").where("NOT falls AND last <= total AND total >= 2").select("clip")
+    good_rates = rates.join(good, "clip", "left_semi")
+    whole = motion.integrate_streams(turns(every, good_rates, lsb_per_dps, axis), "clip", "i", ["x", "y", "z"], 1.0)
+    return whole, marks(table.join(good, "clip", "left_semi"), good_rates, fps)

@@ -248,6 +248,19 @@ class Clip:
             virtual, zoom, amount = self.fade(virtual, zoom, amount)
         return {"virtual": virtual, "zoom": zoom, "shutter": amount, "limited": limited, "low": low, "mean": mean, "high": high, "past_start": past_start, "past_end": past_end}
 
+    def warps(self, solved: dict, manual: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether on, 1 / zoom, 33 rotations as rows of 9) of every frame, for `geometry.through_warp`.
+
+        A frame without data keeps its picture, with the manual zoom alone.
+        """
+        manual = float(np.clip(manual, 0.1, 10.0))
+        every = np.arange(self.n)
+        knots = self.rotations(every, solved["shutter"], solved["virtual"]).reshape(self.n, KNOTS, 9)
+        knots[~self.valid] = np.eye(3).ravel()
+        zoom = np.where(self.valid, solved["zoom"] * manual, manual)
+        on = (self.valid | (manual != 1.0)) & (self.lens.focal > 0)
+        return on, 1 / zoom, knots
+
     def fade(self, virtual: np.ndarray, zoom: np.ndarray, amount: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bring zoom and correction to none over the second beside frames without data."""
         n, s = self.n, self.s
@@ -275,6 +288,23 @@ class Clip:
         return virtual, zoom, amount
 
 
+def _per_clip(clips: DataFrame, samples: DataFrame, rate: float, lens: Lens, settings: Settings, rows, schema: str) -> DataFrame:
+    """Solve each clip and give ``rows(clip, solution)``, a dict of columns, beside its clip and frame numbers."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        f, q = left.to_pandas().sort_values("frame"), right.to_pandas().sort_values("i")
+        if len(q) < 2 or not len(f):
+            return empty
+        clip = Clip(q[list("wxyz")].to_numpy(), rate, f["t"].to_numpy(), f["valid"].to_numpy(), lens, settings)
+        out = {"clip": pa.array(f["clip"].to_numpy()), "frame": pa.array(f["frame"].to_numpy()), **rows(clip, clip.solve())}
+        return pa.table([out[n] for n in empty.column_names], schema=empty.schema)
+
+    kinds = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<array<double>>": pa.list_(pa.list_(pa.float64()))}
+    empty = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")]).empty_table()
+    a = clips.select(F.col("clip").cast("bigint"), F.col("frame").cast("bigint"), F.col("t").cast("double"), F.col("valid").cast("boolean"))
+    b = samples.select(F.col("clip").cast("bigint"), F.col("i").cast("bigint"), *[F.col(c).cast("double") for c in "wxyz"])
+    return a.groupBy("clip").cogroup(b.groupBy("clip")).applyInArrow(run, schema)
+
+
 def stabilise(clips: DataFrame, samples: DataFrame, rate: float, lens: Lens, settings: Settings) -> DataFrame:
     """Virtual camera of every frame: clip, frame, w, x, y, z, zoom, shutter, low, mean, high, limited.
 
@@ -282,21 +312,21 @@ def stabilise(clips: DataFrame, samples: DataFrame, rate: float, lens: Lens, set
     (clip, i, w, x, y, z) at a constant rate. A clip is one group, which holds
     its samples (about nine million in an hour).
     """
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        f, q = left.to_pandas().sort_values("frame"), right.to_pandas().sort_values("i")
-        if len(q) < 2 or not len(f):
-            return schema_table.slice(0, 0)
-        got = Clip(q[list("wxyz")].to_numpy(), rate, f["t"].to_numpy(), f["valid"].to_numpy(), lens, settings).solve()
-        n = len(f)
-        v = got["virtual"]
-        return pa.table({
-            "clip": pa.array(f["clip"].to_numpy()), "frame": pa.array(f["frame"].to_numpy()), **{c: pa.array(np.ascontiguousarray(v[:, k])) for k, c in enumerate("wxyz")},
-            "zoom": pa.array(got["zoom"]), "shutter": pa.array(got["shutter"]), **{c: pa.array([float(got[c])] * n) for c in ("low", "mean", "high")},
-            "limited": pa.array([int(got["limited"])] * n, pa.int64())})
+    def rows(clip: Clip, got: dict) -> dict:
+        return {
+            **{c: pa.array(np.ascontiguousarray(got["virtual"][:, k])) for k, c in enumerate("wxyz")}, "zoom": pa.array(got["zoom"]), "shutter": pa.array(got["shutter"]),
+            **{c: pa.array([float(got[c])] * clip.n) for c in ("low", "mean", "high")}, "limited": pa.array([int(got["limited"])] * clip.n, pa.int64())}
 
     names = "clip bigint, frame bigint, w double, x double, y double, z double, zoom double, shutter double, low double, mean double, high double, limited bigint"
-    kinds = [(c.split()[0], pa.int64() if c.split()[1] == "bigint" else pa.float64()) for c in names.split(", ")]
-    schema_table = pa.schema(kinds).empty_table()
-    a = clips.select(F.col("clip").cast("bigint"), F.col("frame").cast("bigint"), F.col("t").cast("double"), F.col("valid").cast("boolean"))
-    b = samples.select(F.col("clip").cast("bigint"), F.col("i").cast("bigint"), *[F.col(c).cast("double") for c in "wxyz"])
-    return a.groupBy("clip").cogroup(b.groupBy("clip")).applyInArrow(run, names)
+    return _per_clip(clips, samples, rate, lens, settings, rows, names)
+
+
+def frame_warps(clips: DataFrame, samples: DataFrame, rate: float, lens: Lens, settings: Settings, manual: float = 1.0) -> DataFrame:
+    """The warp of every frame: clip, frame, on, inv_zoom and knots, 33 rotations of 9 numbers, for `develop`."""
+    def rows(clip: Clip, got: dict) -> dict:
+        on, inv_zoom, knots = clip.warps(got, manual)
+        flat = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(knots).ravel()), 9)
+        lists = pa.FixedSizeListArray.from_arrays(flat.cast(pa.list_(pa.float64())), KNOTS)
+        return {"on": pa.array(on), "inv_zoom": pa.array(inv_zoom), "knots": lists.cast(pa.list_(pa.list_(pa.float64())))}
+
+    return _per_clip(clips, samples, rate, lens, settings, rows, "clip bigint, frame bigint, on boolean, inv_zoom double, knots array<array<double>>")

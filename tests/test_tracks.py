@@ -69,3 +69,103 @@ def test_development_of_a_grey_frame(spark):
     graded = develop.Look(exposure=1.0, contrast=1.2, saturation=1.3, boost=0.2, gamut=True, shoulder=True, lift=0.01, gain=1.05, soft_clip=True, recover=True, sharpen=0.3)
     got = develop.develop(rows, graded, 24, 20, geometry.place(24, 20, 24, 20), (0, 0, 24, 20), geometry.transform_matrix(geometry.Transform(flip_h=True), 24)).collect()
     assert len({(round(p.r, 9), round(p.g, 9), round(p.b, 9)) for p in got}) == 1 and 0 < got[0].r < 1
+
+
+def stream_blocks(spark, tmp_path, rows, order, per_batch, rate, name):
+    """The rows in the given order, a few to a micro-batch."""
+    from kinegrain.streaming import tracks
+
+    schema = "clip string, number bigint, frame bigint, clock bigint, n bigint, lost bigint"
+    for k in range(0, len(order), per_batch):
+        spark.createDataFrame([rows[i] for i in order[k: k + per_batch]], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+    q = tracks.tracks(stream, rate).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/{name}-cp").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    return spark.table(name)
+
+
+def test_shuffled_batches_give_the_batch_track(spark, tmp_path):
+    import random
+
+    blocks = clip_rows(missing=(5,), lost={12: 60, 20: 130}, frames=24)
+    timed = track.timed_blocks(spark.createDataFrame(blocks, SCHEMA)).orderBy("number").collect()
+    rows = [(c, number, frame, clock, len(s), lost) for c, number, frame, clock, lost, _, s in blocks] + [("c", 5, None, None, None, None)]
+    order = list(range(len(rows)))
+    random.Random(8).shuffle(order)
+    got = stream_blocks(spark, tmp_path, rows, order, 4, timed[0].block_rate, "shuffled").orderBy("frame").collect()
+    assert [(r.frame, r.elapsed, r.after, r.gap, r.broken) for r in got] == [(r.frame, r.elapsed, r.after, r.gap, r.broken) for r in timed]
+    assert {r.skipped for r in got} == {0} and any(r.gap > 99 for r in got)
+
+
+def test_waiting_blocks_and_repeats():
+    """The state function by hand: a gap in the numbers waits for silence, a repeat is counted, a resumed clip goes on."""
+    import pandas as pd
+
+    from kinegrain.streaming import tracks
+
+    class State:
+        def __init__(self):
+            self.value, self.hasTimedOut = None, False
+
+        exists = property(lambda self: self.value is not None)
+        get = property(lambda self: self.value)
+
+        def update(self, value):
+            self.value = value
+
+        def setTimeoutDuration(self, ms):
+            pass
+
+        def remove(self):
+            self.value = None
+
+    state, run = State(), tracks.advance(2500.0, 0)
+    frame = lambda *rows: iter([pd.DataFrame([(k, k + 10, k * 40_000, 100, 0) for k in rows], columns=["number", "frame", "clock", "n", "lost"])])
+    call = lambda *rows: [r.frame for piece in run(("c",), frame(*rows), state) for r in piece.itertuples()]
+    assert call(1, 0) == [10, 11] and call(4, 3) == [] and call(1) == []
+    state.hasTimedOut = True
+    out = pd.concat(list(run(("c",), iter([]), state)))
+    assert out["frame"].tolist() == [13, 14] and out["gap"].tolist() == [100, 0] and out["skipped"].tolist() == [1, 1]
+    state.hasTimedOut = False
+    assert call(5) == [15] and state.exists
+    state.hasTimedOut = True
+    for _ in range(tracks.MOST_IDLE + 1):
+        list(run(("c",), iter([]), state))
+    assert not state.exists
+
+
+def test_assembled_track(spark):
+    blocks = spark.createDataFrame(clip_rows(lost={20: 60}), SCHEMA)
+    files = spark.range(40).selectExpr("'c' AS clip", "id AS number")
+    orientations, frames = track.assemble(blocks, files, FPS, 16.4, (2, -1, 3))
+    q = orientations.orderBy("i").collect()
+    assert len(q) == 4000 and (q[0].w, q[0].x) == (1.0, 0.0) and all(abs(r.w**2 + r.x**2 + r.y**2 + r.z**2 - 1) < 1e-9 for r in q)
+    # By hand: the axis map and the trapezoid of the first step.
+    samples = track.samples(track.timed_blocks(blocks)).orderBy("i").limit(2).collect()
+    k = np.pi / 180 / 16.4
+    turn = lambda s: np.array([s.x * k, s.y * k, s.z * k])[[1, 0, 2]] * [1, -1, 1]
+    v = (turn(samples[0]) + turn(samples[1])) / 2 / RATE
+    want = np.array([-v[1], v[0], v[2]])
+    half = np.linalg.norm(want) / 2
+    assert np.allclose([q[1].x, q[1].y, q[1].z], want / (2 * half) * np.sin(half), atol=1e-12)
+    marks = frames.orderBy("frame").collect()
+    assert [r.frame for r in marks] == list(range(40)) and np.allclose(np.diff([r.mark for r in marks]), 0.04, atol=1e-4)
+    assert track.assemble(spark.createDataFrame(clip_rows()[:1], SCHEMA), files, FPS, 16.4, (1, 2, 3))[0].count() == 0
+
+
+def test_warps_of_frames():
+    from kinegrain.operators import zoom
+    from kinegrain.operators.motion import unit
+
+    r = np.random.default_rng(2)
+    samples = unit(np.cumsum(r.normal(size=(200, 4)) * 0.002, axis=0) + [1, 0, 0, 0])
+    lens = zoom.Lens(3264, 2170, 12, 5, 3240, 2160, 2800.0)
+    valid = np.ones(60, bool)
+    valid[7] = False
+    clip = zoom.Clip(samples, 100.0, np.arange(60) * 0.03, valid, lens, zoom.Settings(readout_s=0.02))
+    solved = clip.solve()
+    on, inv_zoom, knots = clip.warps(solved, 1.25)
+    assert on.all() and np.isclose(inv_zoom[7], 0.8) and np.allclose(knots[7], np.eye(3).ravel())
+    assert np.allclose(inv_zoom[20], 1 / (1.25 * solved["zoom"][20])) and np.allclose(knots[20].reshape(33, 3, 3) @ knots[20].reshape(33, 3, 3).transpose(0, 2, 1), np.eye(3), atol=1e-9)
+    assert not clip.warps(solved, 1.0)[0][7]
