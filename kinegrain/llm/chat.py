@@ -53,62 +53,58 @@ def format_windows(conversations: DataFrame, budget: int = 1024, history: int =
     half = (budget - history - system_reserve) // 2
     if half < 1 or history > half:
         raise ValueError("history may be at most half of what budget and system_reserve leave")
+    # Conversations are told apart by two columns without nulls, so that windows and the join deal rows alike.
     turns = conversations.select(
-        F.col("conv_id"), F.col("turn").cast("bigint").alias("turn"),
-        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+        "conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("c"), F.col("conv_id").isNull().alias("nameless"),
+        F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = turns.withColumn("tokens", turn_tokens(F.col("text"))).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 60))))
-    in_block = Window.partitionBy("conv_id", "block").orderBy(F.asc_nulls_first("turn"), "role", "text")
-    upto = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    turns = turns.withColumn("in_block", F.sum("tokens").over(upto)).withColumn("rank", F.row_number().over(in_block))
-    blocks = turns.groupBy("conv_id", "block").agg(F.sum("tokens").alias("block_tokens"))
-    before = Window.partitionBy("conv_id").orderBy("block")
-    blocks = blocks.select(
-        F.col("conv_id").alias("b_conv"), F.col("block").alias("b_block"),
-        F.coalesce(F.sum("block_tokens").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    turns = turns.join(blocks, turns.conv_id.eqNullSafe(blocks.b_conv) & (turns.block == blocks.b_block))
-    turns = turns.select(
-        "conv_id", "role", "text", "tokens", (F.col("base") + F.col("in_block")).alias("end"),
-        (F.col("base") + F.col("in_block") - F.col("tokens")).alias("begin"))
-    turns = turns.withColumn("bin", F.floor(F.col("begin") / half)).withColumn("part", (F.col("tokens") > half).cast("int"))
-    windows = turns.groupBy("conv_id", "bin", "part").agg(F.min("begin").alias("start"), F.sum("tokens").alias("new_tokens"))
-    w = windows.select(F.col("conv_id").alias("w_conv"), F.col("bin").alias("w_bin"), F.col("part").alias("w_part"), "start")
-    own = turns.select("conv_id", "bin", "part", "begin", "role", "text", "tokens", F.lit(False).alias("repeated"))
-    # A turn is history of a window that starts no later than `history` tokens after the turn's beginning.
-    first_bin = F.floor(F.col("end") / half)
-    reach = turns.where(F.col("tokens") <= history).withColumn(
-        "at_bin", F.explode(F.sequence(first_bin, F.greatest(first_bin, F.floor((F.col("begin") + history) / half)))))
-    past = reach.join(w, reach.conv_id.eqNullSafe(w.w_conv) & (reach.at_bin == w.w_bin)).where(
-        (F.col("end") <= F.col("start")) & (F.col("start") - F.col("begin") <= history)).select(
-        "conv_id", F.col("w_bin").alias("bin"), F.col("w_part").alias("part"), "begin", "role", "text", "tokens", F.lit(True).alias("repeated"))
-    first = turns.where((F.col("begin") == 0) & (F.col("role") == "system"))
-    first = first.select(F.col("conv_id").alias("s_conv"), "begin", "role", "text", "tokens", "end")
-    # Not where the history reaches back to the first turn anyway.
-    system = w.where("start > 0").join(first, w.w_conv.eqNullSafe(first.s_conv)).where(
-        (F.col("start") > history) | (F.col("tokens") > history)).select(
-        F.col("w_conv").alias("conv_id"), F.col("w_bin").alias("bin"), F.col("w_part").alias("part"), "begin", "role", "text", "tokens", F.lit(True).alias("repeated"))
-    every = own.unionByName(past).unionByName(system)
+    in_block = Window.partitionBy("c", "nameless", "block").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    turns = turns.withColumn("in_block", F.sum("tokens").over(in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # One row for each block of a conversation: where it begins, and how long the conversation is.
+    sums = conversations.select(
+        F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("c"), F.col("conv_id").isNull().alias("nameless"),
+        F.coalesce(F.floor(F.col("turn").cast("bigint") / BLOCK), F.lit(-(1 << 60))).alias("block"), turn_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    sums = sums.groupBy("c", "nameless", "block").agg(F.sum("tokens").alias("block_tokens"))
+    whole = Window.partitionBy("c", "nameless")
+    blocks = sums.select(
+        "c", "nameless", "block", F.sum("block_tokens").over(whole).alias("total"),
+        F.coalesce(F.sum("block_tokens").over(whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    turns = turns.join(blocks, ["c", "nameless", "block"])
+    turns = turns.withColumn("end", F.col("base") + F.col("in_block")).withColumn("begin", F.col("end") - F.col("tokens"))
+    bin_of = lambda at: F.floor(at / half)
+    own_bin = bin_of(F.col("begin"))
+    system = (F.col("begin") == 0) & (F.col("role") == "system")
+    # Bins a turn may be repeated in: those that begin within `history` tokens of it, and for the system turn all.
+    reach = F.when(system, bin_of(F.col("total"))).when(F.col("tokens") <= history, bin_of(F.col("begin") + history)).otherwise(own_bin)
+    placed = turns.withColumn("bin", F.explode(F.sequence(own_bin, F.greatest(own_bin, reach))))
     piece = F.struct(
-        "begin", "repeated", "role", "tokens",
+        "begin", "end", "tokens", "role", (F.col("tokens") > half).alias("long"), (F.col("bin") != own_bin).alias("past"), system.alias("system"),
         F.concat(F.lit("<turn "), escape(F.col("role")), F.lit(">")).alias("head"), escape(F.col("text")).alias("body"))
-    gathered = every.groupBy("conv_id", "bin", "part").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    gathered = placed.groupBy("c", "nameless", "bin").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(piece)).alias("all"))
+
+    # A bin has at most two windows: its turns, and one turn that is too long to share a window.
+    gathered = gathered.select("conv_id", "all", F.posexplode(F.array(F.lit(False), F.lit(True))).alias("part", "long"))
+    own = F.filter("all", lambda x: ~x["past"] & (x["long"] == F.col("long")))
+    gathered = gathered.withColumn("own", own).where(F.size("own") > 0).withColumn("start", F.col("own")[0]["begin"])
+    near = lambda x: (x["tokens"] <= history) & (F.col("start") - x["begin"] <= history)
+    repeated = F.filter("all", lambda x: (x["end"] <= F.col("start")) & (near(x) | x["system"]))
+    gathered = gathered.withColumn("repeated", repeated).withColumn("n_repeated", F.size("repeated")).withColumn("p", F.concat("repeated", "own"))
     tail = "</turn>\n"
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         body = acc["at"] + F.length(x["head"])
-        target = (x["role"] == "assistant") & ~x["repeated"]
+        target = (x["role"] == "assistant") & (x["begin"] >= F.col("start"))
         span = F.array(F.struct(body.cast("bigint").alias("start"), F.length(x["body"]).cast("bigint").alias("length")))
         return F.struct(
             (body + F.length(x["body"]) + len(tail)).cast("bigint").alias("at"),
             F.when(target, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
     return gathered.select(
-        "conv_id",
-        F.expr("filter(p, x -> NOT x.repeated)[0].begin").alias("window_start"), F.col("part").alias("window_part"),
-        F.expr("size(filter(p, x -> x.repeated))").alias("n_repeated"), F.size("p").alias("n_turns"),
+        "conv_id", F.col("start").alias("window_start"), F.col("part").alias("window_part"), "n_repeated", F.size("p").alias("n_turns"),
         F.expr("aggregate(p, 0L, (a, x) -> a + x.tokens)").alias("n_tokens"),
         F.concat_ws("", F.transform("p", lambda x: F.concat(x["head"], x["body"], F.lit(tail)))).alias("formatted"),
-        F.aggregate("p", start, step, lambda acc: acc["spans"]).alias("loss"))
+        F.aggregate("p", first, step, lambda acc: acc["spans"]).alias("loss"))
 
 
 def read_back(windows: DataFrame) -> DataFrame:
