@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hex digits of the digest that the join looks at (4 bytes).
 PREFIX_DIGITS = 8
+#: Tasks that the URLs of one expression are dealt over.
+SPREAD = 16
 
 #: The rules of the query.
 RULES = [
@@ -61,8 +63,10 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     as they are, repeated ones included; columns of ``urls`` named host, path,
     rule or verdict are replaced. Rules with a null part are ignored.
 
-    The rules' (label count, path length) shapes are the only thing read to the
-    driver: one small pair for each distinct shape, whatever the number of rules.
+    The rules' distinct (label count, path length) shapes are one row beside
+    the URLs, as many as rules differ in shape; nothing is read to the driver.
+    An expression that many URLs have, as a rule for a whole top domain makes
+    it, is dealt over ``SPREAD`` tasks, and the rules are repeated for them.
     Work is done once for each distinct URL, so a repeated page costs one
     expansion, and the way back to the rows is an ordinary join that Spark may
     split where a URL is hot.
@@ -70,7 +74,8 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     rules = rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL AND host <> ''").select(
         ascii_lower(F.col("host")).alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict"))
     labels = lambda c: F.length(c) - F.length(F.replace(c, F.lit("."), F.lit(""))) + 1
-    shapes = rules.select(labels(F.col("r_host")).alias("n"), F.length("r_path").alias("m")).distinct().collect()
+    shape = F.struct(labels(F.col("r_host")).cast("int").alias("n"), F.length("r_path").alias("m"))
+    shapes = rules.agg(F.collect_set(shape).alias("shapes"))
     expression = F.concat("r_host", "r_path")
     keyed = rules.select(
         F.substring(_digest(expression), 1, PREFIX_DIGITS).alias("prefix"), _digest(expression).alias("full"),
@@ -83,19 +88,17 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     distinct = rows.select(key).distinct()
     host, path = url_host_path(F.col(key))
     parsed = distinct.select(key, host.alias("host"), path.alias("path"))
-    if shapes:
-        h, p = F.col("host"), F.col("path")
-        options = F.array_compact(F.array(*[
-            F.when((h != "") & (labels(h) >= s.n) & (F.length(p) >= s.m), F.concat(F.substring_index(h, ".", -s.n), F.substring(p, 1, s.m)))
-            for s in shapes]))
-        expanded = parsed.select(key, F.explode(options).alias("e")).select(key, _digest(F.col("e")).alias("digest"))
-        expanded = expanded.withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
-        hits = expanded.join(keyed, "prefix").where(F.col("digest") == F.col("full"))
-        best = hits.groupBy(key).agg(F.max(F.struct(F.length("rule").alias("l"), "host_len", "r_verdict", "rule")).alias("best"))
-        best = best.withColumnRenamed(key, "__best_url")
-        parsed = parsed.join(best, F.col(key) == F.col("__best_url"), "left").select(
-            key, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
-    else:
-        parsed = parsed.select(key, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    # One row of shapes; without rules it is an empty list and no URL has an expression.
+    fits = lambda x: (F.col("host") != "") & (labels(F.col("host")) >= x["n"]) & (F.length("path") >= x["m"])
+    written = lambda x: F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -x["n"]), F.substring(F.col("path"), F.lit(1), x["m"]))
+    options = parsed.crossJoin(F.broadcast(shapes)).select(key, F.explode(F.transform(F.filter("shapes", fits), written)).alias("e"))
+    expanded = options.select(key, _digest(F.col("e")).alias("digest"), F.pmod(F.xxhash64(key), F.lit(SPREAD)).cast("int").alias("salt"))
+    expanded = expanded.withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
+    salted = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    hits = expanded.join(salted, ["prefix", "salt"]).where(F.col("digest") == F.col("full"))
+    best = hits.groupBy(key).agg(F.max(F.struct(F.length("rule").alias("l"), "host_len", "r_verdict", "rule")).alias("best"))
+    best = best.withColumnRenamed(key, "__best_url")
+    parsed = parsed.join(best, F.col(key) == F.col("__best_url"), "left").select(
+        key, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
     judged = parsed.withColumnRenamed(key, "__judged")
     return rows.join(judged, F.col(key).eqNullSafe(F.col("__judged")), "left").select(*names, "host", "path", "rule", "verdict")
