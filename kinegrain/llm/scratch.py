@@ -78,7 +78,15 @@ def size_in_bytes(df: DataFrame) -> int:
     return size if size < int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str(1 << 62))) >> 8 else 0
 
 
+#: Tasks of one shuffle; where that many are not enough for partitions of the size asked for, these grow and are sorted on disk.
+MOST_PARTITIONS = 50_000
+
+
 def partitions_for(df: DataFrame, mb: int = 32) -> int:
-    """Partitions of about ``mb`` MB, and no fewer than the session's setting."""
+    """Partitions of about ``mb`` MB, no fewer than the session's setting.
+
+    For a plan whose size the optimizer does not know, as a relation made in
+    memory, the session's setting is all there is to go by.
+    """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(-(-size_in_bytes(df) // (mb << 20)), 1_000_000))
+    return max(least, min(-(-size_in_bytes(df) // (mb << 20)), MOST_PARTITIONS))
