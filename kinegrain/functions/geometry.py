@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -164,6 +165,34 @@ def through_warp(p: Point, w: Warp, knots: Column) -> Point:
     return out["x"], out["y"]
 
 
+def transform_points(x: np.ndarray, y: np.ndarray, m: list[float], width: float, height: float) -> tuple[np.ndarray, np.ndarray]:
+    """`through_transform` for arrays; NaN behind the viewer."""
+    h = np.array(m, float).reshape(3, 3) @ np.stack((x - 0.5 * width, 0.5 * height - y, np.ones_like(x)))
+    w = np.where(h[2] > 1e-6, h[2], np.nan)
+    return h[0] / w + 0.5 * width, 0.5 * height - h[1] / w
+
+
+def lens_points(x: np.ndarray, y: np.ndarray, cx: float, cy: float, radius: float, c: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """`through_lens` for arrays."""
+    dx, dy = (x - cx) / radius, (y - cy) / radius
+    f = np.polynomial.polynomial.polyval(np.hypot(dx, dy), c)
+    return dx * f * radius + cx, dy * f * radius + cy
+
+
+def warp_points(x: np.ndarray, y: np.ndarray, w: Warp, knots: np.ndarray, inv_zoom: float) -> tuple[np.ndarray, np.ndarray]:
+    """`through_warp` for arrays of one frame; NaN behind the camera."""
+    ray = np.stack(((x - w.cx) * inv_zoom, (y - w.cy) * inv_zoom, np.full_like(x, w.focal)), axis=-1)
+    turns = np.asarray(knots, float).reshape(KNOTS, 3, 3)
+    for _ in range(w.rounds):
+        at = np.clip(np.nan_to_num((y - w.row0) / w.rows * (KNOTS - 1)), 0, KNOTS - 1)
+        k = np.minimum(at.astype(np.int64), KNOTS - 2)
+        turn = turns[k] + (at - k)[:, None, None] * (turns[k + 1] - turns[k])
+        q = np.einsum("nij,nj->ni", turn, ray)
+        depth = np.where(q[:, 2] >= 1e-3 * w.focal, q[:, 2], np.nan)
+        x, y = q[:, 0] / depth * w.focal + w.cx, q[:, 1] / depth * w.focal + w.cy
+    return x, y
+
+
 def inside(p: Point, x0: float, y0: float, x1: float, y1: float) -> Column:
     """Whether a position lies in [x0, x1) x [y0, y1); a null position does not."""
     return F.coalesce((p[0] >= x0) & (p[1] >= y0) & (p[0] < x1) & (p[1] < y1), F.lit(False))

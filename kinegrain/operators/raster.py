@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinegrain.functions import kernels
 from kinegrain.functions.kernels import HALO
 
 #: Rows of a band without its halo; even, so that the mosaic's phase is kept.
@@ -98,6 +99,48 @@ def sample_points(rows: DataFrame, points: DataFrame, plane: str = "r") -> DataF
     return p.select(*points.columns, (mix("ra") * (1 - F.col("ty")) + mix("rb") * F.col("ty")).alias("v"))
 
 
+def sample_kernel(rows: DataFrame, points: DataFrame, planes: list[str], kind: str, kx: float = 1.0, ky: float = 1.0, area: tuple[int, int, int, int] | None = None, band_rows: int = BAND_ROWS) -> DataFrame:
+    """Values of several planes at (img, px, py) pixel-index positions by a windowed kernel or ``bilinear``, as columns named like the planes.
+
+    ``area`` (x, y, width, height) is the part of the picture that is read; its
+    edge repeats beyond it. Points meet the rows their taps need band by band,
+    so a task holds one band and its halo. Points keep all their columns.
+    """
+    reach = min(int(np.ceil((3 if kind == "lanczos3" else 2) * max(ky, 1.0))), 32) + 1
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    out_schema = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in points.schema] + [(p, pa.float64()) for p in planes])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return out_schema.empty_table()
+        y = right.column("y").to_numpy()
+        order = np.argsort(y, kind="stable")
+        px, py = left.column("px").to_numpy(), left.column("py").to_numpy()
+        found = []
+        for p in planes:
+            column = right.column(p)
+            picture = np.stack([column[int(i)].values.to_numpy() for i in order])
+            x0 = 0
+            if area:
+                x0, picture = area[0], picture[:, area[0]: area[0] + area[2]]
+            y0 = float(y.min())
+            values = kernels.bilinear(picture, px - x0, py - y0) if kind == "bilinear" else kernels.resample(picture, px + 0.5 - x0, py + 0.5 - y0, kind, kx, ky)
+            found.append(pa.array(values))
+        keep = [left.column(n) for n in out_schema.names[: len(out_schema.names) - len(planes)]]
+        return pa.table([*keep, *found], schema=out_schema)
+
+    if area:
+        rows = rows.where((F.col("y") >= area[1]) & (F.col("y") < area[1] + area[3]))
+    size = rows.groupBy("img").agg(F.min("y").alias("__first"), F.max("y").alias("__last"))
+    # Beyond the picture the taps repeat its edge, which lies in the first or last band.
+    place = points.join(size, "img").withColumn("__band", F.floor(F.least(F.greatest(F.floor("py"), F.col("__first")), F.col("__last")) / band_rows))
+    near = rows.withColumn("__band", F.explode(F.sequence(F.floor((F.col("y") - reach) / band_rows), F.floor((F.col("y") + reach) / band_rows))))
+    left = place.select(*points.columns, F.col("img").alias("__img"), "__band").groupBy("__img", "__band")
+    right = near.select(F.col("img").alias("__img"), "__band", "y", *planes).groupBy("__img", "__band")
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema] + [f"{p} double" for p in planes])
+    return left.cogroup(right).applyInArrow(run, ddl)
+
+
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Largest and mean absolute difference of two pixel relations, and their non-finite values."""
     both = a.select("img", "y", "x", F.col("v").alias("va")).join(b.select("img", "y", "x", F.col("v").alias("vb")), ["img", "y", "x"])

@@ -169,3 +169,85 @@ def test_warps_of_frames():
     assert on.all() and np.isclose(inv_zoom[7], 0.8) and np.allclose(knots[7], np.eye(3).ravel())
     assert np.allclose(inv_zoom[20], 1 / (1.25 * solved["zoom"][20])) and np.allclose(knots[20].reshape(33, 3, 3) @ knots[20].reshape(33, 3, 3).transpose(0, 2, 1), np.eye(3), atol=1e-9)
     assert not clip.warps(solved, 1.0)[0][7]
+
+
+def plain_picture(planes, g, knots, inv_zoom, scale):
+    """Output pixel by output pixel: the chain of maps, and one sample there; NaN where it is black."""
+    from kinegrain.functions import kernels
+
+    cx, cy, w, h = g.crop
+    out = np.full((3, g.height, g.width), np.nan)
+    where = np.full((2, g.height, g.width), np.nan)
+    inside = lambda x, y: cx <= x < cx + w and cy <= y < cy + h
+    for oy in range(g.height):
+        for ox in range(g.width):
+            x, y = (ox + 0.5 - g.place.off_x) / g.place.scale_x + cx, (oy + 0.5 - g.place.off_y) / g.place.scale_y + cy
+            if not inside(x, y):
+                continue
+            if g.warp is not None:
+                ray = np.array([(x - g.warp.cx) * inv_zoom, (y - g.warp.cy) * inv_zoom, g.warp.focal])
+                for _ in range(3):
+                    at = min(max(y / g.warp.rows * 32, 0), 32)
+                    k = min(int(at), 31)
+                    q = (knots[k] + (at - k) * (knots[k + 1] - knots[k])).reshape(3, 3) @ ray
+                    x, y = q[0] / q[2] * g.warp.focal + g.warp.cx, q[1] / q[2] * g.warp.focal + g.warp.cy
+                if not inside(x, y):
+                    continue
+            if g.lens is not None:
+                dx, dy = (x - g.lens[0]) / g.lens[2], (y - g.lens[1]) / g.lens[2]
+                f = sum(c * np.hypot(dx, dy) ** k for k, c in enumerate(g.lens[3]))
+                x, y = dx * f * g.lens[2] + g.lens[0], dy * f * g.lens[2] + g.lens[1]
+                if not inside(x, y):
+                    continue
+            where[:, oy, ox] = x, y
+            for k, p in enumerate(planes):
+                if g.resampler == "bilinear":
+                    out[k, oy, ox] = kernels.bilinear(p, np.array([x - 0.5]), np.array([y - 0.5]))[0]
+                else:
+                    out[k, oy, ox] = kernels.resample(p[cy: cy + h, cx: cx + w], np.array([x - cx]), np.array([y - cy]), g.resampler, *scale)[0]
+    return out, where
+
+
+def test_whole_geometry(spark, monkeypatch):
+    """Warp, lens and kernel in one chain, over several bands, against pixels made one by one."""
+    from kinegrain.operators import raster, zoom
+
+    r = np.random.default_rng(3)
+    planes = r.uniform(0.05, 0.9, size=(3, 40, 48))
+    pictures = spark.createDataFrame([(i, y, *[p[y].tolist() for p in planes]) for i in (0, 1) for y in range(40)], "img bigint, y bigint, r0 array<double>, r1 array<double>, r2 array<double>")
+    q = np.array([[1, 0.004 * k / 32, -0.003, 0.01] for k in range(33)])
+    knots = zoom.matrices(q / np.linalg.norm(q, axis=1)[:, None]).reshape(33, 9)
+    warps = spark.createDataFrame([(0, True, 1 / 1.1, knots.tolist()), (1, False, 1 / 1.1, knots.tolist())], "img bigint, on boolean, inv_zoom double, knots array<array<double>>")
+    lens = (24.0, 20.0, 30.0, [0.97, 0.0, 0.05, 0.0, -0.02, 0.0, 0.01])
+    for resampler in ("bilinear", "lanczos3", "catmull"):
+        g = develop.Geometry(30, 28, geometry.place(44, 36, 30, 28), (2, 2, 44, 36), None, geometry.Warp(60.0, 24.0, 20.0, 40.0), lens, resampler)
+        scale = develop.widening(pictures, g, warps)
+        assert resampler == "bilinear" or 1.2 < scale[0] < 1.6
+        got = develop.pass_through(pictures, g, warps).collect()
+        sampled = raster.sample_kernel(pictures, develop.recorded(pictures, g, warps).where("px IS NOT NULL"), ["r0"], resampler, *scale, area=g.crop, band_rows=8) if resampler != "bilinear" else None
+        for img, flat in ((0, False), (1, True)):
+            one = develop.replace(g, warp=None) if flat else g
+            want, _ = plain_picture(planes, one, knots, 1 / 1.1, scale)
+            for p in got:
+                if p.img == img:
+                    assert np.allclose((p.r, p.g, p.b), np.nan_to_num(want[:, p.y, p.x]), atol=1e-9)
+            if sampled is not None and img == 0:
+                assert all(np.isclose(s.r0, want[0, s.oy, s.ox]) for s in sampled.where("img = 0").collect())
+
+
+def test_pass_through_takes_the_vignette_out(spark):
+    pictures = spark.createDataFrame([(0, y, [0.5] * 16, [0.5] * 16, [0.5] * 16) for y in range(12)], "img bigint, y bigint, r0 array<double>, r1 array<double>, r2 array<double>")
+    g = develop.Geometry(16, 12, geometry.place(16, 12, 16, 12), (0, 0, 16, 12))
+    got = {(p.y, p.x): p.r for p in develop.pass_through(pictures, g, None, (8.0, 6.0, 0.1, (0.3, 0.1, 0.0, 0.0)), "linear").collect()}
+    r2 = lambda y, x: ((x + 0.5 - 8) ** 2 + (y + 0.5 - 6) ** 2) * 0.01
+    assert all(np.isclose(v, 0.5 * min(max(1 + 0.3 * r2(*k) + 0.1 * r2(*k) ** 2, 0.5), 8)) for k, v in got.items())
+
+
+def test_development_with_sharpening_and_edges(spark):
+    """A sharpened step overshoots; edge smoothing leaves a flat picture as it is."""
+    rows = spark.createDataFrame([(0, y, [0.2 if x < 12 else 0.6 for x in range(24)]) for y in range(20)], "img bigint, y bigint, r array<double>")
+    g = develop.Geometry(24, 20, geometry.place(24, 20, 24, 20), (0, 0, 24, 20), resampler="lanczos3")
+    look = develop.Look(curve="linear", hot_pixels=False)
+    flat = {(p.y, p.x): p.g for p in develop.develop_with(rows, look, g).collect()}
+    sharp = {(p.y, p.x): p.g for p in develop.develop_with(rows, develop.replace(look, sharpen=0.5, edges=0.8), g).collect()}
+    assert np.isclose(flat[10, 4], 0.2) and np.isclose(sharp[10, 4], 0.2) and sharp[10, 12] > flat[10, 12] + 0.02
