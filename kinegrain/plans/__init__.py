@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("motion_queries", "raster_queries", "colour_queries", "match_queries", "zoom_queries")
+MODULES = ("motion_queries", "raster_queries", "colour_queries", "match_queries", "zoom_queries", "clip_queries")
 
 
 def _gather(name: str) -> dict:
