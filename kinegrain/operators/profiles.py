@@ -31,9 +31,10 @@ def installed(files: DataFrame) -> DataFrame:
     return named.withColumn("preferred", F.array_contains("name", "mount") & F.array_contains("name", "l"))
 
 
-def same_word(have: Column, want: Column) -> Column:
-    """Equal, or three digits and more that follow one other character: the ``019`` of ``c019``."""
-    return (have == want) | (want.rlike("^[0-9]{3,}$") & (F.length(have) == F.length(want) + 1) & have.endswith(want))
+def known_as(name: Column) -> Column:
+    """The words a profile answers to: its own, and of ``c019`` also ``019`` (three digits and more after one character)."""
+    tails = F.filter(F.transform(name, lambda w: F.substring(w, 2, 1 << 20)), lambda t: t.rlike("^[0-9]{3,}$"))
+    return F.array_distinct(F.concat(name, tails))
 
 
 def choose(clips: DataFrame, profiles: DataFrame, entries: DataFrame, vignette: bool) -> DataFrame:
@@ -48,14 +49,14 @@ def choose(clips: DataFrame, profiles: DataFrame, entries: DataFrame, vignette:
     """
     known = F.coalesce(F.col("focal_mm") > 0, F.lit(False))
     c = clips.select("clip", "focal_mm", words(F.col("lens_model")).alias("want")).where(F.size("want") > 0)
-    apertures = F.filter("want", is_aperture)
-    keys = F.when(F.size(apertures) > 0, F.slice(F.array_sort(apertures), 1, 1)).when(~known, F.filter("want", lambda w: w.contains("mm"))).otherwise(F.col("want"))
-    c = c.withColumn("key", F.explode(F.array_distinct(keys)))
-    tails = F.filter(F.transform("name", lambda w: F.substring(w, 2, 1 << 20)), lambda t: t.rlike("^[0-9]{3,}$"))
-    p = profiles.withColumn("key", F.explode(F.array_distinct(F.concat("name", tails))))
-    pairs = c.join(p, "key").drop("key").dropDuplicates(["clip", "path"])
-    found = lambda w: F.exists("name", lambda h: same_word(h, w))
-    pairs = pairs.where(F.forall("want", lambda w: ~is_aperture(w) | found(w)) & (known | F.exists("want", lambda w: w.contains("mm") & found(w))))
+    c = c.withColumns({"apertures": F.array_distinct(F.filter("want", is_aperture)), "focals": F.array_distinct(F.filter("want", lambda w: w.contains("mm")))})
+    keys = F.when(F.size("apertures") > 0, F.slice(F.array_sort("apertures"), 1, 1)).when(~known, F.col("focals")).otherwise(F.array_distinct("want"))
+    c = c.withColumn("keys", keys).withColumn("key", F.explode("keys"))
+    p = profiles.withColumn("answers", known_as(F.col("name"))).withColumn("key", F.explode("answers"))
+    # A pair meets once, on the first of the keys that both have.
+    pairs = c.join(p, "key").where((F.size("keys") == 1) | (F.col("key") == F.filter("keys", lambda k: F.array_contains("answers", k))[0]))
+    pairs = pairs.where((F.size(F.array_except("apertures", "answers")) == 0) & (known | F.arrays_overlap("focals", "answers")))
+    found = lambda w: F.array_contains("answers", w)
     score = F.size(F.filter("want", found)) / F.sqrt((F.size("want") * F.size("name")).cast("double"))
     fits = pairs.withColumn("fit", score).where(F.col("fit") >= LEAST).withColumn("fit", F.col("fit") + F.when(F.col("preferred"), BONUS).otherwise(0.0))
     place = F.row_number().over(Window.partitionBy("clip").orderBy(F.desc("fit"), "ordinal"))
