@@ -13,6 +13,8 @@ bounds, are ever gathered in one row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +38,18 @@ def turn_tokens(text: Column) -> Column:
     return (F.floor((F.octet_length(text) + 3) / 4) + 4).cast("bigint")
 
 
-def format_windows(conversations: DataFrame, budget: int = 1024, history: int = 256, system_reserve: int = 128) -> DataFrame:
+def most_tokens(text: Column) -> Column:
+    """A bound on a turn's cost with any byte-level tokenizer, which never makes more tokens than bytes; as many for its marks."""
+    return (F.octet_length(escape(text)) + 24).cast("bigint")
+
+
+def format_windows(conversations: DataFrame, budget: int = 1024, history: int = 256, system_reserve: int = 128, cost: Callable[[Column], Column] = turn_tokens) -> DataFrame:
     """One row per window: conv_id, window_start, window_part, n_repeated, n_turns, n_tokens, formatted, loss.
 
     Turns are ordered by (turn, role, text), nulls first; repeated rows stay.
-    A null role or text is empty. With ``room = budget - history -
+    A null role or text is empty. ``cost`` gives a turn's tokens from its text,
+    a positive bigint: `turn_tokens` estimates them, with `most_tokens` no
+    window has more than ``budget`` whatever the tokenizer. With ``room = budget - history -
     system_reserve``, a window takes the turns that begin in one half-room bin
     of the running sum; a turn of over half the room is a window of its own, so
     no window exceeds the budget unless a single turn or the system turn does.
@@ -57,13 +66,13 @@ def format_windows(conversations: DataFrame, budget: int = 1024, history: int =
     turns = conversations.select(
         "conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("c"), F.col("conv_id").isNull().alias("nameless"),
         F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = turns.withColumn("tokens", turn_tokens(F.col("text"))).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 60))))
+    turns = turns.withColumn("tokens", cost(F.col("text"))).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 60))))
     in_block = Window.partitionBy("c", "nameless", "block").orderBy(F.asc_nulls_first("turn"), "role", "text")
     turns = turns.withColumn("in_block", F.sum("tokens").over(in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     # One row for each block of a conversation: where it begins, and how long the conversation is.
     sums = conversations.select(
         F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("c"), F.col("conv_id").isNull().alias("nameless"),
-        F.coalesce(F.floor(F.col("turn").cast("bigint") / BLOCK), F.lit(-(1 << 60))).alias("block"), turn_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+        F.coalesce(F.floor(F.col("turn").cast("bigint") / BLOCK), F.lit(-(1 << 60))).alias("block"), cost(F.coalesce("text", F.lit(""))).alias("tokens"))
     sums = sums.groupBy("c", "nameless", "block").agg(F.sum("tokens").alias("block_tokens"))
     whole = Window.partitionBy("c", "nameless")
     blocks = sums.select(

@@ -46,13 +46,41 @@ def test_windows(spark, budget, history):
     assert "Python" not in plan_of(back) and "Arrow" not in plan_of(back)
 
 
+def test_windows_within_a_tokenizers_budget(spark):
+    """By the bound on tokens a window of several turns never has more than its budget, marks included."""
+    from tokenizers import Tokenizer
+
+    from kinegrain.llm.queries_tokens import vocabulary
+
+    tok = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    frame, rows = conversations(spark, 6)
+    windows = chat.format_windows(frame, 600, 120, 60, cost=chat.most_tokens).collect()
+    assert len(windows) > 20
+    for w in windows:
+        many = w.n_turns - w.n_repeated > 1
+        assert w.n_tokens >= len(tok.encode(w.formatted, add_special_tokens=False).ids) and (not many or w.n_tokens <= 600)
+
+
+def test_very_long_conversation(spark):
+    """Over many blocks of turns, in one piece."""
+    rows = [(1, t, ("user", "assistant")[t % 2], f"turn {t} " * (t % 7)) for t in range(3000)] + [(2, 0, "system", "be kind")] + [(2, t, ("user", "assistant")[t % 2], "hello there " * 9) for t in range(1, 700)]
+    frame = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    windows = chat.format_windows(frame)
+    back = sorted(chat.read_back(windows).collect(), key=lambda r: (r.conv_id, r.window_start, r.window_part))
+    got = [(r.conv_id, x.role, x.text) for r in back for x in r.turns]
+    assert got == [(c, role, text) for c, _, role, text in rows]
+    assert [t for r in back for t in r.targets] == [text for _, _, role, text in rows if role == "assistant"]
+    assert all(w.formatted.startswith("<turn system>be kind") for w in windows.where("conv_id = 2").collect())
+    assert max(w.n_tokens for w in windows.collect()) <= 1024
+
+
 def test_no_conversations(spark):
     frame, _ = conversations(spark)
     assert chat.format_windows(frame.limit(0)).count() == 0
 
 
-RULES = [("com", "/", "allow"), ("a.com", "/x", "block"), ("B.a.com", "/x/y", "allow"), ("same.org", "/p", "block"), ("same.org", "/p", "allow"), (None, "/", "block")]
-URLS = ["http://a.com/x/y?q", "http://b.a.com/x/y", "HTTP://B.A.COM/x/yz#t", "http://ba.com/x", "a.com/x", "x://", "x://com", "x://com/", None, "http://z.same.org/p/", "http://é.com/X", "u://a.com?x=/x", "http://a.com/x/y?q"]
+RULES = [("com", "/", "allow"), ("empty.org", "", "block"), ("a.com", "/x", "block"), ("B.a.com", "/x/y", "allow"), ("same.org", "/p", "block"), ("same.org", "/p", "allow"), (None, "/", "block")]
+URLS = ["http://a.com/x/y?q", "http://b.a.com/x/y", "HTTP://B.A.COM/x/yz#t", "http://ba.com/x", "a.com/x", "x://", "x://com", "x://com/", None, "http://z.same.org/p/", "http://é.com/X", "u://a.com?x=/x", "http://a.com/x/y?q", "q://empty.org", "q://w.empty.org?x"]
 
 
 def brute(url):
