@@ -46,8 +46,9 @@ FIT_WORDS = 400_000
 #: Steps of the first fit, and after the toxic texts are relabelled by the marginals that reach the bound.
 FIT_STEPS = (40, 12)
 RELABEL_MARGINAL = 0.5
-#: Minimum hashes of a toxic training text, and the share of them that makes two texts near copies.
-SKETCH, COPY_SHARE = 64, 0.4
+#: Minimum hashes of a toxic training text, the share of them that makes two texts near copies, and
+#: the words a text must have to count as one: short texts are alike without being copies.
+SKETCH, COPY_SHARE, COPY_WORDS = 64, 0.4, 20
 THRESHOLD = 0.3
 #: Marginals that count towards a document's sum.
 LEAST_MARGINAL = 0.25
@@ -133,7 +134,9 @@ def originals(words: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarr
     out = np.ones(len(toxic), bool)
     bad = np.flatnonzero(toxic)
     own = np.flatnonzero(toxic[doc].astype(bool))
-    seen = np.isin(bad, doc[own])
+    size = np.bincount(doc, minlength=len(toxic))[bad]
+    own = own[size[np.searchsorted(bad, doc[own])] >= COPY_WORDS]
+    seen = size >= COPY_WORDS
     first = np.searchsorted(doc[own], bad[seen])
     sketch = np.full((len(bad), SKETCH), np.arange(len(bad))[:, None] + (1 << 40), np.uint64)
     base = words[own].astype(np.uint64)

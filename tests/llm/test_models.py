@@ -87,8 +87,8 @@ def test_nothing_goes_without_evidence(spark):
     assert not none_marked.evidence
     for model in (toxicity.train(["x"], np.array([1])), none_marked, toxicity.train([], np.zeros(0, int)), toxicity.train(["", " "], np.array([1, 0]))):
         assert toxicity.drop_toxic(frame, model).count() == len(rows)
-    texts = [f"some calm words {i} here" for i in range(4)] + [f"calm {i} you vile toad go" for i in range(12)]
-    model = toxicity.train(texts, np.array([0] * 4 + [1] * 12))
+    texts = [f"some calm words {i} here" for i in range(40)] + [f"calm {i} you vile toad go" for i in range(30)]
+    model = toxicity.train(texts, np.array([0] * 40 + [1] * 30))
     assert model.evidence
     kept = toxicity.drop_toxic(spark.createDataFrame(rows + [(9, "you vile toad")], "doc_id bigint, text string"), model).collect()
     assert sorted(map(str, (r.doc_id for r in kept))) == sorted(map(str, (d for d, _ in rows)))
