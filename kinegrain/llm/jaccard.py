@@ -193,7 +193,7 @@ def _chain(columns: DataFrame, percent: int, partitions: int, pairs: bool) -> Da
                 size[-1] += SMALL_COLUMN
             small = (size <= SMALL_COLUMN)[number] & ~x["salted"] if pairs else np.zeros(rows, bool)
             us, vs, tests = [], [], []
-            for step in range(1, SMALL_COLUMN if small.any() else 2):
+            for step in range(1, max(SMALL_COLUMN, 2) if small.any() else 2):
                 fits = (number[step:] == number[:-step]) & (x["n"][:-step] * 100 >= percent * x["n"][step:]) & (x["s"][step:] != x["s"][:-step])
                 at = np.flatnonzero(fits if step == 1 else fits & small[step:])
                 us.append(x["s"][at])
