@@ -38,16 +38,22 @@ def best_names(wanted: DataFrame, offered: DataFrame, least: float = 0.5, top: i
     focal lengths the first one brings the pair together. Ties keep the offered
     order.
     """
-    focal = lambda c: F.filter(F.array_distinct(c), lambda w: w.contains("mm"))
-    w = wanted.select("w_id", words(F.col("name")).alias("want"))
-    w = w.select("w_id", "want", F.coalesce(F.array_min(F.filter("want", is_aperture)), F.lit("")).alias("aperture"), F.explode(focal(F.col("want"))).alias("focal"))
-    o = offered.select("o_id", words(F.col("name")).alias("have"))
-    o = o.select("o_id", "have", F.explode(focal(F.col("have"))).alias("focal"))
-    o = o.select("o_id", "have", "focal", F.explode(F.array_append(F.array_distinct(F.filter("have", is_aperture)), F.lit(""))).alias("aperture"))
-    scored = w.join(o, ["focal", "aperture"])
-    scored = scored.where(F.col("focal") == F.array_min(F.array_intersect(focal(F.col("want")), focal(F.col("have")))))
-    scored = scored.where(F.forall("want", lambda x: ~is_aperture(x) | F.array_contains("have", x)))
-    scored = scored.withColumn("score", name_score(F.col("want"), F.col("have"))).where(F.col("score") >= least).select("w_id", "o_id", "score")
+    def facts(names: DataFrame, key: str, out: str) -> DataFrame:
+        found = names.select(key, words(F.col("name")).alias(out))
+        return found.select(
+            key, out, F.array_distinct(F.filter(out, is_aperture)).alias(f"{out}_apertures"),
+            F.array_sort(F.array_distinct(F.filter(out, lambda w: w.contains("mm")))).alias(f"{out}_focals"))
+
+    # What a pair is judged by is made once for each name.
+    w, o = facts(wanted, "w_id", "want"), facts(offered, "o_id", "have")
+    w = w.withColumns({"aperture": F.coalesce(F.array_min("want_apertures"), F.lit("")), "focal": F.explode("want_focals")})
+    o = o.withColumn("focal", F.explode("have_focals")).withColumn("aperture", F.explode(F.array_append("have_apertures", F.lit(""))))
+    met = w.join(o, ["focal", "aperture"]).where(
+        (F.size("want_apertures") <= 1) | (F.size(F.array_except("want_apertures", "have_apertures")) == 0))
+    met = met.where(((F.size("want_focals") == 1) | (F.size("have_focals") == 1)) | (F.col("focal") == F.array_min(F.array_intersect("want_focals", "have_focals"))))
+    # Only whole words count, and a common focal length is there by the join.
+    score = common_words(F.col("want"), F.col("have")) / F.sqrt((F.size("have") * F.size("want")).cast("double"))
+    scored = met.select("w_id", "o_id", score.alias("score")).where(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy("w_id").orderBy(F.desc("score"), "o_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("w_id", "o_id", "score", "rank")
 

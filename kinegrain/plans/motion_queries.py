@@ -103,9 +103,8 @@ def frame_table_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("event_type").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
     b = b.withColumn("after", F.sum(F.col("n") + F.col("gap")).over(w))
     span = b.agg(F.min("hour").alias("a"), F.max("hour").alias("b"))
-    hours = span.select(F.explode(F.sequence("a", "b")).alias("hour"))
-    kinds = b.select("event_type").distinct()
-    frames = kinds.crossJoin(F.broadcast(hours)).join(b.select("event_type", "hour", "after", "gap", "broken"), ["event_type", "hour"], "left").withColumn("exists", F.col("hour") % 3 != 0)
+    kinds = b.select("event_type").distinct().crossJoin(F.broadcast(span))  # one row
+    frames = kinds.select("event_type", F.explode(F.sequence("a", "b")).alias("hour")).join(b.select("event_type", "hour", "after", "gap", "broken"), ["event_type", "hour"], "left").withColumn("exists", F.col("hour") % 3 != 0)
     out = m.frame_table(frames, "event_type", "hour", "after", "gap", "broken", "exists", 2.5)
     return out.select("event_type", "hour", "n", "valid")
 
