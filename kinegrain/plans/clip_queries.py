@@ -13,6 +13,7 @@ from kinegrain.plans.motion_queries import hourly, marked, streams
 from kinegrain.plans.oracle import EVENTS
 from kinegrain.plans.zoom_queries import LENS, SETTINGS, _orientations
 from kinegrain.session import table
+from kinegrain.streaming import host
 
 
 def cache_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +130,16 @@ def warped_picture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("y", "x", F.round("r", 6).alias("v"))
 
 
-QUERIES = {f.__name__: f for f in (cache_names, preset_white, calibration_mix, vignette_solve, block_reports, gyro_status, profile_choice, frame_warps, warped_picture)}
+def host_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The used range of every render; streams stand for instances, of which some are retimed and some change their source."""
+    s, u, i = streams(spark, sf_dir), F.col("user_id"), F.col("i")
+    rows = s.select(
+        "event_id", u.alias("instance"), i.alias("seq"), i.cast("double").alias("time"), F.when(u % 3 == 0, i + F.floor(i / 6)).otherwise(i + u % 4 - 1).cast("bigint").alias("source_frame"),
+        F.when(i < 8, "a").otherwise("b").alias("source"), F.when(u % 5 > 0, F.lit(1.0)).alias("first"), (u % 10 + 3).cast("double").alias("last"))
+    return host.host_ranges(rows).select("event_id", "retimed", "used_first", "used_last", "note")
+
+
+QUERIES = {f.__name__: f for f in (host_ranges, cache_names, preset_white, calibration_mix, vignette_solve, block_reports, gyro_status, profile_choice, frame_warps, warped_picture)}
 
 
 def _det(m: list[list[str]]) -> str:
@@ -150,6 +160,14 @@ _FNV = f"""list_reduce(list_prepend({reports.CACHE_START}::HUGEINT, list_transfo
   lambda h, b: (xor(h, b) * {reports.FNV_FACTOR}::HUGEINT) % 18446744073709551616::HUGEINT)"""
 _ZOOM = "(user_id % 8 / 8.0::DOUBLE + 1.25)"
 SQL = {
+    "host_ranges": f"""WITH {EVENTS}, r AS (SELECT event_id, user_id, i, i::DOUBLE AS t, CASE WHEN user_id % 3 = 0 THEN i // 6 ELSE user_id % 4 - 1 END AS o, i < 8 AS src,
+  CASE WHEN user_id % 5 > 0 THEN 1.0::DOUBLE END AS a, user_id % 10 + 3 AS b FROM e),
+m AS (SELECT *, coalesce(o <> lag(o) OVER (PARTITION BY user_id, src ORDER BY i), false) AS moved FROM r),
+k AS (SELECT *, bool_or(moved) OVER (PARTITION BY user_id, src ORDER BY i) AS retimed, coalesce(b > a AND t BETWEEN a - 0.5::DOUBLE AND b + 0.5::DOUBLE, false) AS known FROM m),
+g AS (SELECT *, known AND NOT retimed AND b + o >= 0 AND b >= a AS good FROM k)
+SELECT event_id, retimed, CASE WHEN good THEN greatest(CAST(a + o AS BIGINT), 0) ELSE 0 END AS used_first, CASE WHEN good THEN CAST(b + o AS BIGINT) END AS used_last,
+  CASE WHEN retimed THEN 'automatic: the clip is retimed, whole clip used' WHEN NOT known THEN 'automatic: the host reports no clip range'
+    ELSE 'automatic: host clip range 1 to ' || b || ', source frame = time ' || CASE WHEN o + 1 >= 0 THEN '+' ELSE '' END || (o + 1) END AS note FROM g""",
     "cache_names": f"""WITH u AS (SELECT page_id, translate(coalesce(url, ''), 'abcdefghijklmnopqrstuvwxyz/', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ\\') AS p FROM pages),
 h AS (SELECT page_id, {_FNV} AS h FROM u)
 SELECT page_id, lower(lpad(hex((h // 4294967296)::UBIGINT), 8, '0')) || lower(lpad(hex((h % 4294967296)::UBIGINT), 8, '0')) || '.fpgc' AS name FROM h""",
