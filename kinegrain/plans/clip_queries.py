@@ -97,7 +97,7 @@ def profile_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A profile for each supplier's clip, whose lens is named like the part of its number, among profiles made of all parts' names."""
     p = _names(spark, sf_dir, "p_partkey").join(parts(spark, sf_dir).select("p_partkey", "p_size"), "p_partkey")
     clips = p.join(table(spark, sf_dir, "supplier"), F.col("p_partkey") == F.col("s_suppkey")).select(F.col("p_partkey").alias("clip"), F.col("name").alias("lens_model"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_size").cast("double")).alias("focal_mm"))
-    camera = F.when(F.col("p_partkey") % 10 == 0, "FUJIFILM X").otherwise("SIGMA fp")
+    camera = F.when(F.col("p_partkey") % 10 == 0, "FUJIFILM X").otherwise("LEICA SL")
     mount = F.when(F.col("p_partkey") % 4 == 0, " l mount").otherwise("")
     path = F.concat(F.lit("/profiles/"), F.col("p_partkey").cast("string"), F.lit("/"), camera, F.lit(" ("), F.col("name"), mount, F.lit(") - RAW.lcp"))
     files = p.select(path.alias("path"), "p_partkey", "p_size")

@@ -44,7 +44,7 @@ def plain_choice(clip, offered, entries, vignette):
 def test_profile_choice(spark, vignette):
     r = random.Random(7)
     some = lambda n: " ".join(r.choices(PARTS, k=n))
-    files = [f"/p/{i}/{r.choice(['SIGMA fp', 'FUJIFILM X', 'Om Digital'] if i % 5 == 0 else ['SONY'])} ({some(r.randint(0, 5))}{r.choice([' vignette', ''])}) - RAW.{r.choice(['lcp', 'LCP', 'xml'])}" for i in range(80)] + ["/p/none.lcp", "/p/x ) ( y.lcp"]
+    files = [f"/p/{i}/{r.choice(['LEICA SL', 'FUJIFILM X', 'Om Digital'] if i % 5 == 0 else ['SONY'])} ({some(r.randint(0, 5))}{r.choice([' vignette', ''])}) - RAW.{r.choice(['lcp', 'LCP', 'xml'])}" for i in range(80)] + ["/p/none.lcp", "/p/x ) ( y.lcp"]
     rows = profiles.installed(spark.createDataFrame([(f,) for f in files], "path string")).collect()
     want = []
     for f in files:
