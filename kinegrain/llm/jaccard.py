@@ -448,14 +448,14 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, with_links: bool
     sets = summary.where("chunk IS NULL").select("doc_id", F.col("t").alias("text_hash"), "n", "s")
     classes = summary.where("chunk IS NULL AND n > 0").groupBy("s").agg(
         F.min("doc_id").alias("rep"), F.min("t").alias("t"), F.max("n").alias("n"), F.count("doc_id").alias("w"))
-    ranges = summary.where("chunk IS NULL AND n > 0").select("s", "n", "ranges")
+    # Copies of a class have equal counts and become one row before they move.
+    ranges = summary.where("chunk IS NULL AND n > 0").groupBy("s").agg(F.max("n").alias("n"), F.max("ranges").alias("ranges"))
 
     chained = scratch.keep(_chain(_columns(docs, k, percent, order, bits), percent, partitions, True).distinct(), "chains")
     again = chained.where("again").select("h", F.lit(0).cast("bigint").alias("salt"), F.lit(False).alias("salted"), F.col("v").alias("n"), F.col("u").alias("s"))
     pairs = chained.where("test").select("u", "v")
     wanted = pairs.select(F.col("u").alias("s")).unionByName(pairs.select(F.col("v").alias("s"))).distinct()
-    # Equal sets have equal counts, so copies of a class are one row before they move.
-    tested = scratch.keep(_tested(pairs, ranges.join(wanted, "s", "left_semi").distinct(), percent), "tested")
+    tested = scratch.keep(_tested(pairs, ranges.join(wanted, "s", "left_semi"), percent), "tested")
     links = chained.where("NOT again AND NOT test").select("u", "v").unionByName(_chain(again, percent, partitions, False).select("u", "v")).unionByName(tested)
     # Distinct also puts an exchange between two Python steps, so a task never holds two workers.
     links = links.distinct()
