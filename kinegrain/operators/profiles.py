@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinegrain.operators.matching import is_aperture, words
+from kinegrain.operators.matching import best_members, first_of_each, is_aperture, meet, words
 
 #: Words that say what a profile holds, and cameras whose profiles do not reach a full-frame corner.
 CONTENT = ("distortion", "vignette", "distortion_vignette")
@@ -45,25 +45,31 @@ def choose(clips: DataFrame, profiles: DataFrame, entries: DataFrame, vignette:
     has_warp, has_vignette, format_factor). Every aperture of the clip's lens
     must be in the profile's name, and a focal length where the clip does not
     tell its own; so names meet on an aperture, else on focal lengths, else on
-    any word.
+    any word. Names of the same words fit alike and are judged once.
     """
-    known = F.coalesce(F.col("focal_mm") > 0, F.lit(False))
-    c = clips.select("clip", "focal_mm", words(F.col("lens_model")).alias("want")).where(F.size("want") > 0)
+    known = F.col("own_focal") > 0
+    own = F.when(F.col("focal_mm") > 0, F.col("focal_mm").cast("double")).otherwise(0.0)
+    asked = clips.select("clip", own.alias("own_focal"), F.array_sort(words(F.col("lens_model"))).alias("want")).where(F.size("want") > 0)
+    wants = asked.select("want", "own_focal").distinct()
+    c = wants.select("want", known.alias("known")).distinct()
     c = c.withColumns({"apertures": F.array_distinct(F.filter("want", is_aperture)), "focals": F.array_distinct(F.filter("want", lambda w: w.contains("mm")))})
-    keys = F.when(F.size("apertures") > 0, F.slice(F.array_sort("apertures"), 1, 1)).when(~known, F.col("focals")).otherwise(F.array_distinct("want"))
+    keys = F.when(F.size("apertures") > 0, F.slice(F.array_sort("apertures"), 1, 1)).when(~F.col("known"), F.col("focals")).otherwise(F.array_distinct("want"))
     c = c.withColumn("keys", keys).withColumn("key", F.explode("keys"))
-    p = profiles.withColumn("answers", known_as(F.col("name"))).withColumn("key", F.explode("answers"))
+    p = first_of_each(profiles.withColumn("name", F.array_sort("name")), ["name", "preferred"], "ordinal", ["ordinal", "path"], PLACES)
+    groups, p = p, p.select("name", "preferred", "first", known_as(F.col("name")).alias("answers")).withColumn("key", F.explode("answers"))
     # A pair meets once, on the first of the keys that both have.
-    pairs = c.join(p, "key").where((F.size("keys") == 1) | (F.col("key") == F.filter("keys", lambda k: F.array_contains("answers", k))[0]))
-    pairs = pairs.where((F.size(F.array_except("apertures", "answers")) == 0) & (known | F.arrays_overlap("focals", "answers")))
+    pairs = meet(c, p, ["key"]).where((F.size("keys") == 1) | (F.col("key") == F.filter("keys", lambda k: F.array_contains("answers", k))[0]))
+    pairs = pairs.where(((F.size("apertures") <= 1) | (F.size(F.array_except("apertures", "answers")) == 0)) & (F.col("known") | F.arrays_overlap("focals", "answers")))
     found = lambda w: F.array_contains("answers", w)
     score = F.size(F.filter("want", found)) / F.sqrt((F.size("want") * F.size("name")).cast("double"))
     fits = pairs.withColumn("fit", score).where(F.col("fit") >= LEAST).withColumn("fit", F.col("fit") + F.when(F.col("preferred"), BONUS).otherwise(0.0))
-    place = F.row_number().over(Window.partitionBy("clip").orderBy(F.desc("fit"), "ordinal"))
-    fits = fits.withColumn("place", place).where(F.col("place") <= PLACES).select("clip", "focal_mm", "path", "fit", "place")
+    fits = best_members(fits.select("want", "known", "name", "preferred", "first", "fit"), groups, ["want", "known"], ["name", "preferred"], "fit", "ordinal", PLACES)
+    fits = wants.withColumn("known", known).join(fits, ["want", "known"])
     held = entries.where(F.col("has_vignette") if vignette else F.col("has_warp")).select("path", F.col("focal").alias("e_focal"), "format_factor")
-    near = ~known | ~F.coalesce(F.col("e_focal") > 0, F.lit(False)) | (F.abs(F.log(F.col("e_focal") / F.col("focal_mm"))) < COVERS)
-    covering = fits.join(held, "path").where(near).select("clip", "path", "place", (F.col("fit") - F.when(F.col("format_factor") > FULL_FRAME, PENALTY).otherwise(0.0)).alias("score")).distinct()
+    near = ~F.col("known") | ~F.coalesce(F.col("e_focal") > 0, F.lit(False)) | (F.abs(F.log(F.col("e_focal") / F.col("own_focal"))) < COVERS)
+    score = F.col("fit") - F.when(F.col("format_factor") > FULL_FRAME, PENALTY).otherwise(0.0)
+    covering = fits.join(held, "path").where(near).select("want", "own_focal", "path", "place", score.alias("score"))
     # Of equal scores the one that stood further up.
-    best = covering.groupBy("clip").agg(F.max_by(F.struct("path", "score"), F.struct("score", -F.col("place"))).alias("b"))
-    return best.select("clip", "b.path", "b.score").where(F.col("score") >= LEAST)
+    best = covering.groupBy("want", "own_focal").agg(F.max_by(F.struct("path", "score"), F.struct("score", -F.col("place"))).alias("b"))
+    best = best.select("want", "own_focal", "b.path", "b.score").where(F.col("score") >= LEAST)
+    return asked.join(best, ["want", "own_focal"]).select("clip", "path", "score").distinct()

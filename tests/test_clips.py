@@ -87,3 +87,17 @@ def test_reports(spark):
     assert got[0]["point"]["source_x"] == (100 + (10 - 100) / 2) / 2 and got[1]["point"]["source_y"] == (60 - 10) / 2
     clip = spark.createDataFrame([("c", 3, 1.0, 0.0, 0.0, 0.0, None)], "file string, frames int, w double, x double, y double, z double, fps double")
     assert json.loads(reports.gyro_report(clip).first().report) == {"file": "c", "frames": 3, "orientation": [1.0, 0.0, 0.0, 0.0]}
+
+
+def test_profiles_of_the_same_words_are_judged_once(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(profiles, "meet", lambda left, right, on, whole=profiles.meet: met.append(whole(left, right, on)) or met[-1])
+    offered = [(f"/p/{i}", ["a", "35mm", "2.8"] if i % 2 else ["b", "35mm", "2.8"], False, i) for i in range(200)]
+    entries = [(p, 35.0, i >= 20, True, 1.0) for p, _, _, i in offered]
+    clips = [(i, "A 35mm f2.8" if i % 2 else "35mm 2.8 a", 35.0 if i % 4 else None) for i in range(100)]
+    got = profiles.choose(
+        spark.createDataFrame(clips, "clip int, lens_model string, focal_mm double"), spark.createDataFrame(offered, "path string, name array<string>, preferred boolean, ordinal int"),
+        spark.createDataFrame(entries, "path string, focal double, has_warp boolean, has_vignette boolean, format_factor double"), False).collect()
+    # 16 places, the first of which hold no warp: /p/1 to /p/31 by twos, of which /p/21 is the first with one.
+    assert sorted((g.clip, g.path) for g in got) == [(i, "/p/21") for i in range(100)]
+    assert met[0].count() == 4
