@@ -7,14 +7,17 @@ matrix with its transpose. Only blocks that can hold a link are multiplied:
 2. N-grams are ordered from rare to frequent. Two sets that reach the
    threshold share an n-gram among the first ``n - ceil(t n) + 1`` of either,
    so only these columns can bring documents together. Frequencies are counted
-   over all documents in a table of fixed size, in which frequent n-grams stand
-   out; the order may be rough, the argument holds for any order.
-3. A column of at most ``SMALL_COLUMN`` classes gives its pairs, and a pair
-   stays only if the sizes allow the threshold and so does the overlap that
-   both sets' counts by hash range bound. In a larger column classes sorted by
-   size are chained as long as neighbours' sizes allow the threshold. What is
-   linked so forms clusters, and no link leaves a cluster.
-4. A cluster's classes meet in one task, or, when there are many, in tiles.
+   over all documents in a table that grows with the input within fixed bounds,
+   in which frequent n-grams stand out; the order may be rough, the argument
+   holds for any order.
+3. A column's classes, sorted by size, fall into runs whose neighbours' sizes
+   allow the threshold; no link leaves a run. A run of at most ``SMALL_COLUMN``
+   classes gives its pairs, and a pair stays only if the sizes allow the
+   threshold and so does the overlap that both sets' counts by hash range bound.
+   A longer run is chained. What is linked so forms clusters, and no link leaves
+   a cluster.
+4. A cluster's classes meet in one task, or, when there are many, in tiles of
+   one band of sizes, of which only those of the same and the next band meet.
    There the product is accumulated block by block, pairs whose sizes rule a
    link out are left aside, and what links is merged. Of a large cluster only
    tiles that are not yet in one component are multiplied further.
@@ -40,10 +43,12 @@ from kinegrain.llm.components import connected, local_components
 #: Classes, and n-grams, of a tile.
 TILE_CLASSES = 256
 TILE_GRAMS = 1_000_000
-#: Classes of a column up to which its pairs are looked at one by one.
+#: Classes of a column's run up to which its pairs are looked at one by one.
 SMALL_COLUMN = 6
-#: log2 of the slots of the frequency table, whatever the size of the input.
-TABLE_BITS = 22
+#: log2 of the slots of the frequency table: least, most, and bytes of ids and texts in files for a slot in between.
+TABLE_BITS, MOST_TABLE_BITS, SLOT_BYTES = 22, 26, 64
+#: log2 of the slots of a table of documents' ids.
+MEMBER_BITS = 22
 #: (n-grams up to which it serves, hash ranges) of the counts that bound an overlap.
 RANGES = ((1 << 10, 64), (1 << 13, 256), (1 << 62, 1024))
 #: Expected rows of a column from which it is dealt over several tasks.
@@ -51,7 +56,7 @@ HOT_ROWS = 1 << 15
 #: Cells of a dense block of the product.
 BLOCK_CELLS = 4_000_000
 #: Parts of a doubling that the frequency order tells apart.
-STEPS = 6
+STEPS = 8
 
 
 def document_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -132,9 +137,23 @@ def _summaries(docs: DataFrame, k: int, bits: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, t bigint, n bigint, s bigint, ranges binary, chunk bigint, counts binary")
 
 
-def _columns(docs: DataFrame, k: int, percent: int, order: np.ndarray, bits: int) -> DataFrame:
-    """(h, salt, salted, n, s): the rare end of every document's n-grams."""
+def table_bits(size_in_bytes: int) -> int:
+    """log2 of the slots of the frequency table for an input of this size."""
+    return sketches.bits_for(size_in_bytes, SLOT_BYTES, least=TABLE_BITS, most=max(TABLE_BITS, MOST_TABLE_BITS))
+
+
+def _order(counts: np.ndarray) -> np.ndarray:
+    """A byte by which counts are ordered."""
+    return np.minimum(np.rint(np.log2(counts.astype(np.float32) + 1) * STEPS), 255).astype(np.uint8)
+
+
+def _columns(docs: DataFrame, k: int, percent: int, order: np.ndarray, bits: int, reps: bytes, rep_bits: int) -> DataFrame:
+    """(h, salt, salted, n, s): the rare end of the n-grams of every document in the bit table ``reps``.
+
+    The table holds a document of every class; what it lets through besides only repeats classes.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(order.tobytes())
+    sent_reps = docs.sparkSession.sparkContext.broadcast(reps)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.frombuffer(sent.value, np.uint8)
@@ -151,7 +170,9 @@ def _columns(docs: DataFrame, k: int, percent: int, order: np.ndarray, bits: int
                 [pa.array(grams.view(np.int64)), pa.array(salt), pa.array(share > 1), pa.array(n), pa.array(s)], names=["h", "salt", "salted", "n", "s"])
 
         held, size = [], 0
+        table = sketches.Bits(sent_reps.value, rep_bits)
         for batch in batches:
+            batch = batch.filter(pa.array(table.has(_id_hashes(batch))))
             for _, grams in document_sets(batch.column(1), k):
                 if len(grams):
                     key = (rank[sketches.slots_of(grams, bits)].astype(np.uint64) << np.uint64(56)) | (grams >> np.uint64(8))
@@ -171,9 +192,9 @@ def _columns(docs: DataFrame, k: int, percent: int, order: np.ndarray, bits: int
 def _chain(columns: DataFrame, percent: int, partitions: int, pairs: bool) -> DataFrame:
     """Links (u, v) between classes of a column; ``h`` is set on rows for a second pass.
 
-    With ``pairs`` a small column gives all its pairs whose sizes fit, to be
-    tested (``test``); other links are between neighbours by size and stand. A
-    column dealt over several tasks gives, for every class of sizes, its first
+    With ``pairs`` a small run of sizes gives all its pairs whose sizes fit, to
+    be tested (``test``); other links are between neighbours by size and stand.
+    Copies of a class count once. A column dealt over several tasks gives, for every class of sizes, its first
     and last row. Chained again without the dealing, these connect what the
     parts have separately connected.
     """
@@ -185,7 +206,7 @@ def _chain(columns: DataFrame, percent: int, partitions: int, pairs: bool) -> Da
             """Whole columns, but that the first may have begun before and the last may go on."""
             rows = len(x["h"])
             same = (x["h"][1:] == x["h"][:-1]) & (x["salt"][1:] == x["salt"][:-1])
-            number = np.concatenate(([0], np.cumsum(~same)))
+            number = np.concatenate(([0], np.cumsum(~(same & (x["n"][:-1] * 100 >= percent * x["n"][1:])))))
             size = np.bincount(number)
             if begun:
                 size[0] += SMALL_COLUMN
@@ -224,6 +245,10 @@ def _chain(columns: DataFrame, percent: int, partitions: int, pairs: bool) -> Da
             new = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
             if held is not None:
                 new = {c: np.concatenate((held[c], new[c])) for c in names}
+            once = np.ones(len(new["h"]), bool)
+            once[1:] = (new["h"][1:] != new["h"][:-1]) | (new["salt"][1:] != new["salt"][:-1]) | (new["s"][1:] != new["s"][:-1])
+            if not once.all():
+                new = {c: v[once] for c, v in new.items()}
             # The last column waits for the next batch, but for one that is large already.
             changes = np.flatnonzero((new["h"][1:] != new["h"][:-1]) | (new["salt"][1:] != new["salt"][:-1]))
             last = int(changes[-1]) + 1 if len(changes) else 0
@@ -394,8 +419,33 @@ def _degrees(rows: DataFrame, k: int, percent: int, partitions: int) -> DataFram
     return dealt.mapInArrow(run, "s bigint, links bigint").groupBy("s").agg(F.sum("links").alias("links"))
 
 
+def _id_hashes(batch: pa.RecordBatch) -> np.ndarray:
+    """A hash of each row's doc_id (first column), or of its text's hash (third) where it has none."""
+    return tk.mix(pc.coalesce(batch.column(0), batch.column(2)).fill_null(0).to_numpy().view(np.uint64))
+
+
+def _tile_pairs(cells: DataFrame, first: bool) -> DataFrame:
+    """(c, i, j): the tiles of ``cells`` (c, band, tile, part) that may hold a link, each pair once, a tile with itself included.
+
+    Links lie within a band of sizes or between neighbouring ones. The first
+    pairs join every tile with its band's first one, and those of neighbouring bands.
+    """
+    two = cells.select(F.col("c").alias("c2"), F.col("band").alias("band2"), F.col("tile").alias("tile2"), F.col("part").alias("part2"))
+    # Bands meet by equality, so a cluster's tiles are not all set against each other.
+    one = cells.withColumn("next", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    met = one.join(two, (F.col("c") == F.col("c2")) & (F.col("next") == F.col("band2"))).where("band < band2 OR part <= part2")
+    leading = (F.col("part") == 0) & ((F.col("band") == F.col("band2")) | (F.col("part2") == 0))
+    # A band's first tile meets itself with any other tile.
+    return met.where(leading if first else ~leading).select("c", F.col("tile").alias("i"), F.col("tile2").alias("j"))
+
+
+def _sides(pairs: DataFrame) -> DataFrame:
+    """(c, i, j, tile) for both tiles of a pair."""
+    return pairs.select("c", "i", "j", F.col("i").alias("tile")).unionByName(pairs.where("i <> j").select("c", "i", "j", F.col("j").alias("tile")))
+
+
 def _with_member_texts(docs: DataFrame, members: DataFrame, bits: int) -> DataFrame:
-    """(s, c, tile, tiles, text) of ``members`` (rep, t, s, c, tile, tiles).
+    """(s, c, tile, alone, text) of ``members`` (rep, t, s, c, tile, alone).
 
     A bit table of fixed size, made of the members' ids, keeps the texts of
     other documents out of the shuffle. A class without any doc_id is found by
@@ -407,15 +457,14 @@ def _with_member_texts(docs: DataFrame, members: DataFrame, bits: int) -> DataFr
     def member(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sketches.Bits(sent.value, bits)
         for batch in batches:
-            ids = pc.coalesce(batch.column(0), batch.column(2)).fill_null(0).to_numpy().view(np.uint64)
-            near = batch.filter(pa.array(table.has(tk.mix(ids))))
+            near = batch.filter(pa.array(table.has(_id_hashes(batch))))
             yield pa.RecordBatch.from_arrays([near.column(0), near.column(2), tk.squeeze(near.column(1))], names=["doc_id", "t", "text"])
         tk.trim()
 
     near = docs.mapInArrow(member, "doc_id bigint, t bigint, text binary")
-    named = near.where("doc_id IS NOT NULL").join(members.where("rep IS NOT NULL").drop("t"), F.col("doc_id") == F.col("rep")).select("s", "c", "tile", "tiles", "text")
+    named = near.where("doc_id IS NOT NULL").join(members.where("rep IS NOT NULL").drop("t"), F.col("doc_id") == F.col("rep")).select("s", "c", "tile", "alone", "text")
     unnamed = near.where("doc_id IS NULL").groupBy("t").agg(F.min("text").alias("text"))
-    return named.unionByName(unnamed.join(members.where("rep IS NULL").drop("rep"), "t").select("s", "c", "tile", "tiles", "text"))
+    return named.unionByName(unnamed.join(members.where("rep IS NULL").drop("rep"), "t").select("s", "c", "tile", "alone", "text"))
 
 
 def text_hash(text: Column) -> Column:
@@ -440,18 +489,19 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, with_links: bool
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("t", F.when(F.col("doc_id").isNull(), text_hash(F.col("text"))))
     scratch.bound_batches(docs)
-    bits = TABLE_BITS
+    size = scratch.size_in_bytes(docs)
+    bits, member_bits = table_bits(size), sketches.bits_for(size, 256, least=MEMBER_BITS)
     partitions = scratch.partitions_for(docs, 16)
     summary = scratch.keep(_summaries(docs, k, bits), "summary")
-    counts = sketches.gather(summary.where("chunk IS NOT NULL").select("chunk", "counts"), bits)
-    order = np.minimum(np.rint(np.log2(counts.astype(np.float32) + 1) * STEPS), 255).astype(np.uint8)
+    order = sketches.gather(summary.where("chunk IS NOT NULL").select("chunk", "counts"), bits, _order, np.uint8)
     sets = summary.where("chunk IS NULL").select("doc_id", F.col("t").alias("text_hash"), "n", "s")
     classes = summary.where("chunk IS NULL AND n > 0").groupBy("s").agg(
         F.min("doc_id").alias("rep"), F.min("t").alias("t"), F.max("n").alias("n"), F.count("doc_id").alias("w"))
     # Copies of a class have equal counts and become one row before they move.
     ranges = summary.where("chunk IS NULL AND n > 0").groupBy("s").agg(F.max("n").alias("n"), F.max("ranges").alias("ranges"))
 
-    chained = scratch.keep(_chain(_columns(docs, k, percent, order, bits), percent, partitions, True).distinct(), "chains")
+    reps = sketches.member_bits(classes.select(F.coalesce("rep", "t").alias("rep")), member_bits)
+    chained = scratch.keep(_chain(_columns(docs, k, percent, order, bits, reps, member_bits), percent, partitions, True).distinct(), "chains")
     again = chained.where("again").select("h", F.lit(0).cast("bigint").alias("salt"), F.lit(False).alias("salted"), F.col("v").alias("n"), F.col("u").alias("s"))
     pairs = chained.where("test").select("u", "v")
     wanted = pairs.select(F.col("u").alias("s")).unionByName(pairs.select(F.col("v").alias("s"))).distinct()
@@ -462,13 +512,23 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, with_links: bool
     found = connected(links)
     cluster = found.select(F.col("node").alias("s"), F.col("root").alias("c")).unionByName(found.select(F.col("root").alias("s"), F.col("root").alias("c")).distinct())
     cluster = cluster.join(classes, "s")
-    tiles = cluster.groupBy("c").agg(F.greatest(F.ceil(F.count("*") / TILE_CLASSES), F.ceil(F.sum("n") / TILE_GRAMS)).cast("bigint").alias("tiles"))
-    members = scratch.keep(cluster.join(tiles, "c").select("rep", "t", "s", "c", F.pmod(F.xxhash64("s"), F.col("tiles")).alias("tile"), "tiles"), "members")
-    texts = scratch.keep(_with_member_texts(docs, members, bits), "texts")
-
-    # First every tile against the first one; a cluster of one tile is then done.
-    other = F.explode(F.when(F.col("tile") == 0, F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)).otherwise(F.array(F.lit(0).cast("bigint"))))
-    tasks = texts.withColumn("o", other).select("c", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "s", "text")
+    # A link's sizes lie in one band or in neighbouring ones; only clusters of several tiles are cut by bands.
+    full = lambda: F.greatest(F.ceil(F.count("*") / TILE_CLASSES), F.ceil(F.sum("n") / TILE_GRAMS)).cast("bigint")
+    width = float(np.log(100 / percent)) * 1.001 + 1e-9
+    tiles = cluster.groupBy("c").agg(full().alias("tiles"))
+    cluster = cluster.join(tiles, "c").withColumn("band", F.when(F.col("tiles") > 1, F.floor(F.log("n") / width)).otherwise(0).cast("bigint"))
+    parts = cluster.groupBy("c", "band").agg(full().alias("parts"))
+    # A tile's number holds its band and its place there; no band has 2^24 tiles.
+    part = F.pmod(F.xxhash64("s"), F.col("parts"))
+    members = scratch.keep(cluster.join(parts, ["c", "band"]).withColumn("part", part).select(
+        "rep", "t", "s", "c", "band", "part", (F.col("band") * (1 << 24) + F.col("part")).alias("tile"), "tiles"), "members")
+    texts = scratch.keep(_with_member_texts(docs, members.select("rep", "t", "s", "c", "tile", (F.col("tiles") == 1).alias("alone")), member_bits), "texts")
+    cells = members.groupBy("c", "band", "part", "tile").agg(F.max("tiles").alias("tiles"))
+
+    # First every tile against the first one of its band; a cluster of one tile is then done.
+    several = _sides(_tile_pairs(cells.where("tiles > 1"), True))
+    alone = texts.where("alone").select("c", F.col("tile").alias("i"), F.col("tile").alias("j"), "s", "text")
+    tasks = alone.unionByName(texts.join(several, ["c", "tile"]).select("c", "i", "j", "s", "text"))
     first = scratch.keep(_resolve(tasks, k, percent, partitions), "first")
     large = members.where("tiles > 1")
     roots = first.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -479,16 +539,16 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, with_links: bool
         state = connected(partial)
         labelled = large.join(state, large.s == state.node, "left").select("c", "tile", F.coalesce("root", "s").alias("comp"))
         tile_state = labelled.groupBy("c", "tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-        one, two = tile_state.where("tile > 0"), tile_state.where("tile > 0").select(F.col("c").alias("c2"), F.col("tile").alias("tile2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-        todo = one.join(two, (F.col("c") == F.col("c2")) & (F.col("tile") <= F.col("tile2"))).where(
-            "NOT (low = high AND low2 = high2 AND low = low2)").select("c", F.col("tile").alias("i"), F.col("tile2").alias("j"))
-        sides = todo.select("c", "i", "j", F.col("i").alias("tile")).unionByName(todo.where("i <> j").select("c", "i", "j", F.col("j").alias("tile")))
-        rest = scratch.keep(_resolve(texts.join(sides, ["c", "tile"]).select("c", "i", "j", "s", "text"), k, percent, partitions), "rest")
+        one = tile_state.withColumnsRenamed({"tile": "i"})
+        two = tile_state.withColumnsRenamed({"tile": "j", "low": "low2", "high": "high2"})
+        todo = _tile_pairs(cells.where("tiles > 1"), False).join(one, ["c", "i"]).join(two, ["c", "j"]).where(
+            "NOT (low = high AND low2 = high2 AND low = low2)").select("c", "i", "j")
+        rest = scratch.keep(_resolve(texts.join(_sides(todo), ["c", "tile"]).select("c", "i", "j", "s", "text"), k, percent, partitions), "rest")
         roots = done.unionByName(connected(partial.unionByName(rest.select("u", "v"))))
     if not with_links:
         return _finish(sets, classes, roots, None, with_hash)
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1))
-    every = texts.join(classes.select("s", "w"), "s").withColumn("o", other).select("c", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "s", "w", "text")
+    every = _sides(_tile_pairs(cells, True).unionByName(_tile_pairs(cells, False)))
+    every = texts.join(classes.select("s", "w"), "s").join(every, ["c", "tile"]).select("c", "i", "j", "tile", "s", "w", "text")
     return _finish(sets, classes, roots, scratch.keep(_degrees(every, k, percent, partitions), "degrees"), with_hash)
 
 

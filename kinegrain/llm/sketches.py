@@ -7,7 +7,7 @@ safe to bring the sum to the driver and to send it to every worker.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,11 +81,11 @@ def _sums(rows: DataFrame, bits: int) -> Iterator[tuple[int, np.ndarray]]:
         yield r.chunk * size, np.frombuffer(r.counts, "<u4")
 
 
-def gather(rows: DataFrame, bits: int) -> np.ndarray:
-    """The slot-wise sum of all tasks' tables: ``4 << bits`` bytes."""
-    out = np.zeros(1 << bits, np.uint32)
+def gather(rows: DataFrame, bits: int, form: Callable[[np.ndarray], np.ndarray] = lambda x: x, kind: type = np.uint32) -> np.ndarray:
+    """The slot-wise sum of all tasks' tables, each chunk put into its ``form`` as it comes; ``form`` leaves 0 at 0."""
+    out = np.zeros(1 << bits, kind)
     for at, part in _sums(rows, bits):
-        out[at: at + len(part)] = part
+        out[at: at + len(part)] = form(part)
     return out
 
 

@@ -223,3 +223,32 @@ def test_decontamination_of_nothing(spark):
     got = decontaminate.find_overlaps(frame(spark, [(1, "a b"), (2, None)]), bench).collect()
     assert sorted((g.doc_id, g.n_words, g.n_hit, g.contaminated) for g in got) == [(1, 2, 0, False), (2, 0, 0, False)]
     assert decontaminate.find_overlaps(frame(spark, []), bench).count() == 0
+
+
+def chained(spark, columns):
+    made = spark.createDataFrame(columns, "h bigint, salt bigint, salted boolean, n bigint, s bigint")
+    return sorted((min(r.u, r.v), max(r.u, r.v), r.test) for r in jaccard._chain(made, 85, 2, True).collect())
+
+
+def test_runs_of_sizes_in_a_column(spark):
+    """Sizes far apart do not make a column large, and neither do copies of a class."""
+    spread = [(1, 0, False, 4**i, i) for i in range(1, 12)] + [(1, 0, False, 4**5, 50)]
+    assert chained(spark, spread) == [(5, 50, True)]
+    copies = [(2, 0, False, 100, s) for s in (7, 8) for _ in range(9)]
+    assert chained(spark, copies) == [(7, 8, True)]
+    full = [(3, 0, False, 100, s) for s in range(8)]
+    assert chained(spark, full) == [(s, s + 1, False) for s in range(7)]
+
+
+def test_frequency_table_grows_with_the_input():
+    assert [jaccard.table_bits(gb << 30) for gb in (0, 1, 3, 1000)] == [22, 24, 26, 26]
+
+
+def test_tiles_of_neighbouring_bands_meet(spark):
+    cells = [(1, b, (b << 24) + p, p) for b, n in ((3, 3), (4, 1), (9, 2)) for p in range(n)]
+    made = spark.createDataFrame(cells, "c bigint, band bigint, tile bigint, part bigint")
+    both = [{(r.i, r.j) for r in jaccard._tile_pairs(made, first).collect()} for first in (True, False)]
+    near = {(x[2], y[2]) for x in cells for y in cells if x[2] <= y[2] and y[1] - x[1] <= 1}
+    assert not both[0] & both[1] and both[0] | both[1] == near
+    t = lambda b, p: (b << 24) + p
+    assert both[0] == {(t(3, 0), t(3, p)) for p in range(3)} | {(t(3, 0), t(4, 0)), (t(4, 0), t(4, 0)), (t(9, 0), t(9, 0)), (t(9, 0), t(9, 1))}
