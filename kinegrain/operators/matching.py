@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def words(name: Column) -> Column:
@@ -102,6 +105,63 @@ FOCAL_STEP = 0.1
 NO_FOCAL = -(1 << 40)
 
 
+#: Clips that one task of a bucket takes, and by how much costs may differ that count as equal until they are made exactly.
+BUCKET_CLIPS = 50_000
+EQUAL_COSTS = 1e-9
+
+
+def _nearest_of(clips: pa.Table, points: pa.Table) -> pa.Table:
+    """The clips' nearest points, with those about as near: (clip's columns, point's columns).
+
+    Points of one focal length and aperture are a list by distance, in which a
+    clip finds its neighbours by bisection. Lists whose focal length and
+    aperture alone cost more than the best so far are passed over.
+    """
+    def logs(t: pa.Table, name: str) -> np.ndarray:
+        v = t.column(name).cast(pa.float64()).to_numpy()
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where(v > 0, np.log(v), np.nan)  # an unknown value is NaN and costs nothing
+
+    f, a, d = (logs(clips, c) for c in ("focal", "aperture", "distance"))
+    pf, pa_, pd = (logs(points, c) for c in ("p_focal", "p_aperture", "p_distance"))
+    number = points.column("point").to_numpy()
+    order = np.lexsort((number, pd, pa_, pf))
+    pf, pa_, pd, number = pf[order], pa_[order], pd[order], number[order]
+    differ = lambda x: (x[1:] != x[:-1]) & ~(np.isnan(x[1:]) & np.isnan(x[:-1]))
+    edges = np.flatnonzero(np.concatenate(([True], differ(pf) | differ(pa_), [True]))) if len(pf) else np.zeros(0, np.int64)
+    best = np.full(len(f), np.inf)
+    rows, found, costs = [], [], []
+
+    def offer(at: np.ndarray, i: np.ndarray, cost: np.ndarray) -> None:
+        good = cost <= best[at] + EQUAL_COSTS
+        at, cost = at[good], cost[good]
+        best[at] = np.minimum(best[at], cost)
+        rows.append(at)
+        found.append(i[good])
+        costs.append(cost)
+
+    for low, high in zip(edges[:-1], edges[1:]):
+        base = np.nan_to_num(8.0 * np.abs(f - pf[low])) + np.nan_to_num(2.0 * np.abs(a - pa_[low]))
+        at = np.flatnonzero(base <= best + EQUAL_COSTS)
+        if not len(at):
+            continue
+        known = low + int((~np.isnan(pd[low:high])).sum())
+        if known < high:  # NaN is sorted last
+            i = known + int(np.argmin(number[known:high]))
+            offer(at, np.full(len(at), i), base[at])
+        if known > low:
+            blind = at[np.isnan(d[at])]
+            offer(blind, np.full(len(blind), low + int(np.argmin(number[low:known]))), base[blind])
+            at = at[~np.isnan(d[at])]
+            place = low + np.searchsorted(pd[low:known], d[at])
+            for i in (np.maximum(place - 1, low), np.minimum(place, known - 1)):
+                offer(at, i, base[at] + 0.5 * np.abs(d[at] - pd[i]))
+    row, i, cost = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, found, costs))
+    good = cost <= best[row] + EQUAL_COSTS
+    clips, points = clips.take(pa.array(row[good])), points.take(pa.array(order[i[good]]))
+    return pa.table([*clips.columns, *points.columns], names=[*clips.column_names, *points.column_names])
+
+
 def nearest_point(clips: DataFrame, points: DataFrame, vignette: bool, key: str = "clip") -> DataFrame:
     """The calibration point nearest in focal length, aperture (for a vignette) and distance.
 
@@ -110,33 +170,46 @@ def nearest_point(clips: DataFrame, points: DataFrame, vignette: bool, key: str
     there bounds how far away in focal length a better point can lie, and only
     clips whose bound reaches further meet the buckets out to it. Unknown focal
     lengths cost nothing: such points are met by every clip, such a clip meets
-    every point. ``key`` is unique among the clips.
+    every point. Equal points are one. ``key`` is unique among the clips.
     """
     cost = apart(F.col("p_focal"), F.col("focal"), 8.0)
     if vignette:
         cost = cost + apart(F.col("p_aperture"), F.col("aperture"), 2.0)
-    cost = cost + apart(F.least(F.col("p_distance"), F.lit(100.0)), F.least(F.col("distance"), F.lit(100.0)), 0.5)
-    bucket = lambda log: F.floor(log / FOCAL_STEP).cast("bigint")
-    log = lambda c: F.when(F.col(c) > 0, F.log(c))
-    p = points.withColumn("bucket", F.coalesce(bucket(log("p_focal")), F.lit(NO_FOCAL)))
-    span = p.where(F.col("bucket") != NO_FOCAL).agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"))
-    c = clips.withColumn("log", log("focal")).crossJoin(F.broadcast(span))  # one row
-
-    def meet(some: DataFrame, first: Column, last: Column) -> DataFrame:
-        first, last = F.greatest(first, F.col("low")), F.least(last, F.col("high"))
-        # Unknown focal lengths are nulls, which `greatest` and `least` leave out.
-        reach = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-        met = some.withColumn("bucket", F.explode(F.array_append(F.coalesce(reach, F.array().cast("array<bigint>")), F.lit(NO_FOCAL))))
-        best = F.min(F.struct(cost.alias("cost"), "point")).alias("b")
-        return met.join(p, "bucket").groupBy(key).agg(best).select(key, F.col("b.point").alias("point"), F.col("b.cost").alias("cost"))
-
-    own = bucket(F.col("log"))
-    near = meet(c, own - 1, own + 1)
-    bound = c.join(near.select(F.col(key).alias("__key"), F.col("cost").alias("__cost")), F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+    cost = cost + apart(F.col("p_distance"), F.col("distance"), 0.5)
+    bucket = lambda c: F.coalesce(F.floor(F.when(F.col(c) > 0, F.log(c)) / FOCAL_STEP).cast("bigint"), F.lit(NO_FOCAL))
+    end = lambda c: F.least(F.col(c), F.lit(100.0)).alias(c)
+    aperture = lambda c: (F.col(c) if vignette else F.lit(None)).cast("double").alias(c)
+    p = points.select("point", "p_focal", aperture("p_aperture"), end("p_distance")).groupBy("p_focal", "p_aperture", "p_distance").agg(F.min("point").alias("point"))
+    p = p.withColumn("bucket", bucket("p_focal"))
+    c = clips.select(key, "focal", aperture("aperture"), end("distance")).withColumn("bucket", bucket("focal"))
+    c_columns, p_columns = [key, "focal", "aperture", "distance"], ["p_focal", "p_aperture", "p_distance", "point"]
+    schema = StructType([*c.select(*c_columns).schema, *p.select(*p_columns).schema])
+
+    def meet_points(some: DataFrame, near: DataFrame) -> DataFrame:
+        """The best of the points ``near`` in each row's bucket; a bucket with many clips is dealt over tasks."""
+        tasks = some.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET_CLIPS).alias("tasks"))
+        left = some.join(tasks, "bucket").withColumn("task", F.pmod(F.xxhash64(key), F.col("tasks")))
+        right = near.join(tasks, "bucket").withColumn("task", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1)))
+        both = left.select("bucket", "task", *c_columns).groupBy("bucket", "task").cogroup(right.select("bucket", "task", *p_columns).groupBy("bucket", "task"))
+        found = both.applyInArrow(lambda x, y: _nearest_of(x.select(c_columns), y.select(p_columns)), schema)
+        # Costs are made here, so that equal ones are equal.
+        return found.groupBy(key).agg(F.min(F.struct(cost.alias("cost"), "point")).alias("b")).select(key, "b.point", "b.cost")
+
+    b, known = F.col("bucket"), p.where(F.col("bucket") != NO_FOCAL)
+    around = known.withColumn("bucket", F.explode(F.array(b - 1, b, b + 1, F.lit(NO_FOCAL).cast("bigint"))))
+    everywhere = p.where(b == NO_FOCAL).drop("bucket").crossJoin(c.select("bucket").distinct())
+    near = meet_points(c, around.unionByName(everywhere.select(*around.columns)))
+    bound = c.where(b != NO_FOCAL).join(near.select(F.col(key).alias("__key"), F.col("cost").alias("__cost")), F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
     # Everything within one step of the focal length has been met.
-    further = bound.where(F.col("log").isNotNull() & (F.col("__cost").isNull() | (F.col("__cost") > 8 * FOCAL_STEP)))
-    out_to = F.col("__cost") / 8 + 1e-9
-    far = meet(further, bucket(F.col("log") - out_to), bucket(F.col("log") + out_to))
+    further = bound.where(F.col("__cost").isNull() | (F.col("__cost") > 8 * FOCAL_STEP))
+    log, out_to = F.log("focal"), F.col("__cost") / 8 + 1e-9
+    span = known.agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"))
+    # Unknown bounds are nulls, which `greatest` and `least` leave out.
+    first = F.greatest(F.floor((log - out_to) / FOCAL_STEP).cast("bigint"), F.col("low"))
+    last = F.least(F.floor((log + out_to) / FOCAL_STEP).cast("bigint"), F.col("high"))
+    reach = further.crossJoin(F.broadcast(span)).withColumns({"first": first, "last": last}).where("first <= last")  # one row
+    reach = reach.withColumnRenamed("bucket", "own").withColumn("bucket", F.explode(F.sequence("first", "last"))).where(F.abs(b - F.col("own")) > 1)
+    far = meet_points(reach.select(*c_columns, "bucket"), known)
     both = near.unionByName(far).groupBy(key).agg(F.min(F.struct("cost", "point")).alias("b"))
     return both.select(key, F.col("b.point").alias("point"), F.col("b.cost").alias("cost"))
 

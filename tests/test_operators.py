@@ -1,6 +1,7 @@
 """Operators against analytic expectations and plain restatements."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +163,23 @@ def test_names_of_the_same_words_meet_once(spark, monkeypatch):
     same = [i for i in range(300) if i % 3 < 2]
     assert [(g.o_id, g.score) for g in sorted((g for g in got if g.w_id == 1), key=lambda g: g["rank"])] == (
         [(i, 1.0) for i in same] + [(i, 0.75) for i in range(2, 150, 3)])
+
+
+def test_a_clip_keeps_few_points_of_a_bucket(spark, monkeypatch):
+    """Points are found by bisection: what comes back for a clip does not grow with its bucket, and is the best."""
+    r = np.random.default_rng(5)
+    some = lambda n, values: [float(v) if v else None for v in r.choice(values, n)]
+    n, m = 60, 400
+    clips = list(zip(range(n), some(n, [0, 50, 51, 52]), some(n, [0, 2, 2.8, 4]), [None, 0.0, *map(float, r.uniform(0.3, 200, n - 2))]))
+    points = list(zip(range(m), some(m, [0, 50, 51, 53]), some(m, [0, 2, 4]), [None, 0.0, *map(float, r.uniform(0.3, 200, m - 2))])) * 2
+    made = [spark.createDataFrame(clips, "clip int, focal double, aperture double, distance double"), spark.createDataFrame(points, "point int, p_focal double, p_aperture double, p_distance double")]
+    monkeypatch.setattr(matching, "BUCKET_CLIPS", 7)
+    got = {g.clip: (g.point, g.cost) for g in matching.nearest_point(*made, True).collect()}
+    apart = lambda x, y, w: abs(np.log(x / y)) * w if x and y else 0.0
+    end = lambda d: 100.0 if d is None else min(d, 100.0)
+    for c, f, a, d in clips:
+        cost, point = min((apart(pf, f, 8.0) + apart(q, a, 2.0) + apart(end(pd), end(d), 0.5), p) for p, pf, q, pd in points)
+        assert got[c][0] == point and abs(got[c][1] - cost) < 1e-9
+    table = [pa.Table.from_pandas(x.toPandas().astype(float)) for x in made]
+    kept = matching._nearest_of(table[0], table[1].slice(0, m))
+    assert n <= kept.num_rows < 8 * n and set(kept.column("clip").to_pylist()) == set(range(n))
