@@ -92,3 +92,15 @@ def test_pipeline_with_labels_of_one_class(spark, tmp_path):
     spark.createDataFrame([(d, 1, 1) for d, _ in rows], "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(0, BENCH)], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
     assert {r.doc_id for r in pipeline.run(spark, path).collect()} == {d for d, _ in rows}
+
+
+def test_copies_send_their_columns_once(spark, sf_dir, monkeypatch):
+    """Of many copies one document's n-grams move, and one document stays."""
+    from kinegrain.llm import jaccard
+
+    sent = []
+    monkeypatch.setattr(jaccard, "_columns", lambda *a, whole=jaccard._columns: sent.append(whole(*a)) or sent[-1])
+    text = " ".join(f"w{i}" for i in range(104))
+    docs = spark.createDataFrame([(i, text) for i in range(40)] + [(50, None)], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in pipeline.drop_near_copies(spark, docs, sf_dir).collect()) == [0, 50]
+    assert sent[0].count() == jaccard.prefix_size(100, 80) == 21
