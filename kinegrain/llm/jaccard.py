@@ -20,7 +20,9 @@ matrix with its transpose. Only blocks that can hold a link are multiplied:
    one band of sizes, of which only those of the same and the next band meet.
    There the product is accumulated block by block, pairs whose sizes rule a
    link out are left aside, and what links is merged. Of a large cluster only
-   tiles that are not yet in one component are multiplied further.
+   tiles that are not yet in one component are multiplied further, and a text
+   goes there only if its counts by hash range allow a link with a class of
+   another component: counts move to all pairs of tiles, texts to few.
 
 Rows grow with the columns, never with the pairs of a group: a small column has
 a bounded number of pairs, and a task returns each class with its root.
@@ -377,6 +379,60 @@ def _resolve(rows: DataFrame, k: int, percent: int, partitions: int) -> DataFram
     return dealt.mapInArrow(run, "c bigint, u bigint, v bigint")
 
 
+def may_link(a: list[tuple[int, bytes]], b: list[tuple[int, bytes]], percent: int) -> np.ndarray:
+    """Which pairs of (n, counts by hash range) the bound on the overlap allows to reach the threshold."""
+    def of_ranges(part: list[tuple[int, bytes]]) -> dict[int, list[int]]:
+        held: dict[int, list[int]] = {}
+        for i, (_, c) in enumerate(part):
+            held.setdefault((len(c) - 1) // c[0], []).append(i)
+        return held
+
+    def table(part: list[tuple[int, bytes]], at: list[int], ranges: int) -> np.ndarray:
+        rows = (np.frombuffer(part[i][1], np.uint8 if part[i][1][0] == 1 else "<u4", offset=1).astype(np.int32) for i in at)
+        return np.stack([x.reshape(ranges, -1).sum(axis=1) for x in rows])
+
+    n, m = (np.array([x[0] for x in part], np.int64) for part in (a, b))
+    need = -(-percent * (n[:, None] + m[None, :]) // (100 + percent))  # of 100 o >= percent (n + m - o)
+    out = np.zeros(need.shape, bool)
+    ours, theirs = of_ranges(a), of_ranges(b)
+    for r, at in ours.items():
+        for q, to in theirs.items():
+            x, y = table(a, at, min(r, q)), table(b, to, min(r, q))
+            for i, row in zip(at, x):
+                out[i, to] = np.minimum(row, y).sum(axis=1) >= need[i, to]
+    return out
+
+
+def _worth(rows: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """(c, i, j, tile, s): of (c, i, j, tile, s, comp, n, ranges) the classes that may link with one of another component in the task's other tile, or in its only one."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(held) < 2:
+                return
+            tile, comp = (np.array([x[k] for x in held], np.int64) for k in (0, 2))
+            one, two = np.flatnonzero(tile == key[1]), np.flatnonzero(tile == key[2])
+            may = may_link([held[i][3:] for i in one], [held[i][3:] for i in two], percent) & (comp[one][:, None] != comp[two][None, :])
+            at = np.union1d(one[may.any(axis=1)], two[may.any(axis=0)])
+            if len(at):
+                fixed = [pa.array([k] * len(at), pa.int64()) for k in key]
+                s = pa.array([held[i][1] for i in at], pa.int64())
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array(tile[at]), s], names=["c", "i", "j", "tile", "s"])
+
+        for batch in batches:
+            for now, row in zip(zip(*(batch.column(i).to_pylist() for i in range(3))), zip(*(batch.column(i).to_pylist() for i in range(3, 8)))):
+                if now != key:
+                    yield from close()
+                    key, held = now, []
+                held.append(row)
+        yield from close()
+        tk.trim()
+
+    dealt = rows.repartition(partitions, "c", "i", "j").sortWithinPartitions("c", "i", "j")
+    return dealt.mapInArrow(run, "c bigint, i bigint, j bigint, tile bigint, s bigint")
+
+
 def _degrees(rows: DataFrame, k: int, percent: int, partitions: int) -> DataFrame:
     """(s, links): over all tasks of (c, i, j, tile, s, w, text), the weights ``w`` of the classes each class links with.
 
@@ -537,13 +593,16 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, with_links: bool
         done = roots.join(first.select(F.col("u").alias("node"), "c").join(of_large, "c", "left_anti").select("node"), "node", "left_semi")
         partial = first.join(of_large, "c", "left_semi").select("u", "v")
         state = connected(partial)
-        labelled = large.join(state, large.s == state.node, "left").select("c", "tile", F.coalesce("root", "s").alias("comp"))
+        labelled = large.join(state, large.s == state.node, "left").select("c", "tile", "s", F.coalesce("root", "s").alias("comp"))
         tile_state = labelled.groupBy("c", "tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
         one = tile_state.withColumnsRenamed({"tile": "i"})
         two = tile_state.withColumnsRenamed({"tile": "j", "low": "low2", "high": "high2"})
         todo = _tile_pairs(cells.where("tiles > 1"), False).join(one, ["c", "i"]).join(two, ["c", "j"]).where(
             "NOT (low = high AND low2 = high2 AND low = low2)").select("c", "i", "j")
-        rest = scratch.keep(_resolve(texts.join(_sides(todo), ["c", "tile"]).select("c", "i", "j", "s", "text"), k, percent, partitions), "rest")
+        # Counts are a small part of a text, so it is they that meet in every pair of tiles.
+        counts = labelled.join(ranges.join(large.select("s"), "s", "left_semi"), "s").join(_sides(todo), ["c", "tile"])
+        worth = scratch.keep(_worth(counts.select("c", "i", "j", "tile", "s", "comp", "n", "ranges"), percent, partitions), "worth")
+        rest = scratch.keep(_resolve(texts.join(worth, ["c", "tile", "s"]).select("c", "i", "j", "s", "text"), k, percent, partitions), "rest")
         roots = done.unionByName(connected(partial.unionByName(rest.select("u", "v"))))
     if not with_links:
         return _finish(sets, classes, roots, None, with_hash)

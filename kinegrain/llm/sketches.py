@@ -20,6 +20,31 @@ CHUNK = 1 << 16
 SCHEMA = "chunk bigint, counts binary"
 
 
+def _deflated(data: bytes) -> bytes:
+    # Bits and counts have no strings to find, only runs and uneven bytes.
+    out = zlib.compressobj(1, zlib.DEFLATED, zlib.MAX_WBITS, zlib.DEF_MEM_LEVEL, zlib.Z_RLE)
+    return out.compress(data) + out.flush()
+
+
+def pack_counts(part: np.ndarray) -> bytes:
+    """Byte counts as the bits of the slots that have one, then the counts of these.
+
+    A table grows with the input and a task's share of it does not, so most
+    slots of a task are empty in a large table; a bit each is what they cost.
+    """
+    some = part > 0
+    return _deflated(np.packbits(some).tobytes()) + _deflated(part[some].tobytes())
+
+
+def unpack_counts(data: bytes, size: int) -> np.ndarray:
+    """The ``size`` counts that `pack_counts` has packed."""
+    first = zlib.decompressobj()
+    some = np.unpackbits(np.frombuffer(first.decompress(data), np.uint8), count=size).astype(bool)
+    part = np.zeros(size, np.uint8)
+    part[some] = np.frombuffer(zlib.decompress(first.unused_data), np.uint8)
+    return part
+
+
 class Counter:
     """Saturating byte counts in ``1 << bits`` slots."""
 
@@ -39,7 +64,7 @@ class Counter:
         for k in range(0, len(self.table), CHUNK):
             part = self.table[k: k + CHUNK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK]), pa.array([pack_counts(part)], pa.binary())], names=["chunk", "counts"])
 
 
 class Bits:
@@ -68,10 +93,9 @@ def _sums(rows: DataFrame, bits: int) -> Iterator[tuple[int, np.ndarray]]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
-                new = np.frombuffer(zlib.decompress(part.as_buffer()), np.uint8)
                 if k not in sums:
-                    sums[k] = np.zeros(len(new), np.int64)
-                sums[k] += new
+                    sums[k] = np.zeros(size, np.int64)
+                sums[k] += unpack_counts(part.as_py(), size)
         for k, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())], names=["chunk", "counts"])
         tk.trim()

@@ -1,6 +1,7 @@
 """The Jaccard join, its components, and decontamination against brute force."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from kinegrain.llm import components as cc
-from kinegrain.llm import decontaminate, jaccard
+from kinegrain.llm import decontaminate, jaccard, sketches
 
 WORDS = [f"w{i}" for i in range(60)]
 
@@ -252,3 +253,44 @@ def test_tiles_of_neighbouring_bands_meet(spark):
     assert not both[0] & both[1] and both[0] | both[1] == near
     t = lambda b, p: (b << 24) + p
     assert both[0] == {(t(3, 0), t(3, p)) for p in range(3)} | {(t(3, 0), t(4, 0)), (t(4, 0), t(4, 0)), (t(9, 0), t(9, 0)), (t(9, 0), t(9, 1))}
+
+
+def test_tables_of_counts_are_packed_by_the_slots_in_use():
+    """A task's table with one slot in 18 in use, as with 2^26 slots and 16 MB of input."""
+    r = np.random.default_rng(2)
+    counter = sketches.Counter(20)
+    counter.add(r.integers(0, 1 << 63, 1 << 16, dtype=np.uint64) * np.uint64(2))
+    rows = [x for b in counter.rows() for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert sum(len(x) for _, x in rows) < 0.5 * len(zlib.compress(counter.table.tobytes(), 1))
+    for k, x in rows:
+        assert (sketches.unpack_counts(x, sketches.CHUNK) == counter.table[k * sketches.CHUNK: (k + 1) * sketches.CHUNK]).all()
+    for part in (np.zeros(1 << 16, np.uint8), np.full(1 << 16, 255, np.uint8), np.array([0, 3, 0], np.uint8)):
+        assert (sketches.unpack_counts(sketches.pack_counts(part), len(part)) == part).all()
+
+
+def test_bound_of_tiles_is_that_of_pairs():
+    r = np.random.default_rng(3)
+    base = np.unique(r.integers(0, 1 << 63, 9000, dtype=np.uint64) * np.uint64(2))
+    r.shuffle(base)
+    sets = [base[:n] for n in (1, 5, 900, 1000, 1100, 7000, 8500, 9000)] + [base[-n:] for n in (900, 1000, 8800)] + [np.arange(1000, dtype=np.uint64)]
+    sides = [(len(x), jaccard.range_counts(x)) for x in sets]
+    may = jaccard.may_link(sides[:7], sides, 80)
+    for i, (n, x) in enumerate(sides[:7]):
+        for j, (m, y) in enumerate(sides):
+            assert may[i, j] == (jaccard.most_overlap(x, y) * 180 >= 80 * (n + m))
+
+
+def test_texts_go_to_few_pairs_of_tiles(spark, monkeypatch):
+    """Texts that share a passage but do not link, in one cluster of many tiles: all pairs of tiles are looked at, few texts move."""
+    monkeypatch.setattr(jaccard, "TILE_CLASSES", 4)
+    moved = []
+    monkeypatch.setattr(jaccard, "_resolve", lambda rows, *a, whole=jaccard._resolve: moved.append(rows) or whole(rows, *a))
+    # Each shares a third of its words with all, so its n-grams' order must not tell the shared ones apart.
+    monkeypatch.setattr(jaccard, "_order", lambda counts: np.zeros(len(counts), np.uint8))
+    shared = " ".join(f"c{i}" for i in range(40))
+    rows = [(i, shared + " " + " ".join(f"d{i}x{j}" for j in range(80))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " more") for i in (7, 33, 58)]
+    got = [tuple(r) for r in jaccard.components(frame(spark, rows)).collect()]
+    assert sorted(got, key=repr) == brute_components(rows)
+    first, rest = (x.count() for x in moved)
+    assert first >= len(rows) and rest <= 12
