@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinegrain.operators.matching import best_members, first_of_each, is_aperture, meet, words
+from kinegrain.operators.matching import is_aperture, meet, words
 
 #: Words that say what a profile holds, and cameras whose profiles do not reach a full-frame corner.
 CONTENT = ("distortion", "vignette", "distortion_vignette")
 SMALL_SENSORS = ("fujifilm", "olympus", "om digital")
-#: Least share of common words, bonus for the preferred mount, places looked at, focal coverage in
-#: logarithms, format factor above which a profile is of a smaller sensor, and what that costs.
-LEAST, BONUS, PLACES, COVERS, FULL_FRAME, PENALTY = 0.5, 0.05, 16, 0.08, 1.1, 0.3
+#: Least share of common words, bonus for the preferred mount, focal coverage in logarithms, format
+#: factor above which a profile is of a smaller sensor, and what that costs.
+LEAST, BONUS, COVERS, FULL_FRAME, PENALTY = 0.5, 0.05, 0.08, 1.1, 0.3
+#: Width of a bucket of focal lengths, in logarithms: what covers a focal length is in its bucket or the next.
+FOCAL_STEP = COVERS * 1.01
 
 
 def installed(files: DataFrame) -> DataFrame:
@@ -45,31 +47,44 @@ def choose(clips: DataFrame, profiles: DataFrame, entries: DataFrame, vignette:
     has_warp, has_vignette, format_factor). Every aperture of the clip's lens
     must be in the profile's name, and a focal length where the clip does not
     tell its own; so names meet on an aperture, else on focal lengths, else on
-    any word. Names of the same words fit alike and are judged once.
+    any word, and near the clip's focal length or on one of its name. All
+    profiles that fit and cover the clip are judged; of those with the same
+    words, focal length and kind of sensor the first one stands for the rest,
+    which never come before it. Of equal scores the better fit wins, then the
+    lower ordinal.
     """
-    known = F.col("own_focal") > 0
+    known, focals = F.col("own_focal") > 0, lambda c: F.array_distinct(F.filter(c, lambda w: w.contains("mm")))
+    bucket = lambda c: F.floor(F.log(c) / FOCAL_STEP).cast("double")
+    # Clips that tell their focal length meet entries of its bucket and those without one (""), others any entry of a focal length in their name.
     own = F.when(F.col("focal_mm") > 0, F.col("focal_mm").cast("double")).otherwise(0.0)
     asked = clips.select("clip", own.alias("own_focal"), F.array_sort(words(F.col("lens_model"))).alias("want")).where(F.size("want") > 0)
-    wants = asked.select("want", "own_focal").distinct()
-    c = wants.select("want", known.alias("known")).distinct()
-    c = c.withColumns({"apertures": F.array_distinct(F.filter("want", is_aperture)), "focals": F.array_distinct(F.filter("want", lambda w: w.contains("mm")))})
-    keys = F.when(F.size("apertures") > 0, F.slice(F.array_sort("apertures"), 1, 1)).when(~F.col("known"), F.col("focals")).otherwise(F.array_distinct("want"))
+    near = F.when(known, F.array(bucket("own_focal").cast("string"), F.lit(""))).otherwise(focals("want"))
+    wants = asked.select("want", "own_focal").distinct().withColumn("near", F.explode(near))
+    c = wants.select("want", "near", known.alias("known")).distinct().withColumn("apertures", F.array_distinct(F.filter("want", is_aperture)))
+    keys = F.when(F.size("apertures") > 0, F.slice(F.array_sort("apertures"), 1, 1)).when(~F.col("known"), F.array("near")).otherwise(F.array_distinct("want"))
     c = c.withColumn("keys", keys).withColumn("key", F.explode("keys"))
-    p = first_of_each(profiles.withColumn("name", F.array_sort("name")), ["name", "preferred"], "ordinal", ["ordinal", "path"], PLACES)
-    groups, p = p, p.select("name", "preferred", "first", known_as(F.col("name")).alias("answers")).withColumn("key", F.explode("answers"))
+
+    small, b = F.coalesce(F.col("format_factor") > FULL_FRAME, F.lit(False)), bucket("e_focal")
+    held = entries.where(F.col("has_vignette") if vignette else F.col("has_warp"))
+    held = held.select("path", F.when(F.col("focal") > 0, F.col("focal").cast("double")).alias("e_focal"), small.alias("small"))
+    p = profiles.select("path", F.array_sort("name").alias("name"), "preferred", "ordinal").join(held, "path")
+    p = p.groupBy("name", "preferred", "small", "e_focal").agg(F.min(F.struct("ordinal", "path")).alias("first"))
+    around = F.when(F.col("e_focal").isNull(), F.array(F.lit(""))).otherwise(F.transform(F.array(b - 1, b, b + 1), lambda n: n.cast("string")))
+    whole = p.groupBy("name", "preferred", "small").agg(F.min("first").alias("first")).withColumn("e_focal", F.lit(None).cast("double"))
+    p = p.withColumn("near", F.explode(around)).unionByName(whole.withColumn("near", F.explode(focals("name")))).withColumn("answers", known_as(F.col("name")))
+    p = p.withColumn("key", F.explode("answers"))
+
     # A pair meets once, on the first of the keys that both have.
-    pairs = meet(c, p, ["key"]).where((F.size("keys") == 1) | (F.col("key") == F.filter("keys", lambda k: F.array_contains("answers", k))[0]))
-    pairs = pairs.where(((F.size("apertures") <= 1) | (F.size(F.array_except("apertures", "answers")) == 0)) & (F.col("known") | F.arrays_overlap("focals", "answers")))
+    pairs = meet(c, p, ["near", "key"]).where((F.size("keys") == 1) | (F.col("key") == F.filter("keys", lambda k: F.array_contains("answers", k))[0]))
+    pairs = pairs.where((F.size("apertures") <= 1) | (F.size(F.array_except("apertures", "answers")) == 0))
     found = lambda w: F.array_contains("answers", w)
-    score = F.size(F.filter("want", found)) / F.sqrt((F.size("want") * F.size("name")).cast("double"))
-    fits = pairs.withColumn("fit", score).where(F.col("fit") >= LEAST).withColumn("fit", F.col("fit") + F.when(F.col("preferred"), BONUS).otherwise(0.0))
-    fits = best_members(fits.select("want", "known", "name", "preferred", "first", "fit"), groups, ["want", "known"], ["name", "preferred"], "fit", "ordinal", PLACES)
-    fits = wants.withColumn("known", known).join(fits, ["want", "known"])
-    held = entries.where(F.col("has_vignette") if vignette else F.col("has_warp")).select("path", F.col("focal").alias("e_focal"), "format_factor")
-    near = ~F.col("known") | ~F.coalesce(F.col("e_focal") > 0, F.lit(False)) | (F.abs(F.log(F.col("e_focal") / F.col("own_focal"))) < COVERS)
-    score = F.col("fit") - F.when(F.col("format_factor") > FULL_FRAME, PENALTY).otherwise(0.0)
-    covering = fits.join(held, "path").where(near).select("want", "own_focal", "path", "place", score.alias("score"))
-    # Of equal scores the one that stood further up.
-    best = covering.groupBy("want", "own_focal").agg(F.max_by(F.struct("path", "score"), F.struct("score", -F.col("place"))).alias("b"))
-    best = best.select("want", "own_focal", "b.path", "b.score").where(F.col("score") >= LEAST)
-    return asked.join(best, ["want", "own_focal"]).select("clip", "path", "score").distinct()
+    share = F.size(F.filter("want", found)) / F.sqrt((F.size("want") * F.size("name")).cast("double"))
+    fits = pairs.withColumn("fit", share).where(F.col("fit") >= LEAST).withColumn("fit", F.col("fit") + F.when(F.col("preferred"), BONUS).otherwise(0.0))
+    fits = fits.withColumn("score", F.col("fit") - F.when(F.col("small"), PENALTY).otherwise(0.0)).where(F.col("score") >= LEAST)
+    # Clips of the same words differ only in which focal lengths cover theirs: the best of each one is kept.
+    least = F.min(F.struct((-F.col("score")).alias("score"), (-F.col("fit")).alias("fit"), "first"))
+    best = fits.groupBy("want", "near", "e_focal").agg(least.alias("b"))
+    covered = F.col("e_focal").isNull() | (F.abs(F.log(F.col("e_focal") / F.col("own_focal"))) < COVERS)
+    chosen = wants.join(best, ["want", "near"]).where(covered).groupBy("want", "own_focal").agg(F.min("b").alias("b"))
+    chosen = chosen.select("want", "own_focal", F.col("b.first.path").alias("path"), (-F.col("b.score")).alias("score"))
+    return asked.join(chosen, ["want", "own_focal"]).select("clip", "path", "score").distinct()
